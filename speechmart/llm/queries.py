@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import dedup_exact
+from .language_id import identify
 from .packing import pack_documents
 from .pii import scan_documents
+from .secrets import scan_secrets
 from .sentencepiece_codec import encode_documents
 from .sharding import shard_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer_path(name: str) -> str:
-    """Place of a public vocabulary file; ``SPEECHMART_TOKENIZERS`` may name another folder."""
-    return f"{os.environ.get('SPEECHMART_TOKENIZERS', '/opt/tokenizers')}/{name}"
+def op4_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return scan_secrets(table(spark, sf_dir, "documents")).drop("span_list", "text_hash")
+
+
+def op9_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    return identify(table(spark, sf_dir, "documents"))
 
 
 def op2_prefix_table_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of all documents, as digests."""
-    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op3_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +41,7 @@ def op3_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 1024 ids."""
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +56,7 @@ def op7_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name to query."""
-    return {f.__name__: f for f in (op2_prefix_table_codec, op3_anchor_pii, op5_bin_slack_packing, op6_virtual_slots, op7_cuckoo_dedup)}
+    return {f.__name__: f for f in (op2_prefix_table_codec, op3_anchor_pii, op4_credential_links, op5_bin_slack_packing, op6_virtual_slots, op7_cuckoo_dedup, op9_ecoc_language)}
 
 
 DEDUP_SQL = """
