@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import dedup_exact
 from .language_id import identify
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .pii import scan_documents
 from .secrets import scan_secrets
@@ -54,9 +55,14 @@ def op7_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(table(spark, sf_dir, "documents"))
 
 
+def op10_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """Name to query."""
-    return {f.__name__: f for f in (op2_prefix_table_codec, op3_anchor_pii, op4_credential_links, op5_bin_slack_packing, op6_virtual_slots, op7_cuckoo_dedup, op9_ecoc_language)}
+    return {f.__name__: f for f in (op2_prefix_table_codec, op3_anchor_pii, op4_credential_links, op5_bin_slack_packing, op6_virtual_slots, op7_cuckoo_dedup, op9_ecoc_language, op10_odd_sketch_dedup)}
 
 
 DEDUP_SQL = """
