@@ -21,6 +21,7 @@ import bisect
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
@@ -34,7 +35,11 @@ from tokenizers import Tokenizer
 from .common import materialize, pick
 
 CAPACITY = 1024
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
+#: Marks that the pattern never joins to letters before them.
+_MARKS = ".,!?;:*#$%&|"
+#: Stands for the first word, which has no space before it and is encoded apart; words hold no space.
+_FIRST = " "
 _SPACED = re.compile(r"\s \s")
 
 
@@ -48,28 +53,53 @@ class WordCachedTokenizer:
     def __init__(self, vocabulary: str, cache_words: int = CACHE_WORDS) -> None:
         self.library = Tokenizer.from_str(vocabulary)
         self.library.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {_FIRST: b""}
+        self.tails: dict[str, bytes] = {}
         self.cache_words = cache_words
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words after a space; letters and the marks behind them are encoded on their own."""
+        known, out = self.words, {}
+        cut: list[tuple[str, str, str]] = []
+        ask: dict[str, str] = {}
+        for w in words:
+            head = w.rstrip(_MARKS)
+            if head is not w and head.isalpha():
+                tail = w[len(head) :]
+                cut.append((w, head, tail))
+                if tail not in self.tails:
+                    if len(self.tails) > 10_000:
+                        self.tails.clear()
+                    self.tails[tail] = self._encode([tail])[0]
+                if head in known:
+                    continue
+                w = head
+            ask[w] = " " + w
+        got = dict(zip(ask, self._encode(list(ask.values())), strict=True)) if ask else {}
+        for w, head, tail in cut:
+            out[w] = (known.get(head) or got[head]) + (self.tails.get(tail) or self._encode([tail])[0])
+        got.update(out)
+        return got
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         words = text.split(" ")
         if "" in words or _SPACED.search(text):
             return self._encode([text])[0]
-        known = self.words
-        missing = list({w for w in words[1:] if w not in known})
-        extra: dict[str, bytes] = {}
-        if missing:
-            extra = dict(zip(missing, self._encode([" " + w for w in missing]), strict=True))
-            if len(known) < self.cache_words:
-                known.update(extra)
-        first = self._encode([words[0]])[0]
-        if extra and len(known) >= self.cache_words:
-            return first + b"".join([known.get(w) or extra[w] for w in words[1:]])
-        return first + b"".join([known[w] for w in words[1:]])
+        known, first = self.words, words[0]
+        words[0] = _FIRST
+        missing = {w for w in words if w not in known}
+        start = self._encode([first])[0]
+        if not missing:
+            return start + b"".join([known[w] for w in words])
+        extra = self._encode_words(missing)
+        if len(known) < self.cache_words:
+            known.update(extra)
+            return start + b"".join([known[w] for w in words])
+        return start + b"".join([known.get(w) or extra.get(w, b"") for w in words])
 
 
 _TOKENIZERS: dict[int, WordCachedTokenizer] = {}
