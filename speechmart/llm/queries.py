@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import dedup_exact
+from .html_extract import extract_pages
 from .language_id import identify
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -16,6 +18,7 @@ from .pii import scan_documents
 from .secrets import scan_secrets
 from .sentencepiece_codec import encode_documents
 from .sharding import shard_documents
+from .topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,11 +28,21 @@ def op4_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("span_list", "text_hash")
 
 
+def op8_crf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents."""
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op1_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every row whose id is divisible by 20."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_prefix_table_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of all documents, as digests."""
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -62,7 +75,7 @@ def op10_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name to query."""
-    return {f.__name__: f for f in (op2_prefix_table_codec, op3_anchor_pii, op4_credential_links, op5_bin_slack_packing, op6_virtual_slots, op7_cuckoo_dedup, op9_ecoc_language, op10_odd_sketch_dedup)}
+    return {f.__name__: f for f in (op1_uniform_threshold, op2_prefix_table_codec, op3_anchor_pii, op4_credential_links, op5_bin_slack_packing, op6_virtual_slots, op7_cuckoo_dedup, op8_crf_extract, op9_ecoc_language, op10_odd_sketch_dedup)}
 
 
 DEDUP_SQL = """
@@ -76,6 +89,22 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op7_cuckoo_dedup": DEDUP_SQL}
+    return {"op1_uniform_threshold": TOPK_SQL, "op7_cuckoo_dedup": DEDUP_SQL}
