@@ -159,3 +159,11 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("_rid") == F.col("keep_rid")).alias("kept"),
         "text_sha256",
     )
+
+
+def keep_first_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one for every distinct text, with the largest id."""
+    stay = dedup_exact(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
+    marked = docs.withColumn("_sha", F.sha2(F.encode(lower_ascii(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), "UTF-8"), 256))
+    met = marked.join(stay, (F.col("_sha") == F.col("_stay_sha")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_stay_id")))
+    return met.dropDuplicates([id_col, "_sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])

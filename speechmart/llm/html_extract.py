@@ -154,7 +154,7 @@ class Crf:
         get, emit = self.index.get, self.emit
         return np.array([emit[[i for i in map(get, f) if i is not None]].sum(axis=0) for f in features]).reshape(-1, 2)
 
-    def fit(self, pages: list[tuple[list[list[str]], list[int]]], epochs: int = 12, rate: float = 0.3, decay: float = 1e-4) -> Crf:
+    def fit(self, pages: list[tuple[list[list[str]], list[int]]], epochs: int = 8, rate: float = 0.3, decay: float = 1e-4) -> Crf:
         """Maximises the conditional likelihood by AdaGrad over the pages."""
         for features, _ in pages:
             for f in features:
@@ -216,7 +216,8 @@ class Crf:
         return out[::-1]
 
 
-_MARK = ""
+#: Marks article text in generated pages; a private-use character.
+_MARK = "\ue000"
 
 
 def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[list[tuple[str, tuple[str, ...], int]], list[int]]]:

@@ -165,21 +165,29 @@ def sample_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str,
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: id, held_out, lang_pred, score, ambiguous."""
     scored = score_rows(docs, per_language, id_col, text_col, lang_col, [id_col, text_col])
-    return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "lang_pred", "score", "ambiguous")
+    named = [F.col(f"_ecoc_{c}").alias(c) for c in ("lang_pred", "score", "ambiguous")]
+    return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), *named)
+
+
+def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text has a language: not ``und``, and one language likelier than all others together."""
+    scored = score_rows(docs, per_language, id_col, text_col, lang_col, docs.columns)
+    return scored.filter((F.col("_ecoc_lang_pred") != UNKNOWN) & (F.col("_ecoc_score") >= least_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def score_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str, columns: list[str]) -> DataFrame:
-    """The named columns (the text among them) of every row, with lang_pred, score and ambiguous."""
+    """The named columns (the text among them) of every row, with _ecoc_lang_pred, _ecoc_score and _ecoc_ambiguous."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit_model(sample_rows(docs, per_language, id_col, text_col, lang_col)))
     d = pick(docs, columns)
     at = columns.index(text_col)
+    added = ["_ecoc_lang_pred", "_ecoc_score", "_ecoc_ambiguous"]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [model.value.predict(t or "") for t in batch.column(at).to_pylist()]
             extra = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*columns, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*columns, *added])
 
     fields = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in columns)
-    return d.mapInArrow(predict, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return d.mapInArrow(predict, f"{fields}, {added[0]} string, {added[1]} double, {added[2]} boolean")

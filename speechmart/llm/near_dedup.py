@@ -245,3 +245,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = rows.select("doc_id", "n_shingles", "set_hash").join(owner, "set_hash", "left")
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that another document of their group stands for."""
+    gone = near_duplicates(docs, percent, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")

@@ -110,10 +110,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", scope: int = SCOPE) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", scope: int = SCOPE, length_col: str | None = None) -> DataFrame:
     """The rows of ``docs`` with every found span replaced by ``mark``; rows without spans are unchanged.
 
-    Overlapping spans become one mark. Rows with spans are found again by id and text hash; a null
+    Overlapping spans become one mark. ``length_col`` is set anew where the text changes. Rows with spans are found again by id and text hash; a null
     id matches a null id.
     """
     found = scan_secrets(docs, id_col, text_col, scope).filter(F.size("span_list") > 0)
@@ -129,4 +129,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["pos"] + 1, F.length(text_col))),
     )
     masked = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(merged)
-    return docs.join(found, key, "left").withColumn(text_col, masked).drop("_fid", "_fh", "_spans")
+    out = docs.join(found, key, "left").withColumn(text_col, masked)
+    if length_col:
+        changed = F.when(F.col("_spans").isNull(), F.col(length_col)).otherwise(F.length(text_col))
+        out = out.withColumn(length_col, changed.cast(docs.schema[length_col].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
