@@ -1,16 +1,61 @@
-"""The corpus pipeline; stages follow as operators arrive."""
+"""The corpus pipeline: from raw documents to packed training windows.
+
+Stages: language ID drops texts without a language; exact dedup keeps one row per text; near-dedup
+keeps one document per group; the secret scan masks what it finds and keeps the documents; packing
+cuts the rest into windows. Every stage but the last returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from speechmart.llm.common import materialize, table
+from speechmart.llm.exact_dedup import keep_first_texts
+from speechmart.llm.language_id import keep_identified
+from speechmart.llm.near_dedup import keep_representatives
+from speechmart.llm.packing import pack_documents
+from speechmart.llm.secrets import redact
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the classifiers know."""
+    return keep_identified(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for every distinct text."""
+    return keep_first_texts(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document for every group of near copies."""
+    return keep_representatives(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked."""
+    return redact(docs, length_col="n_chars")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of windows of 1024 ids."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Stage]] = [
+    ("language", identify_language),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("secrets", mask_secrets),
+    ("packing", pack),
+]
 
-#: Stages such as language ID are not expressible in SQL.
+#: SQL can express neither the classifiers nor the token ids; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
