@@ -208,7 +208,7 @@ def proportional_truncate(text: Column, samples: Column, max_samples: int) -> Co
     cut = F.substring(text, F.lit(1), target)
     last = F.length(cut) - F.locate(" ", F.reverse(cut))
     at_space = (F.locate(" ", cut) > 0) & (last > target * 0.7)
-    return F.when(samples <= max_samples, text).when(at_space, F.substring(cut, F.lit(1), last)).otherwise(cut)
+    return F.when(samples <= max_samples, text).when(at_space, F.trim(F.substring(cut, F.lit(1), last))).otherwise(F.trim(cut))
 
 
 def day_take(name: Column) -> Column:
