@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,16 +118,41 @@ def located_words(text: Column) -> Column:
     pattern = r"(?U)\w+"
     low = F.lower(text)
     found = F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
-    gaps = F.split(low, pattern, -1)
+    pairs = _bind(found, lambda w: F.arrays_zip(F.slice(F.split(low, pattern, -1), 1, F.size(w)).alias("g"), w.alias("w")))
+    return _bind(pairs, _with_positions)
+
+
+TOKEN = "array<struct<word:string,position:int>>"
+_BLOCK = 256
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _with_positions(pairs: Column) -> Column:
+    """Positions from the running lengths of (gap g, word w) pairs, block by block, so the work stays linear."""
 
     def step(s: Column, p: Column) -> Column:
         start = s["pos"] + F.length(p["g"])
-        span = F.struct(p["w"].alias("word"), start.alias("position"))
-        return F.struct((start + F.length(p["w"])).alias("pos"), F.array_append(s["out"], span).alias("out"))
+        token = F.struct(p["w"].alias("word"), start.alias("position"))
+        return F.struct((start + F.length(p["w"])).alias("pos"), F.array_append(s["out"], token).alias("out"))
+
+    def shift(s: Column, b: Column) -> Column:
+        return F.struct((s["pos"] + b["pos"]).alias("pos"), F.array_append(s["out"], s["pos"]).alias("out"))
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("w"))
-    empty = F.array().cast("array<struct<word:string,position:int>>")
-    return F.when(F.size(found) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step)["out"]).otherwise(empty)
+    def merge(blocks: Column) -> Column:
+        firsts = F.aggregate(blocks, F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")), shift)["out"]
+        moved = F.zip_with(blocks, firsts, lambda b, k: F.transform(b["out"], lambda t: F.struct(t["word"].alias("word"), (t["position"] + k).alias("position"))))
+        return F.flatten(moved)
+
+    empty = F.array().cast(TOKEN)
+    local = F.transform(
+        F.sequence(F.lit(1), F.size(pairs), F.lit(_BLOCK)),
+        lambda k: F.aggregate(F.slice(pairs, k, _BLOCK), F.struct(F.lit(0).alias("pos"), empty.alias("out")), step),
+    )
+    return F.when(F.size(pairs) > 0, _bind(local, merge)).otherwise(empty)
 
 
 def _listed(df: DataFrame, text_col: str, dim: DataFrame, key: str, keep: list[str]) -> DataFrame:
