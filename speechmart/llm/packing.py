@@ -35,7 +35,7 @@ from tokenizers import Tokenizer
 from .common import materialize, pick
 
 CAPACITY = 1024
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 #: Marks that the pattern never joins to letters before them.
 _MARKS = ".,!?;:*#$%&|"
 #: Stands for the first word, which has no space before it and is encoded apart; words hold no space.
@@ -91,15 +91,15 @@ class WordCachedTokenizer:
             return self._encode([text])[0]
         known, first = self.words, words[0]
         words[0] = _FIRST
-        missing = {w for w in words if w not in known}
+        missing = set(words).difference(known)
         start = self._encode([first])[0]
-        if not missing:
-            return start + b"".join([known[w] for w in words])
-        extra = self._encode_words(missing)
-        if len(known) < self.cache_words:
-            known.update(extra)
-            return start + b"".join([known[w] for w in words])
-        return start + b"".join([known.get(w) or extra.get(w, b"") for w in words])
+        added = self._encode_words(missing) if missing else {}
+        known.update(added)
+        out = start + b"".join(map(known.__getitem__, words))
+        if len(known) > self.cache_words:
+            for w in added:
+                del known[w]
+        return out
 
 
 _TOKENIZERS: dict[int, WordCachedTokenizer] = {}
