@@ -116,13 +116,16 @@ def whitelist_scoring(text: Column, allowed: str = LETTERS + "'āēīōū") -> C
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), rf"[^{_class(allowed)}\s]", ""), r"\s+", " "))
 
 
-@F.pandas_udf("string")
-def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Canonical composition; no built-in function does it."""
+def _compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def nfc(text: Column) -> Column:
+    """Canonical composition; no built-in function does it."""
+    return F.pandas_udf(_compose, "string")(text)
+
+
 def alignment_text(text: Column, compose: bool = True) -> Column:
     """Composed, lower-cased, without characters that are neither word characters nor white space."""
     t = nfc(text) if compose else text
@@ -226,16 +229,22 @@ def session_of(path: Column) -> Column:
     return F.when(p.contains("june") | p.contains("24-06-24"), "june").when(p.contains("december") | p.contains("12-24"), "december").otherwise("unknown")
 
 
-@F.pandas_udf("string")
-def segment_key(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def segment_key(start: Column, end: Column) -> Column:
     """``start-end`` with one decimal each; built-in formatting rounds ties differently."""
+    return F.pandas_udf(_keys, "string")(start, end)
+
+
+def _keys(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for start, end in batches:
         yield pd.Series([None if a is None or b is None or math.isnan(a) or math.isnan(b) else f"{a:.1f}-{b:.1f}" for a, b in zip(start, end, strict=True)])
 
 
-@F.pandas_udf("string")
-def character_name(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def character_name(character: Column) -> Column:
     """Unicode name of a character."""
+    return F.pandas_udf(_names, "string")(character)
+
+
+def _names(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda c: unicodedata.name(c, "UNKNOWN") if c else None)
 

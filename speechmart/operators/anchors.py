@@ -61,6 +61,8 @@ def merge_anchors(left: DataFrame, right: DataFrame, tolerance: float = 2.0, equ
 
     def resolve(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         order = ["chunk_idx", "keyword_idx", "offset"]
+        need = [*order, "word", "time", "chunk_text"]  # an absent side comes without columns
+        a, b = a.reindex(columns=need), b.reindex(columns=need)
         a, b = a.sort_values(order, kind="stable"), b.sort_values(order, kind="stable")
         by_word: dict[str, list[int]] = {}
         r_word, r_time, r_text = list(b["word"]), list(b["time"]), list(b["chunk_text"])

@@ -149,7 +149,8 @@ def bucket_paragraphs(paragraphs: DataFrame, files: DataFrame, session: str = "s
     k, a = paragraphs.schema[session].dataType.simpleString(), files.schema["audio"].dataType.simpleString()
 
     def deal(key: tuple, p: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        p, f = p.sort_values("para_idx"), f.sort_values("file_idx")
+        p = p.reindex(columns=["para_idx", "n_words"]).sort_values("para_idx")
+        f = f.reindex(columns=["audio", "file_idx", "expected_words"]).sort_values("file_idx")
         idx, n, at, out = p["para_idx"].tolist(), p["n_words"].tolist(), 0, []
         for audio, want in zip(f["audio"], f["expected_words"], strict=True):
             got = 0
