@@ -90,7 +90,7 @@ def accumulate_chunks(segments: DataFrame, size: float = 10.0, stem: str = "audi
                 now = [start, end, text]
         if now is not None and now[2].strip():
             out.append(now)
-        return pd.DataFrame({stem: pdf[stem].iloc[0], "start": [r[0] for r in out], "end": [r[1] for r in out], "text": [r[2] for r in out]})
+        return pd.DataFrame({stem: pdf[stem].iloc[0], "start": [r[0] for r in out], "end": [r[1] for r in out], "text": [r[2] for r in out]}).astype({"start": "float64", "end": "float64", "text": object})
 
     kind = segments.schema[stem].dataType.simpleString()
     return segments.select(stem, "start", "end", "text").groupBy(stem).applyInPandas(fold, f"`{stem}` {kind}, start double, end double, text string")

@@ -99,7 +99,7 @@ def utterances(timed: DataFrame, max_gap: float = 0.5, max_seconds: float = 20.0
                 "score": [sum(r[2] for r in g) / len(g) for g in groups],
                 "word_count": [len(g) for g in groups],
             }
-        )
+        ).astype({key: pdf[key].dtype, "text": object, "start": "float64", "end": "float64", "score": "float64", "word_count": "int32"})
 
     kept = timed.filter(F.col("score") > least_score).select(key, "start", "end", "score", "word")
     return kept.groupBy(key).applyInPandas(fold, f"`{key}` {kind}, text string, start double, end double, score double, word_count int")

@@ -1,4 +1,4 @@
-"""Registered queries over the test tables, each with its SQL twin."""
+"""All registered queries over the test tables, each with its SQL twin where it has one."""
 
 from __future__ import annotations
 
@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from speechmart.queries import align_queries, curation_queries, text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (text_queries, align_queries, curation_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    """Name to query."""
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Name to DuckDB SQL."""
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}
