@@ -42,21 +42,21 @@ def build_map(slot_bytes: dict[int, int], n_shards: int, n_slots: int = VIRTUAL_
 
 
 def rebalance(old: list[int], slot_bytes: dict[int, int], n_shards: int) -> list[int]:
-    """The old map edited for ``n_shards``: slots leave only shards above the new mean.
+    """The old map edited for ``n_shards``: slots leave only shards above the mean, or shards that go.
 
-    With more shards than before, slots move only into shards that lie below the mean (the new,
-    empty ones first); the rest of the map stays as it was.
+    With more shards than before, slots move only into the new ones; the rest of the map stays.
     """
-    new = list(old)
-    loads = [0] * max(n_shards, max(old, default=0) + 1)
+    new, before = list(old), max(old, default=-1) + 1
+    loads = [0] * max(n_shards, before)
     for slot, shard in enumerate(old):
         loads[shard] += slot_bytes.get(slot, 0)
     mean = sum(loads) / max(1, n_shards)
+    targets = range(before, n_shards) if n_shards > before else range(n_shards)
     for slot in sorted(range(len(old)), key=lambda s: (-slot_bytes.get(s, 0), s)):
         size, src = slot_bytes.get(slot, 0), new[slot]
-        dst = min(range(n_shards), key=lambda s: (loads[s], s))
-        gone = src >= n_shards
-        if gone or (loads[src] - size >= mean - size / 2 and loads[dst] + size <= mean + size / 2 and loads[dst] < loads[src] - size):
+        dst = min(targets, key=lambda s: (loads[s], s))
+        levels = loads[src] - size / 2 >= mean and loads[dst] + size / 2 <= mean and loads[dst] + size < loads[src]
+        if src >= n_shards or levels:
             loads[src] -= size
             loads[dst] += size
             new[slot] = dst
