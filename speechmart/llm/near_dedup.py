@@ -220,13 +220,15 @@ def _across(members: DataFrame, roots: DataFrame, classes: DataFrame, sets: Data
     sizes = m.groupBy("key", "c").agg(F.count("*").alias("k"))
     open_keys = sizes.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("parts"))
     open_keys = open_keys.filter("parts > 1 and n > 2").select("key", F.col("top.c").alias("main"), (F.col("n") - F.col("top.k")).alias("rest"))
-    m = m.join(open_keys, "key").join(classes.select("rep", F.struct("n", "sketch").alias("s")), "rep")
+    m = m.join(open_keys, "key").join(classes.select("rep", F.struct("n", "sketch").alias("s"), "bands"), "rep")
     m = m.join(sets.select(F.col("id").alias("rep"), "fine"), "rep")
     m = materialize(m.withColumn("cells", F.ceil(F.col("rest") / CELL).cast("int")), "open-members")
-    left = m.filter("c <> main").select("key", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int").alias("cell"), F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"), F.col("fine").alias("fa"))
-    right = m.select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"), F.col("fine").alias("fb"), (F.col("c") == F.col("main")).alias("in_main"))
+    left = m.filter("c <> main").select("key", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int").alias("cell"), F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"), F.col("fine").alias("fa"), F.col("bands").alias("ba"))
+    right = m.select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"), F.col("fine").alias("fb"), F.col("bands").alias("bb"), (F.col("c") == F.col("main")).alias("in_main"))
     test = (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _plausible(F.col("sa"), F.col("sb"), percent)
-    test = test & (_ones(F.col("fa"), F.col("fb")) <= MAX_FINE_XOR)
+    # of the buckets that a pair shares, the first one lists it; a bucket of two was compared as leader and member
+    shared = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True)
+    test = test & (_ones(F.col("fa"), F.col("fb")) <= MAX_FINE_XOR) & (shared == F.array_position("ba", F.col("l.key")))
     near = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.cell") == F.col("r.cell")) & test)
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
