@@ -37,6 +37,7 @@ RAW = frozenset("script style noscript template svg math object canvas".split())
 #: A new start of the first kind ends an open element of the second.
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _CLOSES_P = BLOCK - {"button", "label", "option", "optgroup", "body", "html", "head", "title"}
+_STRUCTURE = frozenset(f"tag={t}" for t in ("article", "main", "aside", "nav", "footer", "header", "form", "section", "title"))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 _NAMES = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -135,6 +136,8 @@ def block_features(blocks: list[tuple[str, tuple[str, ...], int]]) -> list[list[
             f.append("copyright")
         if "article" not in "".join(names) and "main" not in "".join(names):
             f.append("outside")
+        inner = [n for n in names if n.startswith("name=") or n in _STRUCTURE]
+        f.append(f"near={inner[-1]}" if inner else "near=")
         if any(n in ("tag=article", "tag=main", "name=main", "name=content", "name=article", "name=post", "name=entry", "name=story") for n in names):
             f.append("inside")
         out.append(f)
@@ -275,7 +278,8 @@ def _page(rng: random.Random) -> str:
 
     def notice() -> str:
         name = pick_one(["cookie", "cookie-notice", "notice", "alert", "consent", "gdpr-banner", "popup", "newsletter", "subscribe", "modal", "message", "warning", "paywall"])
-        return f'<{pick_one(["div", "div", "section", "aside"])} {pick_one(["class", "id"])}="{name}"><p>{_sentence(rng)}</p>' + pick_one(["", "<button>OK</button>"]) + pick_one(["</div>", "</section></aside></div>"])
+        tag = pick_one(["div", "div", "section", "aside"])
+        return f'<{tag} {pick_one(["class", "id"])}="{name}"><p>{_sentence(rng)}</p>' + pick_one(["", "<button>OK</button>"]) + f"</{tag}>"
 
     def sidebar() -> str:
         name = pick_one(["sidebar", "related", "widget", "side", "recommended", "more", "popular", "trending", "share", "social", "tags", "author-bio", "breadcrumb"])
@@ -286,7 +290,8 @@ def _page(rng: random.Random) -> str:
         one = pick_one(["comment", "reply", "user-comment", "review"])
         body = "".join(f'<div class="{one}"><p>{_sentence(rng)}</p></div>' if chance() < 0.6 else f"<li><p>{_sentence(rng)}</p></li>" for _ in range(rng.randint(1, 4)))
         name = pick_one(["comments", "comment-list", "discussion", "disqus-thread", "responses", "replies"])
-        return f'<{pick_one(["section", "div", "ol"])} {pick_one(["class", "id"])}="{name}">' + pick_one(["", f"<h3>{_words(rng, 1, 2)}</h3>"]) + body + pick_one(["</section>", "</div></ol></section>"])
+        tag = pick_one(["section", "div", "ol"])
+        return f'<{tag} {pick_one(["class", "id"])}="{name}">' + pick_one(["", f"<h3>{_words(rng, 1, 2)}</h3>"]) + body + f"</{tag}>"
 
     def form() -> str:
         return f'<form action="/s"><label>{_words(rng, 1, 3)}</label><input name=q>' + pick_one(["", f"<p>{_sentence(rng)}</p>", f"<select><option>{_words(rng, 1, 1)}<option>{_words(rng, 1, 1)}</select>"]) + f"<button>{_words(rng, 1, 2)}</button></form>"
@@ -318,7 +323,9 @@ def _page(rng: random.Random) -> str:
     attrs = f' class="{name}"' if tag in ("div", "section") or chance() < 0.3 else ""
     article = f"<{tag}{attrs}>{body}</{tag}>"
     if chance() < 0.25:
-        article = f'<{pick_one(["main", "div"])} id="{pick_one(["main", "content", "page", "wrapper"])}">{article}{pick_one(["", advert(), sidebar(), comments()])}' + pick_one(["</main>", "</main></div>"])
+        outer = pick_one(["main", "div"])
+        more = pick_one(["", advert(), sidebar(), comments()])
+        article = f'<{outer} id="{pick_one(["main", "content", "page", "wrapper"])}">{article}{more}</{outer}>'
     before = [f() for f in (header, menu, notice, advert, form, sidebar) if chance() < 0.45]
     after = [f() for f in (comments, sidebar, form, notice, advert, menu) if chance() < 0.35]
     rng.shuffle(after)
