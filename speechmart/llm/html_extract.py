@@ -321,6 +321,8 @@ def _page(rng: random.Random) -> str:
     body = "".join(inner)
     tag = pick_one(["article", "article", "article", "main", "div", "section"])
     attrs = f' class="{name}"' if tag in ("div", "section") or chance() < 0.3 else ""
+    if tag == "div" and chance() < 0.3:  # a container whose name tells nothing, or none
+        attrs = pick_one(["", f' class="{_words(rng, 1, 1)}"'])
     article = f"<{tag}{attrs}>{body}</{tag}>"
     if chance() < 0.25:
         outer = pick_one(["main", "div"])
