@@ -33,8 +33,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document for every group of near copies."""
-    return keep_representatives(docs)
+    """One document for every group of near copies, linked at a similarity of 0.8 or more."""
+    return keep_representatives(docs, percent=80)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ A document's set is its distinct five-word shingles, as 64-bit hashes. Documents
 form one class and are represented by their smallest id. Each class gets MinHash samples, whose
 bands propose candidates, and an odd sketch: the samples folded into a parity bitmap. The number of
 ones in the XOR of two sketches is at most twice the number of samples that differ, so a pair whose
-XOR has more ones than ``MAX_XOR`` differs in more samples than a linked pair ever does in practice,
+XOR has more ones than ``max_xor`` differs in more samples than a linked pair ever does in practice,
 and is dropped without reading its sets. All pairs that remain are confirmed on the full sets.
 
 Pairs are never all listed within a bucket. First every member is held against its bucket's smallest
@@ -12,12 +12,13 @@ id. Then components are built, and only members of different components that sti
 are compared: those outside a bucket's largest component against all others, in cells of bounded
 size. Members of one component need no further pair, so no link between components is lost. These
 pairs also pass a fine odd sketch (1024 samples on 4096 bits), which only bucket members have: it
-tells 0.85 from 0.78 and keeps loose families, whose members are near but not linked, from listing
+tells the least similarity from one 0.07 below and keeps loose families, whose members are near but not linked, from listing
 their pairs.
 
-A link at similarity 0.85 misses all 24 bands of 4 with a chance of 2e-8, has more than 36 of 96
-samples different with a chance of 1e-8, and exceeds ``MAX_FINE_XOR`` (5.6 standard deviations above
-the mean of 286 ones) with a chance of 1e-8.
+Both limits follow from the least similarity. A link at it has more samples different than
+``max_xor`` allows with a chance of 2e-8 at most, and exceeds ``max_fine_xor`` (5.6 standard
+deviations above the mean) with a chance of 1e-8. It misses all 24 bands of 4 with a chance of 2e-8
+at 0.85 and of 3e-6 at 0.80.
 
 Texts that are null, empty or without words have an empty set and are linked with nothing; texts
 with fewer than five words have one shingle, the whole sequence. Rows that share an id count as one
@@ -27,6 +28,7 @@ document of the graph; rows without an id are in no group. An empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,7 @@ from .common import materialize, pick
 WORDS, BANDS, ROWS = 5, 24, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-MAX_XOR = 72
 FINE_SAMPLES, FINE_BITS = 1024, 4096
-MAX_FINE_XOR = 400
 CELL = 2048
 FILTER_BITS = 1 << 27
 _rng = np.random.default_rng(20)
@@ -50,6 +50,27 @@ _B = _rng.integers(0, 1 << 63, SAMPLES + FINE_SAMPLES, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def max_xor(percent: int) -> int:
+    """Twice the least number of samples that a link exceeds with a chance of 2e-8 at most."""
+    same, tail = percent / 100, 0.0
+    for k in range(SAMPLES, 0, -1):
+        tail += comb(SAMPLES, k) * (1 - same) ** k * same ** (SAMPLES - k)
+        if tail > 2e-8:
+            return 2 * k
+    return 0
+
+
+def max_fine_xor(percent: int) -> int:
+    """5.6 standard deviations above the mean of the ones in the XOR of two fine sketches."""
+    same, n = percent / 100, FINE_BITS
+    one, two = ((same + (1 - same) * (1 - k / n) ** 2) ** FINE_SAMPLES for k in (2, 4))
+    return int(n / 2 * (1 - one) + 5.6 * sqrt(max(0.0, n + n * (n - 1) * two - (n * one) ** 2)) / 2)
+
+
+#: The limits at the least similarity of 0.85.
+MAX_XOR, MAX_FINE_XOR = max_xor(85), max_fine_xor(85)
+
+
 def _stir(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -130,7 +151,7 @@ def _ones(a: Column, b: Column) -> Column:
 def _plausible(a: Column, b: Column, percent: int) -> Column:
     """Whether two classes' sizes and sketches allow a link."""
     size = F.lit(100) * F.least(a["n"], b["n"]) >= F.lit(percent) * F.greatest(a["n"], b["n"])
-    return size & (_ones(a["sketch"], b["sketch"]) <= MAX_XOR)
+    return size & (_ones(a["sketch"], b["sketch"]) <= max_xor(percent))
 
 
 def _id_filter(ids: DataFrame, spark) -> np.ndarray:
@@ -228,7 +249,7 @@ def _across(members: DataFrame, roots: DataFrame, classes: DataFrame, sets: Data
     test = (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _plausible(F.col("sa"), F.col("sb"), percent)
     # of the buckets that a pair shares, the first one lists it; a bucket of two was compared as leader and member
     shared = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True)
-    test = test & (_ones(F.col("fa"), F.col("fb")) <= MAX_FINE_XOR) & (shared == F.array_position("ba", F.col("l.key")))
+    test = test & (_ones(F.col("fa"), F.col("fb")) <= max_fine_xor(percent)) & (shared == F.array_position("ba", F.col("l.key")))
     near = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.cell") == F.col("r.cell")) & test)
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from speechmart.llm import html_extract, language_id, near_dedup
 
 from .conftest import prose
@@ -95,6 +96,33 @@ def test_links_between_clusters_of_one_bucket(spark):
     assert {r["component_id"] for r in near_dedup.near_duplicates(df).collect()} == {0}
 
 
+def test_pipeline_stage_links_from_four_fifths_on(spark):
+    base = prose(77, 300).split()
+    rows = [(0, " ".join(base))]
+    for k in range(1, 9):  # neighbours are at 0.82, the ends far apart
+        base = list(base)
+        base[k * 30 : k * 30 + 25] = [f"new{k}{j}" for j in range(25)]
+        rows.append((k, " ".join(base)))
+    sets = [set(near_dedup.shingle_set(t).tolist()) for _, t in rows]
+    assert all(0.8 <= len(a & b) / len(a | b) < 0.83 for a, b in zip(sets, sets[1:], strict=False))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()] == [0]
+
+
+def test_limits_follow_from_the_similarity():
+    assert (near_dedup.max_xor(85), near_dedup.max_fine_xor(85)) == (72, 400)
+    rng, ones = np.random.default_rng(4), []
+    for _ in range(40):
+        one = rng.integers(0, 1 << 62, 900, dtype=np.uint64)
+        two = np.concatenate([one[100:], rng.integers(0, 1 << 62, 100, dtype=np.uint64)])  # 800 of 1000
+        low = [near_dedup.samples(s, 0, near_dedup.SAMPLES + near_dedup.FINE_SAMPLES) for s in (one, two)]
+        fine = [near_dedup.odd_sketch(x[near_dedup.SAMPLES :], near_dedup.FINE_BITS) for x in low]
+        coarse = [near_dedup.odd_sketch(x[: near_dedup.SAMPLES]) for x in low]
+        ones.append([sum(int(v).bit_count() for v in (x[0] ^ x[1]).view(np.uint64)) for x in (coarse, fine)])
+    assert max(x for _, x in ones) > near_dedup.MAX_FINE_XOR
+    assert all(c <= near_dedup.max_xor(80) and f <= near_dedup.max_fine_xor(80) for c, f in ones)
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     rows = near_dedup.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
