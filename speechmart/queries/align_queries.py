@@ -334,7 +334,7 @@ def ctc_collapse(spark, d):
 def _turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("pair_id"), "turn", F.slice(T.words(F.col("text")), 1, 40).alias("heard"), F.slice(T.words(nxt), 1, 40).alias("written")).filter("written is not null")
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("pair_id"), "turn", T.words(F.col("text")).alias("heard"), T.words(nxt).alias("written")).filter("written is not null")
 
 
 @query()
@@ -345,11 +345,11 @@ def dtw_align(spark, d):
 
 @query()
 def word_aligned_segments(spark, d):
-    """Segments cut along the warping path; heard words are spread over ten seconds a turn."""
-    p = _turn_pairs(spark, d)
-    step = F.lit(12.0) / F.size("heard")
+    """Segments cut along the warping path; heard words are spread over twelve seconds a turn, or 0.3 each if that is longer."""
+    p = _turn_pairs(spark, d).withColumn("end", F.greatest(F.lit(12.0), 0.3 * F.size("heard")))
+    step = F.col("end") / F.size("heard")
     heard = F.transform("heard", lambda w, i: F.struct(w.alias("word"), (i * step).alias("start"), ((i + 1) * step).alias("end")))
-    q = p.select("pair_id", F.lit("s").alias("session"), F.lit(0.0).alias("start"), F.lit(12.0).alias("end"), heard.alias("heard"), "written")
+    q = p.select("pair_id", F.lit("s").alias("session"), F.lit(0.0).alias("start"), "end", heard.alias("heard"), "written")
     return dtw.word_segments(q).select("pair_id", "piece", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "text", F.round("align_score", 6).alias("align_score"))
 
 

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from speechmart.operators import anchors, asr, chunks, corrections, ctc, dtw, scoring, segments, sequences, splits, tiers, vad, vocab
+from speechmart.queries import catalog
 from speechmart.sources import io as sources
 from speechmart.streaming import streams
 
@@ -213,3 +214,14 @@ def test_streams(spark, tmp_path):
     ev = spark.createDataFrame([(1, "2024-01-01 00:00:01", 1.0), (1, "2024-01-01 00:00:02", 2.0), (1, "2024-01-01 00:00:12", 4.0)], "user_id int, t string, value double").withColumn("ts", F.to_timestamp("t"))
     assert sorted(r["n"] for r in streams.regrid_stream(ev, "user_id").collect()) == [1, 2]
     assert sorted(r["n"] for r in streams.session_stream(ev, "user_id", gap="5 seconds").collect()) == [1, 2]
+
+
+def test_alignments_take_whole_turns(spark, tmp_path):
+    words = [f"word{k}" + "." * (k % 10 == 9) for k in range(120)]
+    rows = [(1, 0, "user", " ".join(words)), (1, 1, "user", " ".join(words)), (2, 0, "user", "a b c d"), (2, 1, "user", "a b c d")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert {(r["pair_id"], r["path_length"]) for r in run("dtw_align")} == {(100, 120), (200, 4)}
+    assert {(r["pair_id"], r["length"]) for r in run("difflib_blocks")} == {(100, 120), (200, 4)}
+    pieces = [r for r in run("word_aligned_segments") if r["pair_id"] == 100]
+    assert {w for r in pieces for w in r["text"].split()} == set(words) and max(r["end"] for r in pieces) == 36.0
