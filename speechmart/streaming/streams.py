@@ -21,9 +21,14 @@ def regrid_stream(events: DataFrame, key: str, time: str = "ts", size: str = "10
     return w.agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "total")
 
 
-def session_stream(events: DataFrame, key: str, time: str = "ts", gap: str = "30 minutes", late: str = "1 minute") -> DataFrame:
-    """Runs of events without a gap, by session windows."""
-    s = events.withWatermark(time, late).groupBy(key, F.session_window(time, gap))
+def session_stream(events: DataFrame, key: str, time: str = "ts", gap: str = "30 minutes", late: str | None = "1 minute") -> DataFrame:
+    """Runs of events without a gap, by session windows.
+
+    Rows later than the watermark are lost, in complete mode too. Without ``late`` there is no
+    watermark: nothing is lost and no state is dropped, which only complete and update mode allow.
+    """
+    timed = events.withWatermark(time, late) if late else events
+    s = timed.groupBy(key, F.session_window(time, gap))
     return s.agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 

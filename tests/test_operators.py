@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import functools
 import json
+import os
 import random
 import zipfile
 
@@ -12,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from speechmart.operators import anchors, asr, chunks, corrections, ctc, dtw, scoring, segments, sequences, splits, tiers, vad, vocab
-from speechmart.queries import catalog
+from speechmart.queries import catalog, stream_queries
 from speechmart.sources import io as sources
 from speechmart.streaming import streams
 
@@ -225,3 +227,16 @@ def test_alignments_take_whole_turns(spark, tmp_path):
     assert {(r["pair_id"], r["length"]) for r in run("difflib_blocks")} == {(100, 120), (200, 4)}
     pieces = [r for r in run("word_aligned_segments") if r["pair_id"] == 100]
     assert {w for r in pieces for w in r["text"].split()} == set(words) and max(r["end"] for r in pieces) == 36.0
+
+
+def test_sessions_of_files_out_of_order(spark, tmp_path, monkeypatch):
+    rows = [(k % 3, f"2024-01-{day:02d} 00:00:{k:02d}", float(k)) for day in (20, 5, 12) for k in range(10)]
+    events = spark.createDataFrame(rows, "user_id long, t string, value double").select("user_id", F.to_timestamp("t").alias("ts"), "value")
+    for n, day in enumerate((20, 5, 12)):  # the newest events come first
+        seen = set(tmp_path.glob("events.parquet/part-*"))
+        events.filter(F.dayofmonth("ts") == day).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        for f in set(tmp_path.glob("events.parquet/part-*")) - seen:
+            os.utime(f, (1_700_000_000 + 60 * n,) * 2)
+    monkeypatch.setattr(stream_queries, "new_files", functools.partial(streams.new_files, max_files=1))
+    got = stream_queries.stream_sessions(spark, str(tmp_path)).collect()
+    assert sum(r["n"] for r in got) == 30 and len(got) == 9
