@@ -43,19 +43,35 @@ def folded_name(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, "_", ""))
 
 
-def fuzzy_name_join(names: DataFrame, others: DataFrame, name: str, other: str, max_other_names: int = 100_000) -> DataFrame:
+def _lengths(texts: DataFrame, text: str) -> list[int]:
+    """The distinct lengths of a column, as few as its longest text has characters."""
+    return sorted(r[0] for r in texts.select(F.length(text)).distinct().collect() if r[0] is not None)
+
+
+def _pieces(text: Column, lengths: list[int]) -> Column:
+    """The distinct substrings of the given lengths."""
+    fits = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(text))
+    starts = lambda n: F.sequence(F.lit(1), F.length(text) - n + 1)
+    return F.array_distinct(F.flatten(F.transform(fits, lambda n: F.transform(starts(n), lambda i: F.substring(text, i, n)))))
+
+
+def fuzzy_name_join(names: DataFrame, others: DataFrame, name: str, other: str, max_other_names: int | None = None) -> DataFrame:
     """The first other name, in name order, that contains a name or is contained in it.
 
-    Containment has no equality key, so every name meets every distinct other name. That side is the
-    list of transcript files, and the join refuses to run when it is larger than ``max_other_names``.
+    The shorter of two such names equals a substring of the longer one, so both directions are joins on
+    an equal key: substrings of the lengths that the other side has. Every key keeps its first other
+    name only, so a common substring makes no more rows than there are names. With ``max_other_names``
+    the join refuses a larger list of other names.
     """
-    distinct = others.select(F.col(other)).distinct()
-    n = distinct.count()
-    if n > max_other_names:
-        raise ValueError(f"{n} distinct names on the broadcast side, more than {max_other_names}")
-    a, b = folded_name(F.col(name)), folded_name(F.col(other))
-    pairs = names.select(name).distinct().join(F.broadcast(distinct), a.contains(b) | b.contains(a))
-    return pairs.groupBy(name).agg(F.min(other).alias(other))
+    if max_other_names is not None and (n := others.select(other).distinct().count()) > max_other_names:
+        raise ValueError(f"{n} distinct names, more than {max_other_names}")
+    a = names.select(F.col(name).alias("_name"), folded_name(F.col(name)).alias("_key")).filter("_key is not null").distinct()
+    b = others.select(F.col(other).alias("_other"), folded_name(F.col(other)).alias("_key")).filter("_key is not null")
+    b = b.groupBy("_key").agg(F.min("_other").alias("_other"))
+    held = a.select("_name", F.explode(_pieces(F.col("_key"), _lengths(b, "_key"))).alias("_key")).join(b, "_key")
+    holding = b.select("_other", F.explode(_pieces(F.col("_key"), _lengths(a, "_key"))).alias("_key")).groupBy("_key").agg(F.min("_other").alias("_other"))
+    pairs = held.select("_name", "_other").unionAll(a.join(holding, "_key").select("_name", "_other"))
+    return pairs.groupBy(F.col("_name").alias(name)).agg(F.min("_other").alias(other))
 
 
 def merge_scores(segments: DataFrame, scores: DataFrame, key: str = "id") -> DataFrame:

@@ -240,3 +240,17 @@ def test_sessions_of_files_out_of_order(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stream_queries, "new_files", functools.partial(streams.new_files, max_files=1))
     got = stream_queries.stream_sessions(spark, str(tmp_path)).collect()
     assert sum(r["n"] for r in got) == 30 and len(got) == 9
+
+
+def test_names_join_without_a_cap(spark):
+    rng = random.Random(5)
+    pick = lambda n: ["".join(rng.choices("aB_é", k=rng.randint(0, 7))) for _ in range(n)]
+    fold = lambda x: x.replace("_", "").lower()
+    names, others = [*pick(60), "long_Name_One", None], [*pick(40), "longnameoneandmore", None]
+    for theirs in (others, [x for x in others if x and len(fold(x)) > 3]):
+        want = {n: min(hits) for n in names if n is not None and (hits := [o for o in theirs if o is not None and (fold(n) in fold(o) or fold(o) in fold(n))])}
+        got = scoring.fuzzy_name_join(spark.createDataFrame([(x,) for x in names], "n string"), spark.createDataFrame([(x,) for x in theirs], "o string"), "n", "o")
+        assert {r["n"]: r["o"] for r in got.collect()} == want and got.count() == len(want)
+    many = spark.range(100_001).select(F.format_string("File_%07d", "id").alias("o"))
+    got = scoring.fuzzy_name_join(many.filter("o like '%0000'").withColumnRenamed("o", "n"), many, "n", "o")
+    assert got.filter("n = o").count() == 11
