@@ -217,8 +217,11 @@ p3 AS (SELECT *, unnest(range(0, n)) AS sl FROM p2), p4 AS (SELECT *, CASE WHEN
  round(0.8 - CASE WHEN nw / dt < 1 OR nw / dt > 4.5 THEN 0.1 ELSE 0 END - CASE WHEN n > 1 THEN 0.05 ELSE 0 END, 5) AS confidence FROM p4 WHERE sz > 0"""
 )
 def pair_segments(spark, d):
-    ws = F.transform(F.sequence(F.lit(0), F.lit(3000)), lambda i: F.concat(F.lit("w"), i.cast("string")))
-    s = segments.pair_segments(segments.anchor_pairs(_plain_sequence(spark, d)), ws, F.lit(0.8))
+    # a transcript without end: every pair brings its own words, counted from its first
+    ws = F.transform(F.sequence("word_start", "word_end"), lambda i: F.concat(F.lit("w"), i.cast("string")))
+    pairs = segments.anchor_pairs(_plain_sequence(spark, d)).withColumn("own", ws)
+    pairs = pairs.withColumns({"word_start": F.lit(0), "word_end": F.col("word_end") - F.col("word_start")})
+    s = segments.pair_segments(pairs, F.col("own"), F.lit(0.8))
     return s.select("audio_stem", "pos", "slice", "word_count", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"), F.round("confidence", 5).alias("confidence"))
 
 

@@ -182,7 +182,8 @@ SELECT conv_id, turn, old AS sequence_confidence, CASE WHEN id % 2 = 0 THEN id /
 )
 def merge_scores_by_position(spark, d):
     c = read(spark, d, "conversations").select("conv_id", "turn", (F.length("text") % 10 / 10.0).alias("confidence"))
-    sc = c.select("conv_id").distinct().withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(100), F.lit(2)).cast("array<bigint>")))
+    turns = c.groupBy("conv_id").agg(F.count("*").alias("n"))
+    sc = turns.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(2).cast("long"))).alias("id"))
     sc = sc.withColumn("llm_confidence", F.col("id") / 8.0)
     return scoring.merge_scores_by_position(c, sc, ["turn"], "conv_id").select("conv_id", "turn", "sequence_confidence", "confidence")
 

@@ -6,6 +6,7 @@ import os
 import random
 import zipfile
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -254,3 +255,17 @@ def test_names_join_without_a_cap(spark):
     many = spark.range(100_001).select(F.format_string("File_%07d", "id").alias("o"))
     got = scoring.fuzzy_name_join(many.filter("o like '%0000'").withColumnRenamed("o", "n"), many, "n", "o")
     assert got.filter("n = o").count() == 11
+
+
+@pytest.mark.parametrize("name", ["pair_segments", "merge_scores_by_position"])
+def test_long_conversations_equal_sql(spark, tmp_path, name):
+    rows = [(1, k, "user", "x " * (k % 5) + "that this") for k in range(1200)] + [(2, k, "user", "from here that") for k in range(3)]
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(path)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+    want = duck.execute(catalog.oracle_sql()[name]).df()
+    got = catalog.queries()[name](spark, str(tmp_path)).toPandas()[list(want.columns)]
+    keys = list(want.columns)[:3]
+    assert len(want) > 1000
+    pd.testing.assert_frame_equal(got.sort_values(keys, ignore_index=True), want.sort_values(keys, ignore_index=True), check_dtype=False, atol=1e-9)
