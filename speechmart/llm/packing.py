@@ -47,12 +47,14 @@ class WordCachedTokenizer:
     """Ids of whole texts by the ``tokenizers`` library, with repeated words remembered.
 
     The byte-level pattern never joins two words at a single space, so " word" is encoded on its own;
-    texts with longer runs of white space around a space are given to the library whole.
+    texts with longer runs of white space around a space, or with one of the vocabulary's added tokens
+    in them, are given to the library whole.
     """
 
     def __init__(self, vocabulary: str, cache_words: int = CACHE_WORDS) -> None:
         self.library = Tokenizer.from_str(vocabulary)
-        self.library.encode_special_tokens = True
+        #: Strings that the library gives one id of their own, wherever they stand in a text.
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {_FIRST: b""}
         self.tails: dict[str, bytes] = {}
         self.cache_words = cache_words
@@ -87,7 +89,7 @@ class WordCachedTokenizer:
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         words = text.split(" ")
-        if "" in words or _SPACED.search(text):
+        if "" in words or _SPACED.search(text) or any(a in text for a in self.added):
             return self._encode([text])[0]
         known, first = self.words, words[0]
         words[0] = _FIRST

@@ -53,15 +53,16 @@ def test_best_fill_is_optimal():
 def test_cached_tokenizer_equals_the_library(monkeypatch):
     with open(VOCABULARY, encoding="utf-8") as f:
         coder = packing.WordCachedTokenizer(f.read(), cache_words=50)
-    rng = random.Random(9)
-    for _ in range(4000):
-        text = "".join(rng.choice("ab'st  \n\t.,!é1中 ") for _ in range(rng.randint(1, 25)))
-        assert np.frombuffer(coder.encode(text), "<u4").tolist() == coder.library.encode(text, add_special_tokens=False).ids, text
+    library, rng = Tokenizer.from_file(VOCABULARY), random.Random(9)
+    bits = [*"ab'st  \n\t.,!é1中 ", "<|endoftext|>", "<|endof", " word", " two words"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(4000)]
+    for text in [*texts, "a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|><|endoftext|>b c"]:
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert library.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
 
 
 def test_packing_query(odd_docs, no_docs):
     library = Tokenizer.from_file(VOCABULARY)
-    library.encode_special_tokens = True
     rows = packing.pack_documents(odd_docs, VOCABULARY).collect()
     want = sorted((r["doc_id"] or 0, [*library.encode(r["text"] or "", add_special_tokens=False).ids, 0]) for r in odd_docs.collect())
     pieces, windows = defaultdict(list), defaultdict(list)
