@@ -85,26 +85,60 @@ def test_packing_query(odd_docs, no_docs):
     assert packing.pack_documents(no_docs, VOCABULARY).count() == 0
 
 
-def test_shards(spark, odd_docs, no_docs, tmp_path):
-    rows = sharding.shard_documents(odd_docs, map_path=str(tmp_path / "map")).collect()
-    assert len(rows) == odd_docs.count()
-    by = defaultdict(list)
+def check_shards(rows, docs, n_shards):
+    """Every row once, with its own size and digest, one shard per virtual slot, places gapless in each shard."""
+    want = sorted(((r["doc_id"] is None, r["doc_id"] or 0), len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs)
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["size"], r["text_crc32"]) for r in rows) == want
+    by, shard_of = defaultdict(list), {}
     for r in rows:
         by[r["shard"]].append(r["slot"])
+        assert shard_of.setdefault(r["virtual_slot"], r["shard"]) == r["shard"] < n_shards
+        assert r["law"] == "bytes" and r["grown_shard"] is None
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
-    texts = defaultdict(set)
-    for r in odd_docs.collect():
-        raw = (r["text"] or "").encode()
-        texts[r["doc_id"]].add((len(raw) + 1, zlib.crc32(raw)))
-    assert all((r["size"], r["text_crc32"]) in texts[r["doc_id"]] for r in rows)
-    assert spark.read.parquet(str(tmp_path / "map")).count() == sharding.VIRTUAL_SLOTS
+    return shard_of
+
+
+def test_shards(odd_docs, no_docs):
+    assert check_shards(sharding.shard_documents(odd_docs).collect(), odd_docs.collect(), 8)
     assert sharding.shard_documents(no_docs).count() == 0
 
 
-def test_shard_bytes_are_near_equal_and_rebalancing_moves_little():
+def test_shards_follow_the_stored_versions(spark, tmp_path):
+    rng, path = random.Random(3), str(tmp_path / "map")
+    texts = ["hot copy"] * 1500 + ["x" * rng.randint(0, 400) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    docs = df.collect()
+    rows = sharding.shard_documents(df, map_path=path).collect()
+    placed = check_shards(rows, docs, 8)
+    assert {r["map_version"] for r in rows} == {2}
+    assert sharding.load_map(spark, path, 1) == (1, [s % 8 for s in range(4096)])
+    version, shards = sharding.load_map(spark, path)
+    assert version == 2 and all(shards[v] == s for v, s in placed.items())
+    load = defaultdict(int)
+    for r in rows:
+        load[r["shard"]] += r["size"]
+    assert len(load) == 8 and max(load.values()) - min(load.values()) < 0.01 * sum(load.values()) / 8
+    # the hot text is spread over all shards
+    hot = defaultdict(int)
+    for r in rows:
+        hot[r["shard"]] += r["text_crc32"] == zlib.crc32(b"hot copy")
+    assert min(hot.values()) > 100
+    # the same rows again: nothing moves, no version is added
+    assert {r["map_version"] for r in sharding.shard_documents(df, map_path=path).collect()} == {2}
+    # one more shard: version 3, and rows only move into the new shard
+    grown = sharding.shard_documents(df, n_shards=9, map_path=path).collect()
+    moved = check_shards(grown, docs, 9)
+    assert {r["map_version"] for r in grown} == {3}
+    assert all(s in (placed[v], 8) for v, s in moved.items()) and 8 in moved.values()
+    # an older version still places rows as it did
+    again = sharding.shard_documents(df, map_path=path, map_version=2).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+
+
+def test_rebalancing_moves_little():
     rng = random.Random(6)
     slot_bytes = {s: rng.randint(1000, 3000) for s in range(4096)}
-    old = sharding.build_map(slot_bytes, 8)
+    old = sharding.rebalance(sharding.first_map(8), slot_bytes, 8)
     loads = [sum(b for s, b in slot_bytes.items() if old[s] == k) for k in range(8)]
     assert max(loads) - min(loads) < 3000
     new = sharding.rebalance(old, slot_bytes, 9)
@@ -112,6 +146,8 @@ def test_shard_bytes_are_near_equal_and_rebalancing_moves_little():
     assert moved and all(new[s] == 8 for s in moved)
     loads = [sum(b for s, b in slot_bytes.items() if new[s] == k) for k in range(9)]
     assert max(loads) < 1.02 * sum(loads) / 9
+    gone = sharding.rebalance(new, slot_bytes, 7)
+    assert max(gone) == 6 and all(gone[s] == new[s] or new[s] >= 7 or gone[s] < 7 for s in range(4096))
 
 
 def test_cuckoo_index_inserts_deletes_and_grows():
