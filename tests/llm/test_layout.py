@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -154,12 +155,45 @@ def test_cuckoo_index_inserts_deletes_and_grows():
     rng = random.Random(1)
     index, keys = exact_dedup.CuckooIndex(8), [rng.randbytes(32) for _ in range(3000)]
     for k, key in enumerate(keys):
+        assert index.find(key) is None
         index.insert(key, [k])
-    assert index.resizes > 0 and all(index.find(key) == [k] for k, key in enumerate(keys))
+    # misses were told by the filter: hardly any stored digest was read
+    assert index.reads < 60 and index.resizes > 0
+    assert all(index.find(key) == [k] for k, key in enumerate(keys))
     for key in keys[::2]:
         index.delete(key)
     assert all(index.find(key) is None for key in keys[::2]) and all(index.find(key) for key in keys[1::2])
     assert all(index.maybe(key) for key in keys[1::2])
+    for k, key in enumerate(keys[::2]):  # deleted digests come back, through further resizings
+        index.insert(key, [-k])
+    for k in range(6000):
+        index.insert(rng.randbytes(32), [k])
+    assert all(index.find(key) == [-k] for k, key in enumerate(keys[::2])) and len(index.keys) == 9000
+
+
+def test_fingerprint_clashes_are_verified():
+    """Digests that share fingerprint and buckets are told apart by what is stored."""
+    index, keys = exact_dedup.CuckooIndex(8), [bytes(10) + bytes([k]) * 22 for k in range(7)]
+    for k, key in enumerate(keys):
+        assert index.find(key) is None
+        index.insert(key, [k])
+    index.delete(keys[3])
+    assert [index.find(key) for key in keys] == [[0], [1], [2], None, [4], [5], [6]]
+
+
+def test_buckets_overflow_and_replace_owners(spark):
+    """One bucket of the query: its filter grows, and better owners replace live ones; results as by brute force."""
+    rng = random.Random(2)
+    shas = [rng.randbytes(32).hex() for _ in range(900)]
+    rows = [(salt, sha, rng.random() < 0.9, rng.randint(0, 50), k, rng.randint(1, 9)) for k, (salt, sha) in enumerate((s, x) for s in range(6) for x in shas)]
+    rng.shuffle(rows)
+    pdf = pd.DataFrame(rows, columns=["salt", "text_sha256", "has_id", "top_id", "top_rid", "n"])
+    got = exact_dedup._resolve(pdf)
+    best, size = {}, defaultdict(int)
+    for _, sha, *owner, n in rows:
+        best[sha] = max(best.get(sha, (False, 0, -1)), tuple(owner))
+        size[sha] += n
+    assert [(sha, h, t, r, n) for _, sha, h, t, r, n in got.itertuples(index=False)] == [(sha, *best[sha], size[sha]) for _, sha, *_ in rows]
 
 
 def test_exact_dedup(odd_docs, no_docs):
@@ -173,5 +207,15 @@ def test_exact_dedup(odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and sum(r["kept"] for r in rows) == len(groups)
     size = {i: (max((x for x in ids if x is not None), default=None), len(ids)) for ids in groups.values() for i in ids}
     assert all((r["keep_id"], r["group_size"]) == size[r["doc_id"]] for r in rows)
-    assert exact_dedup.keep_first_texts(odd_docs).count() == len(groups)
+    kept = exact_dedup.keep_first_texts(odd_docs)
+    assert kept.columns == odd_docs.columns and kept.count() == len(groups)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in rows if r["kept"])
+    assert exact_dedup.keep_first_texts(no_docs).count() == 0
     assert exact_dedup.dedup_exact(no_docs).count() == 0
+
+
+def test_rows_equal_in_id_and_text_keep_their_greatest_columns(spark):
+    rows = [(1, "A", 3, {"k": 1}), (1, "a", 7, {"k": 2}), (1, "a", 5, None), (None, "b", 1, None), (None, "b", 2, None), (0, "c", 9, None), (None, "c", 99, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _sha int, extra map<string,int>").repartition(3)
+    got = sorted(((r["doc_id"], r["text"], r["_sha"]) for r in exact_dedup.keep_first_texts(df).collect()), key=str)
+    assert got == [(0, "c", 9), (1, "a", 7), (None, "b", 2)]
