@@ -7,13 +7,21 @@ ones in the XOR of two sketches is at most twice the number of samples that diff
 XOR has more ones than ``max_xor`` differs in more samples than a linked pair ever does in practice,
 and is dropped without reading its sets. All pairs that remain are confirmed on the full sets.
 
-Pairs are never all listed within a bucket. First every member is held against its bucket's smallest
-id. Then components are built, and only members of different components that still share a bucket
-are compared: those outside a bucket's largest component against all others, in cells of bounded
-size. Members of one component need no further pair, so no link between components is lost. These
-pairs also pass a fine odd sketch (1024 samples on 4096 bits), which only bucket members have: it
-tells the least similarity from one 0.07 below and keeps loose families, whose members are near but not linked, from listing
-their pairs.
+Buckets with the same members count once. Pairs are never listed within a bucket. First every member
+is held against its bucket's smallest id. Then components are built, and only members of different
+components that still share a bucket are compared: those outside a bucket's largest component with
+all others, in cells of bounded size (a grid of blocks, each pair of blocks met once). Members of one
+component need no further pair, so no link between components is lost. A cell is one sorted run of
+rows in one task and is visited twice:
+
+* with fine odd sketches (1024 samples on 4096 bits, which tell the least similarity from one 0.07
+  below). It names the members that have a plausible partner there, a pair counting only in the first
+  bucket that it shares;
+* with the full sets of those members. Candidates come from an exact prefix filter (a link at least
+  shares one of the rarest shingles of either side), are confirmed on the sets at once and joined in
+  a union-find, and only the joining edges leave the task.
+
+So both visits send on a number of rows that is linear in the members, however many pairs are near.
 
 Both limits follow from the least similarity. A link at it has more samples different than
 ``max_xor`` allows with a chance of 2e-8 at most, and exceeds ``max_fine_xor`` (5.6 standard
@@ -36,14 +44,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import materialize, pick, sorted_runs
 
 WORDS, BANDS, ROWS = 5, 24, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 FINE_SAMPLES, FINE_BITS = 1024, 4096
-CELL = 2048
-FILTER_BITS = 1 << 27
+#: Members of a block: a share of the bucket within these bounds, and no more shingles than that.
+BLOCK_LEAST, BLOCK_MOST, BLOCK_SHARE, BLOCK_SHINGLES = 256, 4096, 64, 1 << 20
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, SAMPLES + FINE_SAMPLES, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, SAMPLES + FINE_SAMPLES, dtype=np.uint64)
@@ -154,39 +162,27 @@ def _plausible(a: Column, b: Column, percent: int) -> Column:
     return size & (_ones(a["sketch"], b["sketch"]) <= max_xor(percent))
 
 
-def _id_filter(ids: DataFrame, spark) -> np.ndarray:
-    """A bitmap of hashed ids; its size is bounded and a wrong hit only costs time."""
-    n = ids.count()
-    bits = 1 << max(16, min(FILTER_BITS, 32 * max(1, n)).bit_length() - 1)
-    placed = ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("place"))
-    words = placed.selectExpr("place div 64 as w", "shiftleft(1L, cast(place % 64 as int)) as v")
-    out = np.zeros(bits // 64, np.int64)
-    for r in words.groupBy("w").agg(F.bit_or("v").alias("v")).toLocalIterator():
-        out[r["w"]] = r["v"]
-    return out
-
-
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Full sets and fine sketches of the candidate ids (and of few others), one pass over the texts."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(_id_filter(ids, spark))
+    """Full sets of the candidate ids, one pass over their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = known.value
         for batch in batches:
-            place = batch.column(2).to_numpy() % (len(bitmap) * 64)
-            hit = (bitmap[place >> 6] >> (place & 63)) & 1
-            rows = np.flatnonzero(hit)
-            if len(rows):
-                part = batch.take(pa.array(rows))
-                sets = [shingle_set(t) for t in part.column(1).to_pylist()]
-                fine = [odd_sketch(samples(s, SAMPLES, FINE_SAMPLES), FINE_BITS) if len(s) else None for s in sets]
-                cols = [part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(fine, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "members", "fine"])
+            sets = [shingle_set(t).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "members"])
 
     d = pick(docs, [id_col, text_col]).select(F.col(id_col).cast("long").alias("id"), text_col)
-    d = d.filter(F.col("id").isNotNull()).withColumn("h", F.xxhash64("id"))
-    return materialize(d.mapInArrow(run, "id long, members binary, fine array<long>"), "near-sets")
+    return materialize(d.join(ids, "id", "left_semi").mapInArrow(run, "id long, members binary"), "near-sets")
+
+
+def _fine(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """Fine sketches of the ids whose buckets are open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [odd_sketch(samples(np.frombuffer(m.as_buffer(), np.uint64), SAMPLES, FINE_SAMPLES), FINE_BITS).tobytes() for m in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], names=["rep", "fine"])
+
+    return materialize(sets.join(ids, "id", "left_semi").select("id", "members").mapInArrow(run, "rep long, fine binary"), "near-fine")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -235,23 +231,102 @@ def components(edges: DataFrame) -> DataFrame:
     return materialize(out, "roots")
 
 
-def _across(members: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of different components that share a bucket and were not compared yet."""
-    m = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("c"))
-    sizes = m.groupBy("key", "c").agg(F.count("*").alias("k"))
-    open_keys = sizes.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("parts"))
-    open_keys = open_keys.filter("parts > 1 and n > 2").select("key", F.col("top.c").alias("main"), (F.col("n") - F.col("top.k")).alias("rest"))
-    m = m.join(open_keys, "key").join(classes.select("rep", F.struct("n", "sketch").alias("s"), "bands"), "rep")
-    m = m.join(sets.select(F.col("id").alias("rep"), "fine"), "rep")
-    m = materialize(m.withColumn("cells", F.ceil(F.col("rest") / CELL).cast("int")), "open-members")
-    left = m.filter("c <> main").select("key", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int").alias("cell"), F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"), F.col("fine").alias("fa"), F.col("bands").alias("ba"))
-    right = m.select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"), F.col("fine").alias("fb"), F.col("bands").alias("bb"), (F.col("c") == F.col("main")).alias("in_main"))
-    test = (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _plausible(F.col("sa"), F.col("sb"), percent)
-    # of the buckets that a pair shares, the first one lists it; a bucket of two was compared as leader and member
-    shared = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True)
-    test = test & (_ones(F.col("fa"), F.col("fb")) <= max_fine_xor(percent)) & (shared == F.array_position("ba", F.col("l.key")))
-    near = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.cell") == F.col("r.cell")) & test)
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _open_cells(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of open buckets by cell: key, i, j, rep, c, block.
+
+    Blocks 0 to ``rest_blocks`` - 1 hold the members outside the bucket's largest component, the
+    others those within it; cell (i, j) is where block i of the former meets block j.
+    """
+    m = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("c"))
+    sizes = m.groupBy("key", "c").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    open_keys = sizes.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("k"), F.sum("w").alias("w"), F.count("*").alias("parts"))
+    block = F.least(F.greatest(F.col("k") / BLOCK_SHARE, F.lit(BLOCK_LEAST)), F.lit(BLOCK_MOST), F.greatest(F.lit(1), BLOCK_SHINGLES * F.col("k") / F.col("w")))
+    counts = [F.ceil((F.col("k") - F.col("top.k")) / block).cast("int").alias("rest_blocks"), F.ceil(F.col("top.k") / block).cast("int").alias("main_blocks")]
+    open_keys = open_keys.filter("parts > 1 and k > 2").select("key", F.col("top.c").alias("main"), *counts)
+    m = m.join(open_keys, "key")
+    inside, h = F.col("c") == F.col("main"), F.xxhash64("rep", "key")
+    m = m.withColumn("block", F.when(inside, F.col("rest_blocks") + F.pmod(h, "main_blocks")).otherwise(F.pmod(h, "rest_blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("rest_blocks") + F.col("main_blocks") - 1)
+    partner = F.when(inside, F.sequence(F.lit(0), F.col("rest_blocks") - 1)).otherwise(every)
+    met = m.select("key", "rep", "c", "block", F.explode(partner).alias("_with"))
+    return met.select("key", F.least("block", "_with").alias("i"), F.greatest("block", "_with").alias("j"), "rep", "c", "block")
+
+
+def _screened(cells: DataFrame, percent: int) -> DataFrame:
+    """The members of a cell that have a plausible partner in it, by size and fine sketch."""
+    limit = max_fine_xor(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in sorted_runs(batches, 3):
+            col = {name: cell.column(name).to_numpy() for name in ("key", "c", "block", "n")}
+            fine = np.frombuffer(b"".join(cell.column("fine").to_pylist()), np.uint64).reshape(cell.num_rows, -1)
+            bands = cell.column("bands").combine_chunks().values.to_numpy().reshape(cell.num_rows, -1)
+            i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+            wanted = np.zeros(cell.num_rows, bool)
+            right = np.flatnonzero(col["block"] == j)
+            for x in np.flatnonzero(col["block"] == i):
+                y = right[right > x] if i == j else right
+                y = y[(col["c"][y] != col["c"][x]) & (100 * np.minimum(col["n"][x], col["n"][y]) >= percent * np.maximum(col["n"][x], col["n"][y]))]
+                y = y[np.bitwise_count(fine[y] ^ fine[x]).sum(axis=1) <= limit]
+                if len(y):
+                    same = bands[y] == bands[x]
+                    y = y[bands[x][same.argmax(axis=1)] == col["key"][x]]
+                    wanted[y] = True
+                    wanted[x] |= len(y) > 0
+            if wanted.any():
+                yield cell.select(["key", "i", "j", "rep", "c", "block"]).filter(pa.array(wanted)).combine_chunks().to_batches()[0]
+
+    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "key long, i int, j int, rep long, c long, block int")
+
+
+def joining_edges(reps: np.ndarray, comps: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Linked pairs between two blocks (or within one) that join different components, a forest of them."""
+    size = np.array([len(s) for s in sets], np.int64)
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rare_first = np.empty(len(often), np.int64)
+    rare_first[np.argsort(often, kind="stable")] = np.arange(len(often))
+    start = np.concatenate([[0], np.cumsum(size)])
+    codes = [np.sort(rare_first[code[start[k] : start[k + 1]]]) for k in range(len(sets))]
+    prefix = size - -(-percent * size // 100) + 1
+    token = np.concatenate([codes[k][: prefix[k]] for k in range(len(sets))])
+    owner = np.repeat(np.arange(len(sets)), prefix)
+    order = np.argsort(token, kind="stable")
+    owner, first = owner[order], np.searchsorted(token[order], np.arange(len(often) + 1))
+    one_block = blocks.min() == blocks.max()
+    known: dict[int, int] = {}
+    root = np.array([known.setdefault(int(c), k) for k, c in enumerate(comps)])
+    mark, out = np.zeros(len(often), bool), []
+    for x in range(len(sets)) if one_block else np.flatnonzero(blocks == blocks.min()):
+        held = [owner[first[t] : first[t + 1]] for t in codes[x][: prefix[x]]]
+        y = np.unique(np.concatenate(held))
+        y = y[(y > x) if one_block else (blocks[y] != blocks[x])]
+        y = y[(root[y] != root[x]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))]
+        if not len(y):
+            continue
+        mark[codes[x]] = True
+        both = np.add.reduceat(mark[np.concatenate([codes[k] for k in y])], np.concatenate([[0], np.cumsum(size[y])[:-1]]), dtype=np.int64)
+        mark[codes[x]] = False
+        for z in y[100 * both >= percent * (size[x] + size[y] - both)]:
+            if root[z] != root[x]:
+                root[root == root[z]] = root[x]
+                out.append((int(reps[x]), int(reps[z])))
+    return out
+
+
+def _confirmed(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Joining edges (a, b) of the screened cells, by full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in sorted_runs(batches, 3):
+            members = [np.frombuffer(m.as_buffer(), np.uint64) for m in cell.column("members")]
+            reps, comps, blocks = (cell.column(n).to_numpy() for n in ("rep", "c", "block"))
+            edges = joining_edges(reps, comps, blocks, members, percent)
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    whole = cells.join(sets.select(F.col("id").alias("rep"), "members"), "rep").select("key", "i", "j", "rep", "c", "block", "members")
+    return whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,20 +337,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         live.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")),
         "near-classes",
     )
-    exploded = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = exploded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    members = materialize(exploded.join(buckets, "key").select("key", "leader", "rep"), "near-members")
+    exploded = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    marks = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    buckets = exploded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size"), F.first("band").alias("band"), *marks).filter("size > 1")
+    # of buckets with the same members the one of the first band stays
+    buckets = buckets.groupBy("leader", "size", "mark0", "mark1").agg(F.min_by("key", "band").alias("key")).select("key", "leader")
+    members = materialize(exploded.join(buckets, "key").select("key", "leader", "rep", "n"), "near-members")
     traits = classes.select("rep", F.struct("n", "sketch").alias("s"))
     first = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     first = first.join(traits.withColumnsRenamed({"rep": "b", "s": "sb"}), "b").join(traits.withColumnsRenamed({"rep": "a", "s": "sa"}), "a")
     first = materialize(first.filter(_plausible(F.col("sa"), F.col("sb"), percent)).select("a", "b"), "near-pairs")
-    ids = members.select(F.col("rep").alias("id")).distinct()
-    sets = _sets(docs, ids, id_col, text_col)
+    sets = _sets(docs, materialize(members.select(F.col("rep").alias("id")).distinct(), "near-ids"), id_col, text_col)
     edges = materialize(confirm(first, sets, percent), "near-edges")
     roots = components(edges)
-    second = materialize(_across(members, roots, classes, sets, percent).join(first, ["a", "b"], "left_anti"), "near-pairs")
-    if not second.isEmpty():
-        more = materialize(confirm(second, sets, percent), "near-edges")
+    cells = materialize(_open_cells(members, roots), "near-cells")
+    if not cells.isEmpty():
+        fine = _fine(sets, materialize(cells.select(F.col("rep").alias("id")).distinct(), "near-ids"))
+        traits = classes.select("rep", "n", "bands").join(fine, "rep")
+        screened = materialize(_screened(cells.join(traits, "rep").select("key", "i", "j", "rep", "c", "block", "n", "fine", "bands"), percent), "near-screened")
+        more = materialize(_confirmed(screened, sets, percent), "near-edges")
         if not more.isEmpty():
             roots = components(edges.unionAll(more))
     owner = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("root", "rep").alias("root"))

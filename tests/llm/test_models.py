@@ -185,3 +185,53 @@ def test_viterbi_is_the_best_path():
         p = [code >> k & 1 for k in range(7)]
         paths[score(p)].append(p)
     assert model.decode(features) in paths[max(paths)]
+
+
+def loose_family(seed, n, words, most_edits):
+    """Texts of one origin with a few words changed each, so pairs lie around the least similarity."""
+    rng, base = random.Random(seed), prose(seed, words).split()
+    for _ in range(n):
+        w = list(base)
+        for at in rng.sample(range(words), rng.randint(0, most_edits)):
+            w[at] = f"edit{rng.randint(0, 10**9)}"
+        yield " ".join(w)
+
+
+def test_loose_families_equal_brute_force(spark, monkeypatch):
+    """Several hundred texts at 0.7 to 0.95, in blocks small enough that buckets need many cells."""
+    monkeypatch.setattr(near_dedup, "BLOCK_LEAST", 40)
+    texts = [*loose_family(31, 260, 220, 4), *loose_family(32, 120, 150, 4), *loose_family(33, 60, 400, 9)]
+    rows = list(enumerate(texts))
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()}
+    want = brute_components(rows)
+    assert len({c for _, c in want.values()}) > 20 and got == want
+
+
+def test_rows_of_a_loose_family_stay_linear(spark):
+    """What both visits of the cells send on grows with the members and not with their pairs."""
+    sent = []
+    for n in (100, 200):
+        df = spark.createDataFrame(list(enumerate(loose_family(41, n, 220, 9))), "doc_id long, text string")
+        rows = near_dedup.signatures(df, "doc_id", "text").withColumnsRenamed({"doc_id": "rep", "n_shingles": "n"})
+        members = rows.select("rep", "n", F.explode("bands").alias("key"))
+        cells = near_dedup._open_cells(members, spark.createDataFrame([], "id long, root long"))
+        sent.append(cells.count())
+    assert sent[1] < 2.6 * sent[0]
+
+
+def test_recall_near_the_least_similarity(spark):
+    """Planted pairs at 0.85 to 0.87: at least 999 of 1000 are linked."""
+    rng, rows, planted = random.Random(12), [], 0
+    while planted < 2000:
+        base = [f"w{rng.randrange(10**9)}" for _ in range(240)]
+        two, cut = list(base), rng.randint(13, 15)
+        two[100 : 100 + cut] = [f"x{rng.randrange(10**9)}" for _ in range(cut)]
+        same, all_ = 236 - (cut + 4), 236 + cut + 4
+        if 85 <= 100 * same / all_ <= 87:
+            rows += [(2 * planted, " ".join(base)), (2 * planted + 1, " ".join(two))]
+            planted += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    linked = near_dedup.near_duplicates(df).filter("not kept").count()
+    assert linked >= 0.999 * planted
