@@ -25,7 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op4_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
-    return scan_secrets(table(spark, sf_dir, "documents")).drop("span_list", "text_hash")
+    return scan_secrets(table(spark, sf_dir, "documents")).drop("span_list")
 
 
 def op8_crf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
