@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechmart import dims
-from speechmart.functions.text import literal_map
+from speechmart.functions.text import bound, literal_map
 
 ISSUE = "array<struct<severity:string,category:string,message:string,position:int>>"
 LEVELS = ("strict", "moderate", "permissive")
@@ -118,19 +116,14 @@ def located_words(text: Column) -> Column:
     pattern = r"(?U)\w+"
     low = F.lower(text)
     found = F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
-    pairs = _bind(found, lambda w: F.arrays_zip(F.slice(F.split(low, pattern, -1), 1, F.size(w)).alias("g"), w.alias("w")))
-    return _bind(pairs, _with_positions)
+    pairs = bound(found, lambda w: F.arrays_zip(F.slice(F.split(low, pattern, -1), 1, F.size(w)).alias("g"), w.alias("w")))
+    return bound(pairs, _with_positions)
 
 
 TOKEN = "array<struct<word:string,position:int>>"
 _BLOCK = 256
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _with_positions(pairs: Column) -> Column:
     """Positions from the running lengths of (gap g, word w) pairs, block by block, so the work stays linear."""
 
@@ -152,7 +145,7 @@ def _with_positions(pairs: Column) -> Column:
         F.sequence(F.lit(1), F.size(pairs), F.lit(_BLOCK)),
         lambda k: F.aggregate(F.slice(pairs, k, _BLOCK), F.struct(F.lit(0).alias("pos"), empty.alias("out")), step),
     )
-    return F.when(F.size(pairs) > 0, _bind(local, merge)).otherwise(empty)
+    return F.when(F.size(pairs) > 0, bound(local, merge)).otherwise(empty)
 
 
 def _listed(df: DataFrame, text_col: str, dim: DataFrame, key: str, keep: list[str]) -> DataFrame:

@@ -5,21 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechmart.functions.text import normalize, to_plain, words
+from speechmart.functions.text import bound, normalize, to_plain, words
+
+
+#: Code points that a text may hold: none below, none of the surrogates.
+_FIRST_CODE, _SURROGATES, _CODES = 0x100, (0xD800, 0x800), 0x10FFFF - 0x100 - 0x800
 
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance of two word arrays: every distinct word becomes one character for ``levenshtein``.
+    """Edit distance of two word arrays: every distinct word becomes one code point for ``levenshtein``.
 
-    Holds up to some twenty thousand distinct words in a pair.
+    Null where an array is null. A pair with more distinct words than there are code points (1.1 million)
+    raises an error; its distance would take 10^12 steps.
     """
-    known = F.array_distinct(F.concat(reference, hypothesis))
 
-    def coded(ws: Column) -> Column:
-        chars = F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + F.array_position(known, w)), 4, "0")), "UTF-16BE"))
-        return F.array_join(chars, "")
+    def coded(ws: Column, known: Column) -> Column:
+        def code(w: Column) -> Column:
+            at = F.array_position(known, w) + _FIRST_CODE
+            at = F.when(at >= _SURROGATES[0], at + _SURROGATES[1]).otherwise(at)
+            return F.decode(F.unhex(F.lpad(F.hex(at), 8, "0")), "UTF-32")
+
+        return F.array_join(F.transform(ws, code), "")
+
+    def distance(sides: Column, known: Column) -> Column:
+        too_many = F.raise_error(F.lit("word_distance: more distinct words than code points")).cast("int")
+        return F.when(F.size(known) > _CODES, too_many).otherwise(F.levenshtein(coded(sides["r"], known), coded(sides["h"], known)))
 
-    return F.levenshtein(coded(reference), coded(hypothesis))
+    both = F.struct(reference.alias("r"), hypothesis.alias("h"))
+    return bound(both, lambda s: bound(F.array_distinct(F.concat(s["r"], s["h"])), lambda known: distance(s, known)))
 
 
 def _guarded(reference: Column, hypothesis: Column, rate: Column) -> Column:

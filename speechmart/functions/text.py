@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +23,11 @@ def literal_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, and not at every place that names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     """White-space separated words without empty ones."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
@@ -167,7 +172,6 @@ def word_similarity(a: Column, b: Column) -> Column:
         F.when(F.regexp_replace(x, "k", "t") == F.regexp_replace(y, "k", "t"), 0.3)
         .when(F.regexp_replace(x, "ng", "n") == F.regexp_replace(y, "ng", "n"), 0.2)
         .when(F.regexp_replace(x, "r", "l") == y, 0.15)
-        .when(F.regexp_replace(F.regexp_replace(x, "l", "r"), "r", "l") == y, 0.15)
         .otherwise(0.0)
     )
     near = F.least(F.lit(1.0), 1 - F.levenshtein(x, y) / longest + bonus)
@@ -207,7 +211,7 @@ def pad_labels(ids: Column, longest: Column, fill: int = -100) -> Column:
 
 def proportional_truncate(text: Column, samples: Column, max_samples: int) -> Column:
     """Keeps the share of the text that the kept audio has, cut at a late space if there is one."""
-    target = F.floor(F.length(text) * (F.lit(max_samples) / samples)).cast("int")
+    target = F.floor(F.length(text) * F.try_divide(F.lit(max_samples), samples)).cast("int")
     cut = F.substring(text, F.lit(1), target)
     last = F.length(cut) - F.locate(" ", F.reverse(cut))
     at_space = (F.locate(" ", cut) > 0) & (last > target * 0.7)

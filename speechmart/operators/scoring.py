@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechmart.functions.text import scoring_prompt
+from speechmart.functions.text import scoring_prompt, word_similarity
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float, slack: float = 0.0) -> DataFrame:
@@ -74,6 +74,49 @@ def fuzzy_name_join(names: DataFrame, others: DataFrame, name: str, other: str,
     return pairs.groupBy(F.col("_name").alias(name)).agg(F.min("_other").alias(other))
 
 
+def _cuts(length: Column, pieces: Column) -> Column:
+    """(start, length) of as many pieces of nearly equal length."""
+    base, longer = F.floor(length / pieces).cast("int"), length % pieces
+    from_end = pieces - longer  # pieces before this one have the base length
+    one = lambda i: F.struct(
+        i.alias("i"),
+        (i * base + F.greatest(F.lit(0), i - from_end)).cast("int").alias("at"),
+        (base + F.when(i >= from_end, 1).otherwise(0)).cast("int").alias("n"),
+    )
+    return F.transform(F.sequence(F.lit(0), pieces - 1), one)
+
+
+def similar_words(words: DataFrame, word: str, least: float = 0.8) -> DataFrame:
+    """All ordered pairs (a, b, similarity) of distinct words whose ``word_similarity`` reaches ``least``.
+
+    No pair is lost: words that a sound change makes equal meet in their changed form, for each of the
+    three changes. All others may differ in d = (1 - least) of the longer one's letters at most, so of
+    d + 1 pieces of the shorter one some piece stands unchanged in the longer one, no more than d places
+    off; pieces with their place and both lengths are the equal keys. ``least`` is above 0.5. Words are
+    compared trimmed and in lower case; null and blank words have no pairs.
+    """
+    share = 1 - least + 1e-9
+    w = words.select(F.trim(F.lower(F.col(word))).alias("w")).filter("w <> ''").distinct()
+    folds = [F.regexp_replace("w", x, y) for x, y in (("k", "t"), ("ng", "n"), ("r", "l"))]
+    folded = w.select("w", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), f.alias("f")) for k, f in enumerate(folds)])).alias("key"))
+    n, longer = F.length("w"), F.col("longer")
+    short = w.select("w", F.explode(F.sequence(n, F.floor(n / (1 - share)).cast("int"))).alias("longer")).withColumn("d", F.floor(longer * share).cast("int"))
+    short = short.filter(F.col("d") >= longer - n).select("w", n.alias("shorter"), "longer", F.explode(_cuts(n, F.col("d") + 1)).alias("c"))
+    short = short.select("w", F.struct("shorter", "longer", F.col("c.i").alias("i"), F.substring("w", F.col("c.at") + 1, F.col("c.n")).alias("piece")).alias("key"))
+    long_ = w.withColumn("d", F.floor(n * share).cast("int")).select("w", n.alias("longer"), "d", F.explode(F.sequence(n - F.col("d"), n)).alias("shorter"))
+    long_ = long_.filter("shorter > 0").select("w", "longer", "shorter", "d", F.explode(_cuts(F.col("shorter"), F.col("d") + 1)).alias("c"))
+    long_ = long_.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("c.at") - F.col("d")), F.least(F.col("c.at") + F.col("d"), longer - F.col("c.n")))).alias("at"))
+    long_ = long_.select("w", F.struct("shorter", "longer", F.col("c.i").alias("i"), F.substring("w", F.col("at") + 1, F.col("c.n")).alias("piece")).alias("key"))
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        pairs = x.select("key", F.col("w").alias("x")).join(y.select("key", F.col("w").alias("y")), "key").filter("x <> y")
+        return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+    pairs = met(folded, folded).unionAll(met(short, long_)).distinct()
+    both = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("p")).select("p.a", "p.b")
+    return both.withColumn("similarity", F.round(word_similarity(F.col("a"), F.col("b")), 6)).filter(F.col("similarity") >= least)
+
+
 def merge_scores(segments: DataFrame, scores: DataFrame, key: str = "id") -> DataFrame:
     """``llm_score`` of every segment: the score of the last file, else align_score, else 0.5.
 

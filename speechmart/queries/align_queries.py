@@ -318,7 +318,7 @@ def overlap_chunks(spark, d):
     return chunks.fixed_chunks(f, 30.0, 2.0, 0.5)
 
 
-_FRAME_TOKENS = """fr AS (SELECT conv_id * 100 + turn AS audio_stem, generate_subscripts(string_split(left(lower(text), 200), ''), 1) - 1 AS frame, unnest(string_split(left(lower(text), 200), '')) AS c FROM conversations WHERE text <> ''),
+_FRAME_TOKENS = """fr AS (SELECT conv_id * 100 + turn AS audio_stem, generate_subscripts(string_split(lower(text), ''), 1) - 1 AS frame, unnest(string_split(lower(text), '')) AS c FROM conversations WHERE text <> ''),
 ft AS (SELECT audio_stem, frame, CASE WHEN c = ' ' THEN '|' WHEN regexp_matches(c, '^[aeiou]$') AND frame % 5 = 0 THEN '<pad>' ELSE c END AS token FROM fr)"""
 
 
@@ -328,7 +328,7 @@ g AS (SELECT audio_stem, part, string_agg(token, '' ORDER BY frame) AS word, min
 SELECT audio_stem, CAST(row_number() OVER (PARTITION BY audio_stem ORDER BY part) - 1 AS INTEGER) AS word_idx, word, round_even(a * CAST(0.02 AS DOUBLE), 3) AS "start", round_even(b * CAST(0.02 AS DOUBLE), 3) AS "end" FROM g"""
 )
 def ctc_collapse(spark, d):
-    c = read(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("audio_stem"), F.filter(F.split(F.substring(F.lower("text"), 1, 200), ""), lambda x: x != "").alias("cs"))
+    c = read(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("audio_stem"), F.filter(F.split(F.lower("text"), ""), lambda x: x != "").alias("cs"))
     f = c.select("audio_stem", F.posexplode("cs").alias("frame", "c"))
     token = F.when(F.col("c") == " ", "|").when(F.col("c").rlike("^[aeiou]$") & (F.col("frame") % 5 == 0), "<pad>").otherwise(F.col("c"))
     return ctc.collapse_frames(f.select("audio_stem", "frame", token.alias("token")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from speechmart import dims
 from speechmart.functions import grammar, metrics
 from speechmart.functions import text as T
-from speechmart.operators import vocab
+from speechmart.operators import scoring, vocab
 from speechmart.queries.adapters import ACCENTS, DICTIONARY, MACRON_TARGET, macron, read
 
 QUERIES, SQL = {}, {}
@@ -127,14 +127,13 @@ def label_encode(spark, d):
 
 
 @query(
-    """WITH x AS (SELECT doc_id, text, CAST(floor(length(text) * (CAST(16000 AS DOUBLE) / (n_chars * 10))) AS INTEGER) AS t, n_chars * 10 AS s FROM documents WHERE n_chars > 0),
+    """WITH x AS (SELECT doc_id, text, CASE WHEN n_chars > 0 THEN CAST(floor(length(text) * (CAST(16000 AS DOUBLE) / (n_chars * 10))) AS INTEGER) END AS t, n_chars * 10 AS s FROM documents),
 y AS (SELECT *, substr(text, 1, t) AS cut FROM x),
 z AS (SELECT *, CASE WHEN strpos(cut, ' ') > 0 THEN length(cut) - strpos(reverse(cut), ' ') ELSE -1 END AS last FROM y)
 SELECT doc_id, md5(CASE WHEN s <= 16000 THEN text WHEN last > t * CAST(0.7 AS DOUBLE) THEN trim(substr(cut, 1, last)) ELSE trim(cut) END) AS kept_md5 FROM z"""
 )
 def proportional_truncate(spark, d):
-    docs = read(spark, d, "documents").filter("n_chars > 0")
-    return docs.select("doc_id", F.md5(T.proportional_truncate(F.col("text"), F.col("n_chars") * 10, 16_000)).alias("kept_md5"))
+    return read(spark, d, "documents").select("doc_id", F.md5(T.proportional_truncate(F.col("text"), F.col("n_chars") * 10, 16_000)).alias("kept_md5"))
 
 
 @query(
@@ -274,16 +273,17 @@ _FOLD = ("äöüßéèêçñíóáúàëïîôûâÄÖÜÉÈÊÇÑÍÓ", "aousee
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations").select("conv_id", "turn", F.translate(F.lower("text"), *_FOLD).alias("ref"))
     c = c.select("conv_id", "turn", F.trim(F.regexp_replace("ref", "[^a-z ]+", " ")).alias("ref"))
-    c = c.withColumn("hyp", F.lead("ref").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("hyp is not null")
-    v = F.array_distinct(F.concat(T.words(F.col("ref")), T.words(F.col("hyp"))))
-    return c.filter(F.size(v) <= 90)
+    return c.withColumn("hyp", F.lead("ref").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("hyp is not null")
 
 
-_PAIRS_SQL = f"""c0 AS (SELECT conv_id, turn, trim(regexp_replace(translate(lower(text), '{_FOLD[0]}', '{_FOLD[1]}'), '[^a-z ]+', ' ', 'g')) AS ref FROM conversations),
+#: Word distance row by row: one list per reference word, folded from the left.
+_PAIRS_SQL = f"""RECURSIVE c0 AS (SELECT conv_id, turn, trim(regexp_replace(translate(lower(text), '{_FOLD[0]}', '{_FOLD[1]}'), '[^a-z ]+', ' ', 'g')) AS ref FROM conversations),
 c1 AS (SELECT *, lead(ref) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp FROM c0),
-c2 AS (SELECT *, list_filter(string_split(ref, ' '), lambda x: x <> '') AS r, list_filter(string_split(hyp, ' '), lambda x: x <> '') AS h FROM c1 WHERE hyp IS NOT NULL),
-c3 AS (SELECT *, list_distinct(list_concat(r, h)) AS v FROM c2),
-p AS (SELECT *, levenshtein(list_aggregate(list_transform(r, lambda x: chr(CAST(33 + list_position(v, x) AS INTEGER))), 'string_agg', ''), list_aggregate(list_transform(h, lambda x: chr(CAST(33 + list_position(v, x) AS INTEGER))), 'string_agg', '')) AS wd FROM c3 WHERE len(v) <= 90)"""
+c2 AS MATERIALIZED (SELECT *, list_filter(string_split(ref, ' '), lambda x: x <> '') AS r, list_filter(string_split(hyp, ' '), lambda x: x <> '') AS h FROM c1 WHERE hyp IS NOT NULL),
+dist AS (SELECT conv_id, turn, 0 AS i, range(0, len(h) + 1) AS line FROM c2 UNION ALL
+ SELECT conv_id, turn, i + 1, list_reduce(list_prepend([i + 1], list_transform(h, lambda w, j: [least(line[j + 1] + 1, line[j] + CASE WHEN w = r[i + 1] THEN 0 ELSE 1 END)])), lambda a, x: list_append(a, least(x[1], a[-1] + 1)))
+ FROM dist JOIN c2 USING (conv_id, turn) WHERE i < len(r)),
+p AS (SELECT c2.*, dist.line[-1] AS wd FROM c2 JOIN dist ON dist.conv_id = c2.conv_id AND dist.turn = c2.turn AND dist.i = len(c2.r))"""
 
 
 @query(
@@ -326,17 +326,16 @@ def dual_ortho_eval(spark, d):
 
 
 @query(
-    """WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 4)) AS w FROM conversations),
-t AS (SELECT w FROM w GROUP BY w HAVING count(*) >= 40),
-p AS (SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w) AS l FROM t a JOIN t b ON substr(a.w, 1, 2) = substr(b.w, 1, 2))
-SELECT a, b, round(CASE WHEN a = b THEN 1.0 ELSE least(1.0, 1 - l / greatest(length(a), length(b)) + CASE WHEN replace(a, 'k', 't') = replace(b, 'k', 't') THEN 0.3 WHEN replace(a, 'ng', 'n') = replace(b, 'ng', 'n') THEN 0.2
- WHEN replace(a, 'r', 'l') = b OR replace(replace(a, 'l', 'r'), 'r', 'l') = b THEN 0.15 ELSE 0 END) END, 6) AS similarity FROM p"""
+    """WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS w FROM conversations),
+t AS (SELECT w, length(w) AS n, replace(w, 'k', 't') AS kt, replace(w, 'ng', 'n') AS ng, replace(w, 'r', 'l') AS rl FROM w),
+p AS (SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w) AS l, CASE WHEN a.kt = b.kt THEN 0.3 WHEN a.ng = b.ng THEN 0.2 WHEN a.rl = b.w THEN 0.15 ELSE 0 END AS bonus, greatest(a.n, b.n) AS n
+ FROM t a JOIN t b ON a.w <> b.w AND abs(a.n - b.n) <= 0.5 * greatest(a.n, b.n)),
+s AS (SELECT a, b, round(least(1.0, 1 - l / n + bonus), 6) AS similarity FROM p)
+SELECT * FROM s WHERE similarity >= 0.8"""
 )
 def word_similarity_pairs(spark, d):
-    w = read(spark, d, "conversations").select(F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 4)).alias("w"))
-    t = w.groupBy("w").agg(F.count("*").alias("n")).filter("n >= 40").select("w", F.substring("w", 1, 2).alias("k"))
-    p = t.select(F.col("w").alias("a"), "k").join(t.select(F.col("w").alias("b"), "k"), "k")
-    return p.select("a", "b", F.round(T.word_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    w = read(spark, d, "conversations").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
+    return scoring.similar_words(w, "w", 0.8)
 
 
 @query(

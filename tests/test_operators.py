@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from speechmart.functions import metrics
 from speechmart.operators import anchors, asr, chunks, corrections, ctc, dtw, scoring, segments, sequences, splits, tiers, vad, vocab
 from speechmart.queries import catalog, stream_queries
 from speechmart.sources import io as sources
@@ -269,3 +270,42 @@ def test_long_conversations_equal_sql(spark, tmp_path, name):
     keys = list(want.columns)[:3]
     assert len(want) > 1000
     pd.testing.assert_frame_equal(got.sort_values(keys, ignore_index=True), want.sort_values(keys, ignore_index=True), check_dtype=False, atol=1e-9)
+
+
+def test_similar_words_equal_all_pairs(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choices("aektnglro", k=rng.randint(1, 24))) for _ in range(60)]
+    words = set(base)
+    for w in base:
+        for _ in range(6):
+            x = list(w)
+            for _ in range(rng.randint(1, 4)):
+                at = rng.randrange(len(x) + 1)
+                x[at : at + rng.randint(0, 1)] = rng.choice(["", "k", "t", "ng", "r", "l"])
+            words.add("".join(x))
+        words |= {w.replace("k", "t"), w.replace("ng", "n"), w.replace("r", "l")}
+    words.discard("")
+    df = spark.createDataFrame([(w,) for w in words] + [(None,), (" ",)], "w string")
+    for least in (0.8, 0.7):
+        want = {(a, b) for a in words for b in words if a != b and round(dtw.similarity(a, b), 6) >= least}
+        got = scoring.similar_words(df, "w", least).collect()
+        assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+
+
+def slow_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_word_distance_of_many_words(spark):
+    """Beyond the code points of two bytes, over the surrogates, and on nulls."""
+    far = [f"w{k}" for k in range(56_000)]
+    short = [["a", "b"], [], ["b", "b", "a"]]
+    rows = [(0, far, [far[-2]]), (1, None, ["a"])] + [(2 + k, a, b) for k, (a, b) in enumerate((a, b) for a in short for b in short)]
+    df = spark.createDataFrame(rows, "k int, a array<string>, b array<string>")
+    got = {r["k"]: r["d"] for r in df.select("k", metrics.word_distance(F.col("a"), F.col("b")).alias("d")).collect()}
+    assert got == {0: 55_999, 1: None} | {k: slow_distance(a, b) for k, a, b in rows[2:]}
