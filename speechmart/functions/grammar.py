@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,13 +110,13 @@ def alliterate(preceding: Column, pronoun: Column) -> Column:
     return F.when(F.lower(preceding).contains("s") & changed.isNotNull(), changed).otherwise(pronoun)
 
 
-def located_words(text: Column) -> Column:
+def located_words(text: Column, only: Iterable[str] | None = None) -> Column:
     """Word tokens of the lower-cased text with 0-based positions: array of (word, position).
 
     Tokens are maximal runs of word characters, so a listed word is a token exactly where it stands
-    between word boundaries.
+    between word boundaries. With ``only``, a constant list of words, no other token is located.
     """
-    pattern = r"(?U)\w+"
+    pattern = r"(?U)\w+" if only is None else r"(?U)\b(?:" + "|".join(re.escape(w) for w in only) + r")\b"
     low = F.lower(text)
     found = F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
     pairs = bound(found, lambda w: F.arrays_zip(F.slice(F.split(low, pattern, -1), 1, F.size(w)).alias("g"), w.alias("w")))
@@ -148,25 +151,24 @@ def _with_positions(pairs: Column) -> Column:
     return F.when(F.size(pairs) > 0, bound(local, merge)).otherwise(empty)
 
 
-def _listed(df: DataFrame, text_col: str, dim: DataFrame, key: str, keep: list[str]) -> DataFrame:
-    tokens = df.select(*keep, F.explode(located_words(F.col(text_col))).alias("t")).select(*keep, F.col("t.word").alias(key), F.col("t.position").alias("position"))
+def _listed(df: DataFrame, text_col: str, dim: DataFrame, listed: list[str], key: str, keep: list[str]) -> DataFrame:
+    tokens = df.select(*keep, F.explode(located_words(F.col(text_col), listed)).alias("t")).select(*keep, F.col("t.word").alias(key), F.col("t.position").alias("position"))
     return tokens.join(F.broadcast(dim), key)
 
 
 def verb_phrases(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """Every tense or negative particle with its position; the particle table is a constant of ten rows."""
-    return _listed(df, text_col, dims.particles(df.sparkSession), "particle", keep)
+    return _listed(df, text_col, dims.particles(df.sparkSession), [p for _, p, _ in (*dims.TENSES, *dims.NEGATIVES)], "particle", keep)
 
 
 def pronoun_hits(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """Every pronoun with its position, person, number and gloss."""
-    return _listed(df, text_col, dims.pronouns(df.sparkSession), "pronoun", keep)
+    return _listed(df, text_col, dims.pronouns(df.sparkSession), [w for w, *_ in dims.PRONOUNS], "pronoun", keep)
 
 
 def _hits(text: Column, table: dict[str, str]) -> Column:
     listed = literal_map(table)
-    known = F.filter(located_words(text), lambda t: F.try_element_at(listed, t["word"]).isNotNull())
-    return F.transform(known, lambda t: F.struct(t["word"].alias("word"), t["position"].alias("position"), F.try_element_at(listed, t["word"]).alias("sense")))
+    return F.transform(located_words(text, table), lambda t: F.struct(t["word"].alias("word"), t["position"].alias("position"), F.try_element_at(listed, t["word"]).alias("sense")))
 
 
 def analyze(text: Column, level: str = "moderate") -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from speechmart.dims import ANCHOR_EQUIVALENTS
 from speechmart.functions.grammar import located_words
 from speechmart.functions.text import literal_map
+from speechmart.operators.ranking import fresh
 
 ANCHOR = "word string, time double, source string, confidence double, chunk_text string"
 
@@ -20,7 +21,7 @@ def anchor_hits(chunks: DataFrame, keywords: list[str], source: str, stem: str =
     query and of bounded size, so it is looked up as a constant.
     """
     table = F.create_map(*[x for k, w in enumerate(keywords) for x in (F.lit(w), F.lit(k))])
-    tokens = chunks.select(stem, "chunk_idx", "start", F.coalesce("end", F.col("start") + 10).alias("end"), "text", F.explode(located_words(F.col("text"))).alias("t"))
+    tokens = chunks.select(stem, "chunk_idx", "start", F.coalesce("end", F.col("start") + 10).alias("end"), "text", F.explode(located_words(F.col("text"), keywords)).alias("t"))
     found = tokens.withColumn("keyword_idx", F.try_element_at(table, F.col("t.word"))).filter("keyword_idx is not null")
     at = F.col("start") + (F.col("end") - F.col("start")) * F.col("t.position") / F.length("text")
     return found.select(
@@ -88,7 +89,7 @@ def merge_anchors(left: DataFrame, right: DataFrame, tolerance: float = 2.0, equ
         done.insert(1, "anchor_idx", range(len(done)))
         return done
 
-    return left.groupBy(stem).cogroup(right.groupBy(stem)).applyInPandas(resolve, f"`{stem}` {kind}, anchor_idx int, {ANCHOR}")
+    return left.groupBy(stem).cogroup(fresh(right).groupBy(stem)).applyInPandas(resolve, f"`{stem}` {kind}, anchor_idx int, {ANCHOR}")
 
 
 def anchor_counts(anchors: DataFrame, stem: str = "audio_stem", least: float = 0.7) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechmart.functions.text import words
+from speechmart.operators.ranking import running_total
 
 
 def chunk_words(chunks: DataFrame, stem: str = "audio_stem", rounded: bool = True) -> DataFrame:
@@ -21,11 +22,14 @@ def chunk_words(chunks: DataFrame, stem: str = "audio_stem", rounded: bool = Tru
 
 
 def transcript_words(paragraphs: DataFrame, source: str, order: str, text: str = "text") -> DataFrame:
-    """source, word_idx (0-based over all paragraphs of a source), word."""
-    counted = paragraphs.select(source, order, words(F.trim(text)).alias("ws")).filter(F.size("ws") > 0)
-    before = Window.partitionBy(source).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.withColumn("base", F.coalesce(F.sum(F.size("ws")).over(before), F.lit(0)))
-    return placed.select(source, "base", F.posexplode("ws").alias("p", "word")).select(source, (F.col("base") + F.col("p")).alias("word_idx"), "word")
+    """source, word_idx (0-based over all paragraphs of a source), word.
+
+    Only the paragraphs' word counts are summed along a source, range by range, so a long source is not
+    one task's work.
+    """
+    ws = words(F.trim(text))
+    placed = running_total(paragraphs.select(source, order, text), [source], [order], F.size(ws), "base")
+    return placed.select(source, "base", F.posexplode(ws).alias("p", "word")).select(source, (F.col("base") + F.col("p")).alias("word_idx"), "word")
 
 
 def long_paragraphs(paragraphs: DataFrame, text: str = "text", more_than: int = 10) -> DataFrame:

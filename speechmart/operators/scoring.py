@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechmart.functions.text import scoring_prompt, word_similarity
+from speechmart.operators.ranking import positions
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float, slack: float = 0.0) -> DataFrame:
@@ -131,9 +132,8 @@ def merge_scores_by_position(segments: DataFrame, scores: DataFrame, order: list
 
     With ``partition`` positions are counted, and scores keyed, within that column.
     """
-    window = (Window.partitionBy(partition) if partition else Window).orderBy(*order)
     keys = [partition, "id"] if partition else ["id"]
-    placed = segments.withColumn("id", (F.row_number().over(window) - 1).cast("long"))
+    placed = positions(segments, keys[:-1], order, "id")
     merged = placed.join(scores.select(*keys, "llm_confidence"), keys, "left").withColumn("sequence_confidence", F.col("confidence"))
     return merged.withColumn("confidence", F.coalesce("llm_confidence", "confidence"))
 
@@ -145,8 +145,8 @@ def combined_confidence(align: Column, llm: Column) -> Column:
 
 def batches(rows: DataFrame, order: list[str], size: int = 50, partition: str | None = None) -> DataFrame:
     """Rows with batch_idx, ``size`` rows each in order."""
-    window = (Window.partitionBy(partition) if partition else Window).orderBy(*order)
-    return rows.withColumn("batch_idx", F.floor((F.row_number().over(window) - 1) / size))
+    placed = positions(rows, [partition] if partition else [], order, "_at")
+    return placed.withColumn("batch_idx", F.floor(F.col("_at") / size)).drop("_at")
 
 
 def batch_requests(rows: DataFrame, head: str = "Rate how well each pair matches, 0 to 1.\n", key: str = "id") -> DataFrame:

@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechmart.functions.text import words
+from speechmart.operators.ranking import fresh
+
+
+#: Least and most words a second of a pair.
+PACE = (0.5, 6.0)
 
 
 def anchor_pairs(anchors: DataFrame, key: str = "audio_stem") -> DataFrame:
@@ -34,7 +39,7 @@ def pair_segments(
     """
     cut = pairs.withColumn("ws", F.slice(transcript, (F.col("word_start") + 1).cast("int"), (F.col("word_end") - F.col("word_start") + 1).cast("int")))
     cut = cut.withColumn("d", F.col("end") - F.col("start")).withColumn("nw", F.size("ws")).withColumn("wps", F.col("nw") / F.col("d"))
-    cut = cut.filter(F.col("wps").between(0.5, 6.0))
+    cut = cut.filter(F.col("wps").between(*PACE))
     odd = F.when((F.col("wps") < 1) | (F.col("wps") > 4.5), 0.1).otherwise(0.0)
     whole = (F.col("d") <= max_seconds) & (F.col("nw") <= max_words)
     n = F.when(whole, 1).otherwise(F.greatest(F.lit(2), F.floor(F.col("d") / max_seconds) + 1, F.floor(F.col("nw") / max_words) + 1)).cast("int")
@@ -162,4 +167,4 @@ def bucket_paragraphs(paragraphs: DataFrame, files: DataFrame, session: str = "s
 
     p = paragraphs.select(session, F.col("para_idx").cast("long").alias("para_idx"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     f = files.select(session, "file_idx", "audio", F.col("expected_words").cast("double").alias("expected_words"))
-    return p.groupBy(session).cogroup(f.groupBy(session)).applyInPandas(deal, f"`{session}` {k}, audio {a}, para_idx long")
+    return p.groupBy(session).cogroup(fresh(f).groupBy(session)).applyInPandas(deal, f"`{session}` {k}, audio {a}, para_idx long")

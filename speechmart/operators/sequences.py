@@ -9,14 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechmart.functions.text import match_key
+from speechmart.sources.shared import materialize
 
 LEAST_LENGTH = 5
 
 
+#: Words of a transcript that form one cell of positions.
+CELL = 512
+
+
+def keyword_positions(words: DataFrame, keywords: list[str], source: str) -> DataFrame:
+    """source, word, word_idx of every keyword of a transcript. The list is a bounded parameter."""
+    return words.select(source, match_key(F.col("word")).alias("word"), "word_idx").filter(F.col("word").isin(keywords))
+
+
 def inverted_index(words: DataFrame, keywords: list[str], source: str) -> DataFrame:
-    """source, word, positions of the keywords, ascending. The list is a bounded parameter."""
-    hits = words.withColumn("word", match_key(F.col("word"))).filter(F.col("word").isin(keywords))
-    return hits.groupBy(source, "word").agg(F.sort_array(F.collect_list("word_idx")).alias("positions"))
+    """source, word, positions of the keywords, ascending: one row per word, as an index is."""
+    return keyword_positions(words, keywords, source).groupBy(source, "word").agg(F.sort_array(F.collect_list("word_idx")).alias("positions"))
 
 
 def position_hints(files: DataFrame, session: str = "session", order: tuple[str, ...] = ("day", "take")) -> DataFrame:
@@ -31,18 +40,51 @@ def position_hints(files: DataFrame, session: str = "session", order: tuple[str,
     )
 
 
+def _cell(position: Column) -> Column:
+    return F.floor(position / CELL)
+
+
+def _around(misses: DataFrame, positions: DataFrame, source: str, nearest: int) -> DataFrame:
+    """For every (source, word, hint_start) the ``nearest`` positions before it and after it.
+
+    Positions get their rank from counts per cell and a window inside a cell; a hint start gets the
+    number of positions before it in the same way, and its neighbours are equal keys then.
+    """
+    keys = [source, "word"]
+    wanted = misses.select(*keys, "hint_start").distinct().withColumn("cell", _cell(F.col("hint_start")))
+    held = positions.join(wanted.select(*keys).distinct(), keys, "left_semi").withColumn("cell", _cell(F.col("word_idx")))
+    counts = held.groupBy(*keys, "cell").agg(F.count("*").alias("n")).unionByName(wanted.select(*keys, "cell").distinct().withColumn("n", F.lit(0).cast("long")))
+    counts = counts.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
+    along = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*keys, "cell", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "cell").orderBy("word_idx"))
+    ranked = held.withColumn("inside", inside).join(bases, [*keys, "cell"]).select(*keys, "word_idx", (F.col("base") + F.col("inside")).alias("rank"))
+    local = wanted.join(held, [*keys, "cell"], "left").groupBy(*keys, "cell", "hint_start").agg(F.count_if(F.col("word_idx") < F.col("hint_start")).alias("local"))
+    before = local.join(bases, [*keys, "cell"]).select(*keys, "hint_start", (F.col("base") + F.col("local")).alias("k"))
+    near = before.select(*keys, "hint_start", F.explode(F.sequence(F.col("k") - (nearest - 1), F.col("k") + nearest)).alias("rank"))
+    return near.join(ranked, [*keys, "rank"]).select(*keys, "hint_start", "word_idx")
+
+
 def band_candidates(anchors: DataFrame, positions: DataFrame, source: str, stem: str = "audio_stem", nearest: int = 3) -> DataFrame:
     """Positions of each anchor's word inside the hint range, else the ``nearest`` ones.
 
-    ``anchors`` has stem, anchor_idx, word, time, confidence, hint_start, hint_end and the source.
+    ``anchors`` has stem, anchor_idx, word, time, confidence, hint_start, hint_end and the source;
+    ``positions`` is made by ``keyword_positions``. Inside the range the cells of positions are equal
+    keys, so a frequent word meets its own neighbourhood only; anchors without a hit there look up the
+    positions around the range by rank. The cost is one row per candidate and cell, and not one per
+    anchor and position of its word.
     """
-    pairs = anchors.join(positions.select(source, "word", F.explode("positions").alias("word_idx")), [source, "word"])
-    inside = F.col("word_idx").between(F.col("hint_start"), F.col("hint_end"))
-    away = F.least(F.abs(F.col("word_idx") - F.col("hint_start")), F.abs(F.col("word_idx") - F.col("hint_end")))
+    cells = F.sequence(_cell(F.col("hint_start")), F.greatest(_cell(F.col("hint_start")), _cell(F.col("hint_end"))))
+    spread = anchors.withColumn("cell", F.explode(cells))
+    hit = spread.join(positions.withColumn("cell", _cell(F.col("word_idx"))), [source, "word", "cell"])
+    hit = hit.filter(F.col("word_idx").between(F.col("hint_start"), F.col("hint_end"))).drop("cell")
     one = Window.partitionBy(stem, "anchor_idx")
-    ranked = pairs.withColumn("inside", inside).withColumn("away", away).withColumn("any_inside", F.max("inside").over(one))
-    ranked = ranked.withColumn("place", F.row_number().over(one.orderBy(F.when(F.col("any_inside"), 0).otherwise(F.col("away")), "word_idx")))
-    return ranked.filter(F.col("inside") | (~F.col("any_inside") & (F.col("place") <= nearest))).drop("inside", "away", "any_inside")
+    hit = materialize(hit.withColumn("place", F.row_number().over(one.orderBy("word_idx"))), "in-band")
+    misses = anchors.join(hit.select(stem, "anchor_idx").distinct(), [stem, "anchor_idx"], "left_anti")
+    far = misses.join(_around(misses, positions, source, nearest), [source, "word", "hint_start"])
+    away = F.least(F.abs(F.col("word_idx") - F.col("hint_start")), F.abs(F.col("word_idx") - F.col("hint_end")))
+    far = far.withColumn("place", F.row_number().over(one.orderBy(away, "word_idx"))).filter(F.col("place") <= nearest)
+    return hit.unionByName(far)
 
 
 def increasing(positions: list[int], strict_times: list[float] | None = None) -> list[int]:

@@ -54,6 +54,7 @@ def review_sample(df: DataFrame, ids: list[str], n: int = 20, seed: int = 42, ti
     band = F.when(F.col("confidence") >= 0.7, 0).when(F.col("confidence") >= 0.6, 1).otherwise(2)
     keyed = df.withColumn("band", band).withColumn("_d", digest(seed, *ids))
     in_band = Window.partitionBy("band").orderBy("_d", *(ties or ids))
-    top = keyed.withColumn("place", F.row_number().over(in_band)).filter(F.col("place") <= F.when(F.col("band") == 0, n // 2).otherwise(n))
+    # the constant bound lets every task keep its own first rows before the bands are dealt
+    top = keyed.withColumn("place", F.row_number().over(in_band)).filter(F.col("place") <= n).filter((F.col("band") != 0) | (F.col("place") <= n // 2))
     order = Window.orderBy("band", "place")
     return top.withColumn("pick", F.row_number().over(order)).filter(F.col("pick") <= n).drop("_d", "place")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from speechmart.operators import anchors as A
 from speechmart.operators import chunks as C
 from speechmart.operators import dtw, scoring, segments, sequences, splits, tiers
+from speechmart.sources.shared import materialize
 
 
 def anchors_of(chunks: DataFrame, native: list[str], english: list[str], equivalents: dict[str, str] | None = None) -> DataFrame:
@@ -21,18 +22,25 @@ def segments_of(anchors: DataFrame, files: DataFrame, transcript: DataFrame, key
     """Segments of every file: anchors, candidates, sequences, scores, pairs.
 
     ``files`` has audio_stem, session, duration, total_words, day, take; ``transcript`` has session,
-    word_idx and word. The transcript joins by session as one array per session.
+    word_idx and word. Every pair brings the words of its own range, which are joined by position;
+    pairs outside the pace of ``pair_segments`` bring none. Anchors and sequences are written once,
+    since several steps read them.
     """
-    index = sequences.inverted_index(transcript, keywords, "session")
+    anchors = materialize(anchors, "anchors")
     hinted = sequences.position_hints(files).select("audio_stem", "session", "hint_start", "hint_end")
     enough = anchors.groupBy("audio_stem").count().filter(F.col("count") >= sequences.LEAST_LENGTH).select("audio_stem")
-    cands = sequences.band_candidates(anchors.join(enough, "audio_stem").join(hinted, "audio_stem"), index, "session")
-    seq = sequences.matched_sequences(cands)
+    positions = materialize(sequences.keyword_positions(transcript, keywords, "session"), "positions")
+    placed = materialize(anchors.join(enough, "audio_stem").join(hinted, "audio_stem"), "placed")
+    seq = materialize(sequences.matched_sequences(sequences.band_candidates(placed, positions, "session")), "sequences")
     good = sequences.scored_sequences(seq).filter(F.col("confidence") >= least).select("audio_stem", F.col("confidence").alias("seq_conf"))
-    words = transcript.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("word_idx", "word"))).alias("ws"))
-    words = words.select("session", F.transform("ws", lambda w: w["word"]).alias("ws_all"))
-    pairs = segments.anchor_pairs(seq).join(good, "audio_stem").join(files.select("audio_stem", "session"), "audio_stem").join(words, "session")
-    return segments.pair_segments(pairs, F.col("ws_all"), F.col("seq_conf"))
+    pairs = segments.anchor_pairs(seq).join(good, "audio_stem").join(placed.select("audio_stem", "session").distinct(), "audio_stem")
+    pace = (F.col("word_end") - F.col("word_start") + 1) / (F.col("end") - F.col("start"))
+    pairs = materialize(pairs.filter(pace.between(*segments.PACE)), "pairs")
+    spans = pairs.select("audio_stem", "pos", "session", F.explode(F.sequence("word_start", "word_end")).alias("word_idx"))
+    own = spans.join(transcript, ["session", "word_idx"]).groupBy("audio_stem", "pos").agg(F.sort_array(F.collect_list(F.struct("word_idx", "word"))).alias("own"))
+    own = own.select("audio_stem", "pos", F.transform("own", lambda w: w["word"]).alias("own"))
+    rebased = pairs.join(own, ["audio_stem", "pos"]).withColumns({"word_start": F.lit(0), "word_end": F.col("word_end") - F.col("word_start")})
+    return segments.pair_segments(rebased, F.col("own"), F.col("seq_conf"))
 
 
 def word_aligned(pairs: DataFrame, chunks: DataFrame, transcript: DataFrame) -> DataFrame:
@@ -46,7 +54,7 @@ def word_aligned(pairs: DataFrame, chunks: DataFrame, transcript: DataFrame) ->
     return dtw.word_segments(pairs.join(heard, "pair_id").join(written, "pair_id"))
 
 
-def dataset(segments_df: DataFrame, order: list[str], ids: list[str], audio: str = "audio_path") -> DataFrame:
+def dataset(segments_df: DataFrame, order: list[str], ids: list[str], audio: str = "audio_path", bridge: float = 0.6) -> DataFrame:
     """Tiered, filtered and split rows."""
-    taken = tiers.assign(segments_df, order, audio=audio).filter("included")
+    taken = tiers.assign(segments_df, order, bridge, audio=audio).filter("included")
     return splits.split_stratified(taken, ids)

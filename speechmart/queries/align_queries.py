@@ -87,9 +87,22 @@ def _merged(spark: SparkSession, d: str) -> DataFrame:
     return anchors.merge_anchors(*_hits(spark, d), tolerance=6.0, equivalents=EQUIVALENTS)
 
 
-@query()
+#: First fit in discovery order: the list of right anchors taken so far goes from one left anchor to the next.
+_MERGE = f"""ln AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY audio_stem ORDER BY chunk_idx, keyword_idx, "offset") AS i FROM l),
+rn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY audio_stem ORDER BY chunk_idx, keyword_idx, "offset") AS k FROM r),
+fit AS MATERIALIZED (SELECT ln.audio_stem, ln.i, list(r.k ORDER BY r.k) FILTER (r.k IS NOT NULL) AS ks FROM ln LEFT JOIN rn r ON r.audio_stem = ln.audio_stem AND abs(ln.time - r.time) <= 6.0 AND {_EQ.replace("l.word", "ln.word")} GROUP BY ALL),
+take AS (SELECT DISTINCT audio_stem, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS k FROM ln
+ UNION ALL SELECT audio_stem, i, CASE WHEN k IS NULL THEN used ELSE list_append(used, k) END, k FROM
+ (SELECT f.audio_stem, f.i, t.used, list_filter(coalesce(f.ks, []), lambda x: NOT list_contains(t.used, x))[1] AS k FROM take t JOIN fit f ON f.audio_stem = t.audio_stem AND f.i = t.i + 1)),
+mg0 AS (SELECT ln.audio_stem, ln.word, CASE WHEN rn.k IS NULL THEN ln.time ELSE (ln.time + rn.time) / 2 END AS time, CASE WHEN rn.k IS NULL THEN 'mms' ELSE 'both' END AS source, CASE WHEN rn.k IS NULL THEN 0.5 ELSE 0.9 END AS confidence, 0 AS side, ln.i AS rnk
+ FROM ln JOIN take t ON t.audio_stem = ln.audio_stem AND t.i = ln.i LEFT JOIN rn ON rn.audio_stem = ln.audio_stem AND rn.k = t.k
+ UNION ALL SELECT audio_stem, word, time, 'whisper_en', 0.4, 1, k FROM rn WHERE NOT EXISTS (SELECT 1 FROM take t WHERE t.audio_stem = rn.audio_stem AND t.k = rn.k)),
+mg AS MATERIALIZED (SELECT audio_stem, row_number() OVER (PARTITION BY audio_stem ORDER BY time, side, rnk) - 1 AS anchor_idx, word, time, source, CAST(confidence AS DOUBLE) AS confidence FROM mg0)"""
+
+
+@query(f"""WITH RECURSIVE {CHUNKS_SQL}, {_L}, {_R}, {_MERGE} SELECT audio_stem, CAST(anchor_idx AS INTEGER) AS anchor_idx, word, round(time, 6) AS time, source, confidence FROM mg""")
 def anchor_merge_greedy(spark, d):
-    """First-fit merge; its order-dependence has no SQL form."""
+    """First-fit merge in discovery order."""
     return _merged(spark, d).select("audio_stem", "anchor_idx", "word", F.round("time", 6).alias("time"), "source", "confidence")
 
 
@@ -119,7 +132,8 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as audio files of fifty sessions."""
     c = chunk_table(spark, d).groupBy("audio_stem").agg(F.max("end").alias("duration"))
     f = c.select("audio_stem", F.concat(F.lit("src"), (F.col("audio_stem") % 20).cast("string")).alias("session"), "duration", F.lit(1).alias("day"), F.col("audio_stem").alias("take"))
-    total = _transcript(spark, d).groupBy("session").agg(F.count("*").alias("total_words"))
+    docs = read(spark, d, "documents").select(F.col("source").alias("session"), F.size(T.words(F.trim("text"))).alias("n"))
+    total = docs.groupBy("session").agg(F.sum("n").alias("total_words"))
     return f.join(total, "session")
 
 
@@ -145,7 +159,7 @@ def _anchored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    index = sequences.inverted_index(_transcript(spark, d), KEYWORDS, "session")
+    index = sequences.keyword_positions(_transcript(spark, d), KEYWORDS, "session")
     hints = sequences.position_hints(_files(spark, d)).select("audio_stem", "session", "hint_start", "hint_end")
     return sequences.band_candidates(_anchored(spark, d).join(hints, "audio_stem"), index, "session")
 
@@ -153,14 +167,20 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 _R2 = _hits_sql("r", "<> 'mms'", [w for w in OTHER_KEYWORDS if w in KEYWORDS], "whisper_en").replace("CAST(list_position(['that', 'with'], word)", f"CAST(list_position({_list(OTHER_KEYWORDS)}, word)")
 
 
-@query(
-    f"""WITH {_FILES}, {_L}, {_R2}, a AS (SELECT * FROM l UNION ALL SELECT * FROM r),
-b AS (SELECT audio_stem, word, row_number() OVER (PARTITION BY audio_stem ORDER BY time, chunk_idx, keyword_idx, "offset") - 1 AS anchor_idx FROM a),
-c AS (SELECT b.audio_stem, b.anchor_idx, tw.word_idx, tw.word_idx BETWEEN hint_start AND hint_end AS inside, least(abs(tw.word_idx - hint_start), abs(tw.word_idx - hint_end)) AS away
- FROM b JOIN f ON f.audio_stem = b.audio_stem JOIN tw ON tw.session = f.session AND tw.word = b.word),
-k AS (SELECT *, bool_or(inside) OVER (PARTITION BY audio_stem, anchor_idx) AS any_inside, row_number() OVER (PARTITION BY audio_stem, anchor_idx ORDER BY away, word_idx) AS place FROM c)
-SELECT audio_stem, CAST(anchor_idx AS INTEGER) AS anchor_idx, word_idx FROM k WHERE inside OR (NOT any_inside AND place <= 3)"""
-)
+def _band_sql(anchors: str) -> str:
+    """Candidates of ``anchors`` (audio_stem, anchor_idx, word, time) against the transcript's words."""
+    return f"""c AS (SELECT b.audio_stem, b.anchor_idx, b.word, b.time, b.confidence, tw.word_idx, tw.word_idx BETWEEN hint_start AND hint_end AS inside, least(abs(tw.word_idx - hint_start), abs(tw.word_idx - hint_end)) AS away
+ FROM {anchors} b JOIN f ON f.audio_stem = b.audio_stem JOIN tw ON tw.session = f.session AND tw.word = b.word AND tw.word IN (SELECT unnest({_list(KEYWORDS)}))),
+k0 AS (SELECT *, bool_or(inside) OVER (PARTITION BY audio_stem, anchor_idx) AS any_inside FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY audio_stem, anchor_idx ORDER BY CASE WHEN any_inside THEN 0 ELSE away END, word_idx) AS place FROM k0)"""
+
+
+_BAND = f"""{_FILES}, {_L}, {_R2}, a AS (SELECT * FROM l UNION ALL SELECT * FROM r),
+b AS (SELECT audio_stem, word, time, 0.5 AS confidence, row_number() OVER (PARTITION BY audio_stem ORDER BY time, chunk_idx, keyword_idx, "offset") - 1 AS anchor_idx FROM a),
+{_band_sql("b")}"""
+
+
+@query(f"""WITH {_BAND} SELECT audio_stem, CAST(anchor_idx AS INTEGER) AS anchor_idx, word_idx FROM k WHERE inside OR (NOT any_inside AND place <= 3)""")
 def band_candidates_nearest3(spark, d):
     return _candidates(spark, d).select("audio_stem", "anchor_idx", "word_idx")
 
@@ -169,9 +189,25 @@ def _sequence(spark: SparkSession, d: str) -> DataFrame:
     return sequences.matched_sequences(_candidates(spark, d))
 
 
-@query()
+def _lis_sql(candidates: str) -> str:
+    """Patience piles over ``candidates`` (audio_stem, anchor_idx, place, word, time, word_idx, confidence): piles go from row to row, parents are walked back."""
+    return f"""cn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY audio_stem ORDER BY time, anchor_idx, place) AS n FROM {candidates}),
+pile AS (SELECT DISTINCT audio_stem, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS tails, CAST([] AS BIGINT[]) AS ends, CAST(NULL AS BIGINT) AS parent FROM cn
+ UNION ALL SELECT audio_stem, n, list_concat(list_append(tails[1:k], p), tails[k + 2:]), list_concat(list_append(ends[1:k], n), ends[k + 2:]), CASE WHEN k > 0 THEN ends[k] END FROM
+ (SELECT c.audio_stem, c.n, CAST(c.word_idx AS BIGINT) AS p, s.tails, s.ends, len(list_filter(s.tails, lambda x: x < c.word_idx)) AS k FROM pile s JOIN cn c ON c.audio_stem = s.audio_stem AND c.n = s.n + 1)),
+piled AS MATERIALIZED (SELECT * FROM pile),
+top AS (SELECT audio_stem, max_by(ends, n) AS ends FROM piled GROUP BY audio_stem),
+walk AS (SELECT audio_stem, ends[-1] AS n, len(ends) - 1 AS pos FROM top WHERE len(ends) >= 5
+ UNION ALL SELECT w.audio_stem, p.parent, w.pos - 1 FROM walk w JOIN piled p ON p.audio_stem = w.audio_stem AND p.n = w.n WHERE p.parent IS NOT NULL),
+lis AS MATERIALIZED (SELECT c.audio_stem, w.pos, c.word, c.time, c.word_idx, c.confidence FROM walk w JOIN cn c ON c.audio_stem = w.audio_stem AND c.n = w.n)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_BAND}, cc AS (SELECT *, 0.5 AS confidence FROM k WHERE inside OR (NOT any_inside AND place <= 3)), {_lis_sql("cc")}
+SELECT audio_stem, CAST(pos AS INTEGER) AS pos, word, round(time, 6) AS time, word_idx FROM lis"""
+)
 def lis_sequence(spark, d):
-    """One longest increasing sequence of every file; which of equals it is depends on the piles."""
+    """One longest increasing sequence of every file, the one that patience piles find."""
     return _sequence(spark, d).select("audio_stem", "pos", "word", F.round("time", 6).alias("time"), "word_idx")
 
 
@@ -245,11 +281,17 @@ def gap_sessions(spark, d):
     return g.select("audio_path", F.col("run").cast("long").alias("run"), "n", "start", "end")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {EVENTS_SQL}, e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY audio_path ORDER BY "start", "end") AS n, count(*) OVER (PARTITION BY audio_path) AS m FROM ev WHERE score > -5),
+g AS (SELECT audio_path, n, "start" AS opened, "end" AS seen, 0 AS grp FROM e WHERE n = 1
+ UNION ALL SELECT e.audio_path, e.n, CASE WHEN e."start" - g.seen > 40000 OR e."end" - g.opened > 400000 THEN e."start" ELSE g.opened END, e."end", g.grp + CASE WHEN e."start" - g.seen > 40000 OR e."end" - g.opened > 400000 THEN 1 ELSE 0 END
+ FROM g JOIN e ON e.audio_path = g.audio_path AND e.n = g.n + 1)
+SELECT e.audio_path, min(e."start") AS "start", max_by(e."end", e.n) AS "end", CAST(count(*) AS INTEGER) AS word_count, round(avg(e.score), 9) AS score FROM g JOIN e ON e.audio_path = g.audio_path AND e.n = g.n WHERE e.m >= 3 GROUP BY e.audio_path, g.grp HAVING count(*) >= 3"""
+)
 def utterance_fold(spark, d):
     """Utterances with the length limit from their start, which depends on each break before."""
     u = segments.utterances(timed_words(spark, d), max_gap=40_000.0, max_seconds=400_000.0)
-    return u.select("audio_path", "start", "end", "word_count", F.round("score", 6).alias("score"))
+    return u.select("audio_path", "start", "end", "word_count", F.round("score", 9).alias("score"))
 
 
 def _frames(spark: SparkSession, d: str) -> DataFrame:
@@ -284,7 +326,12 @@ def budget_assign(spark, d):
     return b.select("audio_path", "start", "n_words", "first_word")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE p AS MATERIALIZED (SELECT source AS session, doc_id AS para_idx, len(list_filter(regexp_split_to_array(text, '[\\s\\x{{00A0}}\\x{{0085}}\\x0B]+'), lambda x: x <> '')) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+g AS (SELECT session, i, para_idx, 0 AS file, n AS got FROM p WHERE i = 1
+ UNION ALL SELECT p.session, p.i, p.para_idx, g.file + CASE WHEN g.got >= 2000 THEN 1 ELSE 0 END, CASE WHEN g.got >= 2000 THEN 0 ELSE g.got END + p.n FROM g JOIN p ON p.session = g.session AND p.i = g.i + 1)
+SELECT session, session || '_' || file AS audio, para_idx FROM g WHERE file < 3"""
+)
 def paragraph_bucketing(spark, d):
     """Documents of a source dealt to three files in order; the pointer carries over."""
     p = read(spark, d, "documents").select(F.col("source").alias("session"), F.col("doc_id").alias("para_idx"), "text")
@@ -302,7 +349,12 @@ def tumbling_regrid(spark, d):
     return chunks.regrid(e, 3600.0).withColumnRenamed("audio_stem", "audio_path")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {EVENTS_SQL}, e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY audio_path ORDER BY "start") AS n FROM ev),
+g AS (SELECT audio_path, n, "start" AS opened, 0 AS grp FROM e WHERE n = 1
+ UNION ALL SELECT e.audio_path, e.n, CASE WHEN e."start" - g.opened < 50000 THEN g.opened ELSE e."start" END, g.grp + CASE WHEN e."start" - g.opened < 50000 THEN 0 ELSE 1 END FROM g JOIN e ON e.audio_path = g.audio_path AND e.n = g.n + 1)
+SELECT e.audio_path AS audio_stem, min(e."start") AS "start", max_by(e."end", e.n) AS "end", string_agg(e.word, ' ' ORDER BY e.n) AS text FROM g JOIN e ON e.audio_path = g.audio_path AND e.n = g.n GROUP BY e.audio_path, g.grp"""
+)
 def accumulated_chunks(spark, d):
     """Phase one of re-gridding: what is appended depends on where the chunk began."""
     e = timed_words(spark, d).withColumnRenamed("word", "text").withColumnRenamed("audio_path", "audio_stem")
@@ -378,10 +430,30 @@ def day_sections(spark, d):
     return s.select("doc_id", "section", F.md5("text").alias("text_md5"))
 
 
-@query()
+_CHAIN = f"""{_FILES}, {_L}, {_R}, {_MERGE},
+few AS (SELECT audio_stem FROM mg GROUP BY audio_stem HAVING count(*) >= 5),
+am AS (SELECT mg.* FROM mg JOIN few USING (audio_stem)), {_band_sql("am")},
+cc AS (SELECT * FROM k WHERE inside OR (NOT any_inside AND place <= 3)), {_lis_sql("cc")},
+st AS (SELECT *, time - lag(time) OVER w AS dt, word_idx - lag(word_idx) OVER w AS dw FROM lis WINDOW w AS (PARTITION BY audio_stem ORDER BY pos)),
+me AS (SELECT audio_stem, count(*) AS n, max_by(time, pos) - min_by(time, pos) AS span, max_by(word_idx, pos) - min_by(word_idx, pos) AS words,
+ count(CASE WHEN dt > 0 THEN 1 END) AS steps, stddev_pop(CASE WHEN dt > 0 THEN dw / dt END) AS spread, count(DISTINCT word) AS kinds, avg(confidence) AS mean FROM st GROUP BY audio_stem),
+sc AS (SELECT audio_stem, 0.3 * least(1.0, (n - 5) / CAST(15 AS DOUBLE) + 0.5) + 0.25 * CASE WHEN words / span BETWEEN 1 AND 5 THEN 1 - abs(words / span - 2.5) / 2.5 ELSE 0.3 END
+ + 0.2 * greatest(0.0, 1 - CASE WHEN steps >= 2 THEN spread ELSE 0.0 END / 2) + 0.15 * kinds / n + 0.1 * mean AS conf FROM me WHERE n >= 2 AND span > 0 AND words > 0),
+pr AS (SELECT st.audio_stem, pos, time AS a, word_idx AS wa, lead(time) OVER w AS b, lead(word_idx) OVER w AS wb, conf FROM st JOIN sc ON sc.audio_stem = st.audio_stem AND conf >= 0.4 WINDOW w AS (PARTITION BY st.audio_stem ORDER BY pos)),
+p1 AS (SELECT *, b - a AS dt, wb - wa + 1 AS nw FROM pr WHERE wb > wa AND b > a),
+p2 AS (SELECT *, CASE WHEN dt <= 15 AND nw <= 30 THEN 1 ELSE greatest(2, CAST(floor(dt / 15) AS INTEGER) + 1, CAST(floor(nw / 30) AS INTEGER) + 1) END AS n FROM p1 WHERE nw / dt BETWEEN 0.5 AND 6.0),
+p3 AS (SELECT *, unnest(range(0, n)) AS sl FROM p2), p4 AS (SELECT *, CASE WHEN sl = n - 1 THEN nw - (nw // n) * sl ELSE nw // n END AS sz, wa + sl * (nw // n) AS w0 FROM p3),
+tx AS (SELECT p4.audio_stem, p4.pos, sl, string_agg(lower(w.w), ' ' ORDER BY w.word_idx) AS text FROM p4 JOIN f ON f.audio_stem = p4.audio_stem
+ JOIN (SELECT session, row_number() OVER (PARTITION BY session ORDER BY doc_id, p) - 1 AS word_idx, w FROM tw1) w ON w.session = f.session AND w.word_idx >= w0 AND w.word_idx < w0 + sz GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CHAIN} SELECT audio_stem, CAST(pos AS INTEGER) AS pos, CAST(sl AS INTEGER) AS slice, text, round(a + sl * dt / n, 5) AS "start", round(CASE WHEN sl = n - 1 THEN b ELSE a + (sl + 1) * dt / n END, 5) AS "end",
+ round(conf - CASE WHEN nw / dt < 1 OR nw / dt > 4.5 THEN 0.1 ELSE 0 END - CASE WHEN n > 1 THEN 0.05 ELSE 0 END, 8) AS confidence FROM p4 JOIN tx USING (audio_stem, pos, sl) WHERE sz > 0"""
+)
 def alignment_pipeline(spark, d):
     """The whole chain: hits, merge, candidates, sequences, scores, segments."""
     from speechmart.plans.alignment import segments_of
 
     s = segments_of(_merged(spark, d), _files(spark, d), _transcript(spark, d), KEYWORDS, least=0.0)
-    return s.select("audio_stem", "pos", "slice", "text", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"), F.round("confidence", 5).alias("confidence"))
+    return s.select("audio_stem", "pos", "slice", "text", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"), F.round("confidence", 8).alias("confidence"))

@@ -265,10 +265,18 @@ def fuzzy_name_join(spark, d):
 def _dataset(spark, d):
     from speechmart.plans.alignment import dataset
 
-    return dataset(_split_rows(spark, d), SEGMENT_ORDER, _SPLIT_IDS)
+    return dataset(_split_rows(spark, d), SEGMENT_ORDER, _SPLIT_IDS, bridge=0.6 + 1e-9)
 
 
-@query()
+_SPLIT_KEYS = "concat_ws('-', '42', audio_path, l_linenumber, l_partkey, l_suppkey, CAST(epoch_us(l_shipdate) AS VARCHAR), CAST(CAST(round(wps * 10) AS BIGINT) AS VARCHAR), CAST(CAST(round(confidence * 100) AS BIGINT) AS VARCHAR), CAST(CAST(round(llm_score * 1000) AS BIGINT) AS VARCHAR))"
+
+
+@query(
+    f"""WITH {_TIERED}, {_NEAR}, lb AS (SELECT *, CASE WHEN tier = 'rough_patch' AND near >= 0.6 + 1e-9 THEN 'bridge_segment' ELSE tier END AS label FROM m),
+inc AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY md5({_SPLIT_KEYS})) AS rank, count(*) OVER (PARTITION BY tier) AS tn FROM lb WHERE label IN ('high_confidence', 'usable', 'bridge_segment')),
+sp AS (SELECT *, greatest(1, floor(tn * CAST(0.05 AS DOUBLE))) AS share FROM inc)
+SELECT label, CASE WHEN rank <= share THEN 'test' WHEN rank <= 2 * share THEN 'valid' ELSE 'train' END AS split, count(*) AS n FROM sp GROUP BY ALL"""
+)
 def tiered_dataset(spark, d):
     """The dataset chain: tiers, neighbours, inclusion and stratified splits, counted by label and split."""
     return _dataset(spark, d).groupBy("label", "split").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechmart.sources.shared import shared_dir
 from speechmart.streaming.streams import new_files, regrid_stream, session_stream
 
 QUERIES, SQL = {}, {}
@@ -15,8 +16,7 @@ QUERIES, SQL = {}, {}
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Runs a complete-mode stream until its input is read, and gives its last result as a table."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch-tables"
-    place = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/table")

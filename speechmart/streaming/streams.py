@@ -32,11 +32,14 @@ def session_stream(events: DataFrame, key: str, time: str = "ts", gap: str = "30
     return s.agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def utterance_stream(timed: DataFrame, key: str = "audio_path", max_gap: float = 0.5, max_seconds: float = 20.0, at_least: int = 3, idle_ms: int = 60_000) -> DataFrame:
+def utterance_stream(timed: DataFrame, key: str = "audio_path", max_gap: float = 0.5, max_seconds: float = 20.0, at_least: int = 3, least_score: float = -5.0, idle_ms: int = 60_000) -> DataFrame:
     """``operators.segments.utterances`` for words that arrive in order per file.
 
-    The open group is the state; it is flushed when its file is idle.
+    The open group is the state; it is flushed when its file is idle. Words with a score of
+    ``least_score`` or less are dropped, where there are scores.
     """
+    if "score" in timed.columns:
+        timed = timed.filter(F.col("score") > least_score)
 
     def fold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         group = list(zip(*state.get, strict=True)) if state.exists else []

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from speechmart.functions import metrics
-from speechmart.operators import anchors, asr, chunks, corrections, ctc, dtw, scoring, segments, sequences, splits, tiers, vad, vocab
+from speechmart.operators import anchors, asr, chunks, corrections, ctc, dtw, ranking, scoring, segments, sequences, splits, tiers, vad, vocab
 from speechmart.queries import catalog, stream_queries
 from speechmart.sources import io as sources
 from speechmart.streaming import streams
@@ -309,3 +309,53 @@ def test_word_distance_of_many_words(spark):
     df = spark.createDataFrame(rows, "k int, a array<string>, b array<string>")
     got = {r["k"]: r["d"] for r in df.select("k", metrics.word_distance(F.col("a"), F.col("b")).alias("d")).collect()}
     assert got == {0: 55_999, 1: None} | {k: slow_distance(a, b) for k, a, b in rows[2:]}
+
+
+def test_merge_of_sides_that_share_a_source(spark, tmp_path):
+    """Both sides from one table: the columns of one must not be taken for the other's."""
+    rng = random.Random(6)
+    rows = [(s, k, 10.0 * k, 10.0 * k + 10, "x " * rng.randint(0, 9) + rng.choice(["fono", "meeting"]) + " y" * rng.randint(0, 9), rng.choice(["mms", "whisper_en"])) for s in range(12) for k in range(30)]
+    spark.createDataFrame(rows, "audio_stem long, chunk_idx int, start double, end double, text string, source string").write.parquet(str(tmp_path / "c"))
+    c = spark.read.parquet(str(tmp_path / "c"))
+    left, right = (anchors.anchor_hits(c.filter(F.col("source") == s), [w], s) for s, w in (("mms", "fono"), ("whisper_en", "meeting")))
+    got = anchors.merge_anchors(left, right, 25.0, {"fono": "meeting"}).select("audio_stem", "time", "source")
+    want = []
+    for stem in range(12):
+        a, b = ([r["time"] for r in df.filter(F.col("audio_stem") == stem).orderBy("chunk_idx").collect()] for df in (left, right))
+        used = set()
+        for t in a:
+            hit = next((k for k, u in enumerate(b) if k not in used and abs(u - t) <= 25), None)
+            used.add(hit)
+            want.append((stem, t if hit is None else (t + b[hit]) / 2, "mms" if hit is None else "both"))
+        want += [(stem, u, "whisper_en") for k, u in enumerate(b) if k not in used]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_positions_over_ranges(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), k if k % 11 else None, k) for k in range(900)]
+    df = spark.createDataFrame(rows, "g string, at int, v long").repartition(7)
+    got = ranking.positions(df, ["g"], ["at", "v"], "pos").collect()
+    for g in ("hot", "b", None):
+        mine = sorted((r["pos"], r["at"] is not None, r["at"] or 0, r["v"]) for r in got if r["g"] == g)
+        assert [m[0] for m in mine] == list(range(len(mine))) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
+    total = ranking.running_total(df, [], ["v"], F.col("v"), "sum").orderBy("v").collect()
+    assert [r["sum"] for r in total] == [k * (k - 1) // 2 for k in range(900)]
+    assert ranking.positions(df.limit(0), [], ["v"], "pos").count() == 0
+
+
+def test_band_candidates_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "CELL", 16)
+    rng = random.Random(4)
+    words = [(s, rng.choice("abcxyz"), k) for s in ("s", "t") for k in range(400)] + [("s", "rare", 5), ("s", "rare", 390)]
+    pos = spark.createDataFrame(words, "session string, word string, word_idx long")
+    ask = [(f"f{k % 5}", k, rng.choice(["s", "t"]), rng.choice(["a", "b", "rare", "none"]), lo, lo + rng.choice([0, 3, 90])) for k, lo in enumerate(rng.choices(range(-20, 420), k=120))]
+    df = spark.createDataFrame(ask, "audio_stem string, anchor_idx int, session string, word string, hint_start long, hint_end long")
+    got = {(r["anchor_idx"], r["place"], r["word_idx"]) for r in sequences.band_candidates(df, pos, "session").collect()}
+    want = set()
+    for _, k, s, w, lo, hi in ask:
+        all_ = sorted(i for t, x, i in words if t == s and x == w)
+        inside = [i for i in all_ if lo <= i <= hi]
+        picked = inside or sorted(all_, key=lambda i: (min(abs(i - lo), abs(i - hi)), i))[:3]
+        want |= {(k, p, i) for p, i in enumerate(picked, 1)}
+    assert got == want
