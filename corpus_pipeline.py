@@ -1,8 +1,16 @@
 """The corpus pipeline: from raw documents to packed training windows.
 
-Stages: language ID drops texts without a language; exact dedup keeps one row per text; near-dedup
-keeps one document per group; the secret scan masks what it finds and keeps the documents; packing
-cuts the rest into windows. Every stage but the last returns the columns of ``documents``.
+Stages: language ID drops texts without a language, and those for which no language is likelier than
+all others together (a score under 0.5); exact dedup keeps one row per text; near-dedup keeps one
+document per group; the secret scan masks what it finds and keeps the documents; packing cuts the rest
+into windows. Every stage but the last returns the columns of ``documents``, whatever their names.
+
+Nulls and odd input, the same in all stages: a null text counts as empty. The language stage drops
+null, empty and letterless texts; given such rows, the later stages keep them (of equal ones exact
+dedup keeps one, near-dedup links none, the secret scan leaves them as they are, packing gives them the
+end id alone). A null id is passed on; exact dedup prefers any id to it, and near-dedup never drops such
+a row. Of rows equal in id and text one stays, with the greatest other columns. Texts are read whole at
+any length. An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -23,12 +31,12 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the classifiers know."""
+    """Documents in a language that the classifiers know, with a score of 0.5 or more."""
     return keep_identified(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for every distinct text."""
+    """One row for every distinct text (A-Z lower-cased): the one with the largest id."""
     return keep_first_texts(docs)
 
 
@@ -38,7 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked."""
+    """All documents, with secrets masked and ``n_chars`` set anew where that changed a text."""
     return redact(docs, length_col="n_chars")
 
 

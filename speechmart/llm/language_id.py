@@ -5,8 +5,10 @@ language whose codeword has the least summed logistic loss against the bits' mar
 small lead over the runner-up is flagged as ambiguous. Classifiers see hashed letter 1- to 3-grams of
 the whole lower-cased text, by relative frequency.
 
-Fitting reads a bounded sample of labelled rows: ``per_language`` rows of each language, chosen by a
-hash of the id. Everything else covers all rows and whole texts.
+Fitting reads a bounded sample of labelled rows: about ``per_language`` rows of each language, and
+``SAMPLE_ROWS`` rows of all languages together, chosen by a hash of the id. Everything else covers all
+rows and whole texts. A column with very many languages has codewords of a length that grows with the
+logarithm of their number.
 
 Texts that are null, empty or without letters are ``und`` with score 0; with no labelled rows every
 text is ``und``. Rows without an id or a language do not take part in fitting but are predicted.
@@ -22,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import materialize, pick
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 600
+SAMPLE_ROWS = 20_000
+#: Up to so many languages each has a bit of its own besides the random ones.
+OWN_BITS = 64
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
 _BLOCK = 1 << 16
@@ -76,7 +81,7 @@ def codewords(n_classes: int, seed: int = 7) -> np.ndarray:
         return np.array(bits, dtype=float).T
     rng = np.random.default_rng(seed)
     n = 12 * int(np.ceil(np.log2(n_classes)))
-    own = 2 * np.eye(n_classes) - 1
+    own = 2 * np.eye(n_classes) - 1 if n_classes <= OWN_BITS else np.ones((n_classes, 0))
     return np.concatenate([own, rng.choice([-1.0, 1.0], size=(n_classes, n))], axis=1)
 
 
@@ -134,14 +139,11 @@ def fit_model(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12,
 def sample_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """N-gram frequencies of about ``per_language`` labelled rows of each language."""
     train = pick(docs, [id_col, text_col, lang_col]).toDF("i", "t", "l").filter(F.col("l").isNotNull() & F.col("t").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i")))
-    counts = {r["l"]: r["n"] for r in train.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return []
+    counts = materialize(train.groupBy("l").agg(F.count("*").alias("n")), "language-counts")
+    each = min(per_language, SAMPLE_ROWS / max(1, counts.count()))
     scale = 1 << 30
-    limit = F.lit(0).cast("long")
-    for language, n in sorted(counts.items()):
-        limit = F.when(F.col("l") == language, F.lit(int(scale * min(1.0, per_language / n)) + 1)).otherwise(limit)
-    chosen = train.filter(F.pmod(F.xxhash64("i"), F.lit(scale)) < limit)
+    limit = (F.least(F.lit(1.0), F.lit(each) / F.col("n")) * scale).cast("long") + 1
+    chosen = train.join(counts.select("l", limit.alias("limit")), "l").filter(F.pmod(F.xxhash64("i"), F.lit(scale)) < F.col("limit"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

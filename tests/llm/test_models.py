@@ -45,7 +45,7 @@ def test_codewords_differ():
         assert len({tuple(r) for r in code}) == n
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     def shingles(t):
         w = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
         return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
@@ -60,7 +60,7 @@ def brute_components(rows):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in sets.items()}

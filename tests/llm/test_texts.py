@@ -41,6 +41,7 @@ def test_codec_query(spark, odd_docs, no_docs):
         ids = LIBRARY.encode(text) if text else []
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(LIBRARY.decode(ids).encode()).hexdigest()
     assert encode_documents(no_docs, MODEL).count() == 0
 
 
@@ -83,9 +84,23 @@ def test_pii_query(odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     by_id = {r["doc_id"]: r for r in rows}
     assert by_id[11]["n_email"] == 1 and by_id[11]["n_ip"] == 1 and by_id[1]["spans"] == ""
+    for doc in odd_docs.collect():
+        want = brute_pii(doc["text"] or "")
+        base = [f"{k}:{a}:{b}" for k in PII for a, b in want[k]]
+        r = by_id[doc["doc_id"]]
+        assert [r[f"n_{k}"] for k in PII] == [len(want[k]) for k in PII]
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        added = [x for x in r["spans"].split(",") if x and x.split(":")[0] not in PII]
+        assert [x for x in r["spans"].split(",") if x and x not in added] == base and all(x.startswith(("url:", "account:")) for x in added)
     assert pii.scan_documents(no_docs).count() == 0
 
 
+def test_pii_of_a_long_text_with_many_matches(spark):
+    text = "a.b@c.de 10.0.0.1 4953 9352 5300 2528 +1 377 555 0271 filler " * 3000
+    r = pii.scan_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [r[f"n_{k}"] for k in PII] == [len(v) for v in brute_pii(text).values()] and r["n_email"] == 3000
+
+
 BASE = [
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
     ("access", "AKIA[A-Z0-9]+"),
