@@ -11,6 +11,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from speechmart.functions.text import clip_samples
+from speechmart.operators.chunks import fixed_chunks
 
 Transcriber = Callable[[list[np.ndarray]], list[str]]
 Framer = Callable[[list[np.ndarray]], list[list[tuple[str, float]]]]
@@ -42,3 +46,27 @@ def label_frames(clips: DataFrame, make_model: Callable[[], Framer], key: str, s
 
     need = clips.select(key, samples)
     return need.mapInPandas(run, f"`{key}` {need.schema[key].dataType.simpleString()}, frame int, token string, score double")
+
+
+def with_fallback(*factories: Callable[[], Transcriber]) -> Callable[[], Transcriber]:
+    """A factory that gives the first model whose files are there, such as a tuned one before its base."""
+
+    def make() -> Transcriber:
+        for factory in factories[:-1]:
+            try:
+                return factory()
+            except FileNotFoundError:
+                continue
+        return factories[-1]()
+
+    return make
+
+
+def transcribe_chunked(audio: DataFrame, make_model: Callable[[], Transcriber], key: str = "audio_stem", size: float = 30.0, rate: int = 16_000) -> DataFrame:
+    """key and text of whole files (key, samples): transcribed in chunks, which are joined in order; blank chunks leave no trace."""
+    timed = audio.withColumn("duration", F.size("samples") / rate)
+    at = fixed_chunks(timed, size, stem=key).join(audio.select(key, "samples"), key)
+    clips = at.select(key, "chunk_idx", clip_samples(F.col("samples"), F.col("start"), F.col("end"), rate).alias("samples")).filter("samples is not null")
+    heard = transcribe(clips, make_model, [key, "chunk_idx"]).withColumn("text", F.trim("text")).filter("text <> ''")
+    joined = heard.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "text"))).alias("ts"))
+    return joined.select(key, F.array_join(F.transform("ts", lambda t: t["text"]), " ").alias("text"))

@@ -63,5 +63,10 @@ def keep_clips(segments: DataFrame, confidence: float = 0.6, low: float = 0.5, h
     return segments.filter((F.coalesce("confidence", F.lit(1.0)) >= confidence) & (F.col("end") - F.col("start")).between(low, high))
 
 
+def skip_long(segments: DataFrame, longest: float = 30.0, duration: str = "duration") -> DataFrame:
+    """Rows up to a length; a missing length counts as 0 and stays."""
+    return segments.filter(F.coalesce(duration, F.lit(0.0)) <= longest)
+
+
 def tier_counts(tiered: DataFrame) -> DataFrame:
     return tiered.groupBy("tier").agg(F.count("*").alias("n"))

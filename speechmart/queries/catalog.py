@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speechmart.queries import align_queries, curation_queries, stream_queries, text_queries
+from speechmart.queries import align_queries, curation_queries, source_queries, stream_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (text_queries, align_queries, curation_queries, stream_queries)
+_PARTS = (text_queries, align_queries, curation_queries, stream_queries, source_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -6,14 +6,17 @@ import io
 import struct
 import wave
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechmart.functions.text import session_of, to_plain
+
 CHUNK = "text string, start double, end double, source string"
 CORRECTION = "original_mms string, corrected_text string, start double, end double, quality int, whisper string, source string, auto_accepted boolean"
 CORRECTIONS = f"segments map<string, struct<{CORRECTION.replace(' ', ':').replace(',:', ',')}>>, vocabulary map<string, struct<word:string,meaning:string,pos:string,added:string>>, metadata struct<created:string,last_modified:string,audio_file:string>"
@@ -25,23 +28,23 @@ def stem_of(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
-def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON arrays of rows, one file per stem, with audio_stem and the position in the file."""
+def read_rows(spark: SparkSession, path: str, schema: str, stem: Column | None = None) -> DataFrame:
+    """JSON arrays of rows, one file per stem, with audio_stem: the file's name, or ``stem`` (of a folder's columns)."""
     df = spark.read.schema(schema).option("multiLine", True).json(path)
-    return df.withColumn("audio_stem", stem_of(F.col("_metadata.file_path")))
+    return df.withColumn("audio_stem", stem_of(F.col("_metadata.file_path")) if stem is None else stem)
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, stem: Column | None = None) -> DataFrame:
     """Transcript chunks with chunk_idx by start; a missing end is ten seconds on."""
-    rows = read_rows(spark, path, CHUNK).withColumn("end", F.coalesce("end", F.col("start") + 10))
+    rows = read_rows(spark, path, CHUNK, stem).withColumn("end", F.coalesce("end", F.col("start") + 10))
     all_ = rows.groupBy("audio_stem").agg(F.sort_array(F.collect_list(F.struct("start", "end", "text", "source"))).alias("cs"))
     return all_.select("audio_stem", F.posexplode("cs").alias("chunk_idx", "c")).select("audio_stem", "chunk_idx", "c.*")
 
 
-def read_nested(spark: SparkSession, path: str) -> DataFrame:
+def read_nested(spark: SparkSession, path: str, stem: Column | None = None) -> DataFrame:
     """Objects with text, language and segments: one row per segment."""
     schema = "text string, language string, segments array<struct<start:double,end:double,text:string>>"
-    df = read_rows(spark, path, schema)
+    df = read_rows(spark, path, schema, stem)
     return df.select("audio_stem", "language", F.posexplode("segments").alias("chunk_idx", "s")).select("audio_stem", "language", "chunk_idx", "s.*")
 
 
@@ -54,8 +57,8 @@ def read_corrections(spark: SparkSession, path: str) -> DataFrame:
     """Correction bundles; an absent path gives an empty table of the same schema."""
     try:
         return spark.read.schema(CORRECTIONS).option("multiLine", True).json(path)
-    except Exception as e:  # noqa: BLE001  only a missing path is answered by an empty table
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], CORRECTIONS)
 
@@ -72,8 +75,8 @@ def docx_paragraphs(content: bytes) -> list[str]:
     return ["".join(t.text or "" for t in p.iter(f"{_W}t")) for p in root.iter(f"{_W}p")]
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """audio_stem, para_idx, text of every paragraph that is not blank."""
+def docx_rows(files: DataFrame) -> DataFrame:
+    """audio_stem, para_idx, text of every paragraph that is not blank, of files (audio_stem, content)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -81,8 +84,12 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(stem, k, p.strip()) for k, p in enumerate(docx_paragraphs(content)) if p.strip()]
                 yield pd.DataFrame(rows, columns=["audio_stem", "para_idx", "text"])
 
-    files = spark.read.format("binaryFile").load(path).select(stem_of(F.col("path")).alias("audio_stem"), "content")
-    return files.mapInPandas(run, "audio_stem string, para_idx int, text string")
+    return files.select("audio_stem", "content").mapInPandas(run, "audio_stem string, para_idx int, text string")
+
+
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """``docx_rows`` of word-processor files."""
+    return docx_rows(spark.read.format("binaryFile").load(path).select(stem_of(F.col("path")).alias("audio_stem"), "content"))
 
 
 def decode_wav(content: bytes) -> tuple[np.ndarray, int, int, int]:
@@ -102,18 +109,32 @@ def resample(x: np.ndarray, rate: int, target: int = 16_000) -> np.ndarray:
     return np.interp(np.arange(n) * (rate / target), np.arange(len(x)), x).astype(np.float32)
 
 
-def read_audio(spark: SparkSession, path: str, target: int = 16_000) -> DataFrame:
-    """audio_stem, audio_path, samples (mono, ``target`` Hz), duration, sample_rate, channels, bit_depth, file_size."""
+#: Bytes of a file to (mono samples, rate, channels, bits).
+Decoder = Callable[[bytes], tuple[np.ndarray, int, int, int]]
+
+
+def audio_rows(files: DataFrame, target: int = 16_000, decode: Decoder = decode_wav) -> DataFrame:
+    """audio_stem, audio_path, samples (mono, ``target`` Hz), duration, sample_rate, channels, bit_depth, file_size.
+
+    ``files`` has path, audio_stem, content and length. Formats other than PCM come with a ``decode`` of
+    their own, which runs on the executors.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for p, stem, content, size in zip(pdf["path"], pdf["audio_stem"], pdf["content"], pdf["length"], strict=True):
-                x, rate, channels, bits = decode_wav(content)
+                x, rate, channels, bits = decode(content)
                 row = {"audio_stem": stem, "audio_path": p, "samples": resample(x, rate, target), "duration": len(x) / rate, "sample_rate": rate, "channels": channels, "bit_depth": bits, "file_size": size}
                 yield pd.DataFrame([row])
 
+    need = files.select("path", "audio_stem", "content", "length")
+    return need.mapInPandas(run, "audio_stem string, audio_path string, samples array<float>, duration double, sample_rate int, channels int, bit_depth int, file_size long")
+
+
+def read_audio(spark: SparkSession, path: str, target: int = 16_000, decode: Decoder = decode_wav) -> DataFrame:
+    """``audio_rows`` of audio files."""
     files = spark.read.format("binaryFile").load(path).select("path", stem_of(F.col("path")).alias("audio_stem"), "content", "length")
-    return files.mapInPandas(run, "audio_stem string, audio_path string, samples array<float>, duration double, sample_rate int, channels int, bit_depth int, file_size long")
+    return audio_rows(files, target, decode)
 
 
 def wav_bytes(x: np.ndarray, rate: int = 16_000) -> bytes:
@@ -143,6 +164,11 @@ def media_files(files: DataFrame, path: str = "path") -> DataFrame:
     return files.filter(F.lower(path).rlike(r"\.(mp3|mp4|wav|m4a)$"))
 
 
+def files_of_session(files: DataFrame, session: str, path: str = "path") -> DataFrame:
+    """Files whose path names the session."""
+    return files.filter(session_of(F.col(path)) == session)
+
+
 def not_yet_done(inputs: DataFrame, outputs: DataFrame, stem: str = "audio_stem", force: bool = False) -> DataFrame:
     """Inputs without an output; all of them with ``force``."""
     return inputs if force else inputs.join(outputs, stem, "left_anti")
@@ -172,6 +198,34 @@ def dataset_metadata(df: DataFrame, split: str = "split") -> DataFrame:
     return by.agg(F.sum("n").alias("clips"), (F.sum("s") / 3600).alias("hours"), F.map_from_entries(F.sort_array(F.collect_list(F.struct(split, "n")))).alias("splits"))
 
 
+def tier_metadata(df: DataFrame, tier: str = "tier") -> DataFrame:
+    """One row: clips, hours, mean confidence, and per tier its clips and confidence from least to most."""
+    c = F.coalesce("confidence", F.lit(0.0))
+    by = df.groupBy(tier).agg(F.count("*").alias("clips"), F.sum("duration").alias("s"), F.sum(c).alias("c"), F.min(c).alias("low"), F.max(c).alias("high"))
+    one = F.struct(F.col(tier).alias("tier"), "clips", (F.col("c") / F.col("clips")).alias("mean"), "low", "high")
+    return by.agg(F.sum("clips").alias("clips"), (F.sum("s") / 3600).alias("hours"), (F.sum("c") / F.sum("clips")).alias("mean_confidence"), F.sort_array(F.collect_list(one)).alias("tiers"))
+
+
+def benchmark_sample(spark: SparkSession, metadata_path: str, reference_path: str) -> DataFrame:
+    """system4 and system6 reference texts: those of the metadata, else the plain reference file for both."""
+    schema = "title string, reference_text struct<system4:string,system6:string>"
+    try:
+        meta = spark.read.schema(schema).option("multiLine", True).json(metadata_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        meta = spark.createDataFrame([], schema)
+    whole = spark.read.option("wholetext", True).text(reference_path).select(F.trim("value").alias("plain"))
+    both = whole.join(meta.limit(1), F.lit(True), "left")
+    return both.select(F.coalesce("reference_text.system4", "plain").alias("system4"), F.coalesce("reference_text.system6", to_plain(F.col("plain"))).alias("system6"))
+
+
+def benchmark_bundle(results: DataFrame, benchmark: str) -> DataFrame:
+    """One row (value) of JSON: the benchmark's name and its results in order of model."""
+    cols = ["model", "transcription", "wer_system4", "wer_system6", "cer_system4", "cer_system6"]
+    return results.agg(F.to_json(F.struct(F.lit(benchmark).alias("benchmark"), F.sort_array(F.collect_list(F.struct(*cols))).alias("results"))).alias("value"))
+
+
 def touch_corrections(bundles: DataFrame) -> DataFrame:
     """Bundles with the time of change set, for writing back."""
     return bundles.withColumn("metadata", F.col("metadata").withField("last_modified", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")))

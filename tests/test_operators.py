@@ -359,3 +359,35 @@ def test_band_candidates_equal_all_pairs(spark, monkeypatch):
         picked = inside or sorted(all_, key=lambda i: (min(abs(i - lo), abs(i - hi)), i))[:3]
         want |= {(k, p, i) for p, i in enumerate(picked, 1)}
     assert got == want
+
+
+def test_benchmark_sample_and_model_fallback(spark, tmp_path):
+    (tmp_path / "reference.txt").write_text("te fānau\n")
+    got = sources.benchmark_sample(spark, str(tmp_path / "absent.json"), str(tmp_path / "reference.txt")).first()
+    assert (got["system4"], got["system6"]) == ("te fānau\n".strip(), "te fanau")
+    (tmp_path / "m.json").write_text(json.dumps({"title": "t", "reference_text": {"system4": "ā", "system6": None}}))
+    got = sources.benchmark_sample(spark, str(tmp_path / "m.json"), str(tmp_path / "reference.txt")).first()
+    assert (got["system4"], got["system6"]) == ("ā", "te fanau")
+
+    def tuned():
+        raise FileNotFoundError("no adapter")
+
+    def base():
+        return lambda xs: [f"{len(x)}" if len(x) else "" for x in xs]
+
+    audio = spark.createDataFrame([("a", [0.1] * 25), ("b", [0.2] * 4)], "audio_stem string, samples array<float>")
+    heard = asr.transcribe_chunked(audio, asr.with_fallback(tuned, base), size=1.0, rate=10)
+    assert {r["audio_stem"]: r["text"] for r in heard.collect()} == {"a": "10 10 5", "b": "4"}
+
+
+def test_blocks_with_times_and_null_arrays(spark):
+    word = "array<struct<word:string,start:double,end:double>>"
+    rows = [(1, list("abcxyz"), [(w, k * 0.1, k * 0.1 + 0.1) for k, w in enumerate("abcq")] + [("x", 5.0, 6.0), ("y", 6.0, 7.0), ("z", 7.0, 7.5)]), (2, None, None), (3, ["a"], None)]
+    df = spark.createDataFrame(rows, f"k int, official array<string>, heard {word}")
+    got = [tuple(r) for r in dtw.timed_blocks(df, "k", "official", "heard").collect()]
+    assert got == [(1, 0, 3, 3, "x y z", 5.0, 7.5)]
+    plain = df.select("k", "official", F.transform("heard", lambda h: h["word"]).alias("heard"))
+    assert {r["k"]: r["score"] for r in dtw.dtw_align(plain, "k", "heard", "official").collect()}[2] == 0.0
+    assert {r["k"] for r in dtw.block_align(plain, "k", "official", "heard").collect()} == {1}
+    spans = df.select("k", F.lit("s").alias("session"), F.lit(0.0).alias("start"), F.lit(9.0).alias("end"), "heard", F.col("official").alias("written")).withColumnRenamed("k", "pair_id")
+    assert {r["pair_id"] for r in dtw.word_segments(spans).collect()} <= {1}
