@@ -30,6 +30,8 @@ from .common import pick
 
 SPACE = "▁"
 CACHE_WORDS = 500_000
+#: Characters and ids that the remembered words and segments may hold together, so that long ones are bounded too.
+CACHE_ROOM = 24_000_000
 
 
 class PrefixTableEncoder:
@@ -63,6 +65,13 @@ class PrefixTableEncoder:
         self.segments: dict[str, tuple[int, ...]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.cache_words = cache_words
+        self.room = CACHE_ROOM
+
+    def _remember(self, cache: dict, key: str, value: tuple, size: int) -> None:
+        """Keeps a result while there is room for it."""
+        if len(cache) < self.cache_words and size <= self.room:
+            self.room -= size
+            cache[key] = value
 
     def merge(self, text: str) -> list[str]:
         """Replays the merges: the best-ranked adjacent pair first, the leftmost of equals."""
@@ -84,7 +93,7 @@ class PrefixTableEncoder:
         known = self.fits.get(key)
         if known is None:
             known = self.merge(left + right) == ([left, right] if left else [right])
-            if len(self.fits) < 4 * self.cache_words:
+            if len(self.fits) < 2 * self.cache_words:
                 self.fits[key] = known
         return known
 
@@ -141,8 +150,7 @@ class PrefixTableEncoder:
             known = self.segments.get(part)
             if known is None:
                 known = self._ids(replay(part, self.rank) if spaced else self.tokens(part))
-                if len(self.segments) < self.cache_words:
-                    self.segments[part] = known
+                self._remember(self.segments, part, known, len(part) + 2 * len(known))
             out += known
         return tuple(out)
 
@@ -159,8 +167,7 @@ class PrefixTableEncoder:
     def _word(self, word: str) -> tuple[tuple[int, ...], str]:
         ids = self.segment_ids(SPACE + word)
         out = (ids, ",".join(map(str, ids)))
-        if len(self.words) < self.cache_words:
-            self.words[word] = out
+        self._remember(self.words, word, out, len(word) + 2 * len(ids) + len(out[1]))
         return out
 
     def encode(self, text: str) -> tuple[list[int], str]:

@@ -33,6 +33,17 @@ def test_long_runs():
         assert CODER.encode(text)[0] == LIBRARY.encode(text)
 
 
+def test_remembered_words_stay_within_their_room():
+    with open(MODEL, "rb") as f:
+        coder = PrefixTableEncoder(f.read(), cache_words=50)
+    coder.room = 5000
+    rng = random.Random(5)
+    for _ in range(300):
+        text = " ".join("".join(rng.choices("etaoin", k=rng.choice([3, 8, 400]))) for _ in range(5))
+        assert coder.encode(text)[0] == LIBRARY.encode(text)
+    assert coder.room >= 0 and len(coder.words) <= 50 and len(coder.segments) <= 50 and len(coder.fits) <= 100
+
+
 def test_codec_query(spark, odd_docs, no_docs):
     rows = encode_documents(odd_docs, MODEL, keep_ids=True).collect()
     assert len(rows) == odd_docs.count()
