@@ -84,6 +84,12 @@ def test_warp_cost_and_path():
     assert dtw.warp([], ["a"]) == ([], 0.0)
 
 
+@settings(max_examples=100, deadline=None)
+@given(*[st.lists(st.text(alphabet="ktngrl A", max_size=6), min_size=1, max_size=12)] * 2)
+def test_similarity_matrix_equals_the_scalar(heard, written):
+    assert dtw.similarity_matrix(heard, written).tolist() == [[dtw.similarity(a, b) for b in written] for a in heard]
+
+
 def test_cut_segments():
     heard = [(f"w{k}", k * 1.0, k + 1.0) for k in range(30)]
     written = [f"w{k}" + ("." if k in (9, 19) else "") for k in range(30)]
