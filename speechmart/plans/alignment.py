@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechmart.operators import anchors as A
@@ -26,11 +26,11 @@ def segments_of(anchors: DataFrame, files: DataFrame, transcript: DataFrame, key
     pairs outside the pace of ``pair_segments`` bring none. Anchors and sequences are written once,
     since several steps read them.
     """
-    anchors = materialize(anchors, "anchors")
     hinted = sequences.position_hints(files).select("audio_stem", "session", "hint_start", "hint_end")
-    enough = anchors.groupBy("audio_stem").count().filter(F.col("count") >= sequences.LEAST_LENGTH).select("audio_stem")
+    of_file = F.count("*").over(Window.partitionBy("audio_stem"))
+    enough = anchors.withColumn("_n", of_file).filter(F.col("_n") >= sequences.LEAST_LENGTH).drop("_n")
     positions = materialize(sequences.keyword_positions(transcript, keywords, "session"), "positions")
-    placed = materialize(anchors.join(enough, "audio_stem").join(hinted, "audio_stem"), "placed")
+    placed = materialize(enough.join(hinted, "audio_stem"), "placed")
     seq = materialize(sequences.matched_sequences(sequences.band_candidates(placed, positions, "session")), "sequences")
     good = sequences.scored_sequences(seq).filter(F.col("confidence") >= least).select("audio_stem", F.col("confidence").alias("seq_conf"))
     pairs = segments.anchor_pairs(seq).join(good, "audio_stem").join(placed.select("audio_stem", "session").distinct(), "audio_stem")
