@@ -51,6 +51,13 @@ def pick(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``rows`` rows, so that what Python makes of them at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def sorted_runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """The runs of rows that agree in the first ``keys`` columns, of a stream sorted by them; one run is held at a time."""
     held: list[pa.RecordBatch] = []

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import materialize, pick, slices
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 600
@@ -146,7 +146,7 @@ def sample_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str,
     chosen = train.join(counts.select("l", limit.alias("limit")), "l").filter(F.pmod(F.xxhash64("i"), F.lit(scale)) < F.col("limit"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, ids, freqs = [], [], []
             for text, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 count = np.zeros(BUCKETS)
@@ -172,7 +172,11 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "d
 
 
 def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text has a language: not ``und``, and one language likelier than all others together."""
+    """The rows of ``docs`` whose text has a language: not ``und``, and one language likelier than all others together.
+
+    Null, empty and letterless texts go; null ids and languages do not matter; repeated rows share their
+    fate; an empty table, or one without labelled rows, gives an empty one. All columns are passed on.
+    """
     scored = score_rows(docs, per_language, id_col, text_col, lang_col, docs.columns)
     return scored.filter((F.col("_ecoc_lang_pred") != UNKNOWN) & (F.col("_ecoc_score") >= least_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -186,7 +190,7 @@ def score_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str, l
     added = ["_ecoc_lang_pred", "_ecoc_score", "_ecoc_ambiguous"]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [model.value.predict(t or "") for t in batch.column(at).to_pylist()]
             extra = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*columns, *added])

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, sorted_runs
+from .common import materialize, pick, slices, sorted_runs
 
 WORDS, BANDS, ROWS = 5, 24, 4
 SAMPLES = BANDS * ROWS
@@ -135,7 +135,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     names = ["doc_id", "n_shingles", "set_hash", "sketch", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, key, sketch, bands = [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingle_set(text)
@@ -166,7 +166,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
     """Full sets of the candidate ids, one pass over their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "members"])
 
@@ -178,7 +178,7 @@ def _fine(sets: DataFrame, ids: DataFrame) -> DataFrame:
     """Fine sketches of the ids whose buckets are open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fine = [odd_sketch(samples(np.frombuffer(m.as_buffer(), np.uint64), SAMPLES, FINE_SAMPLES), FINE_BITS).tobytes() for m in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], names=["rep", "fine"])
 
@@ -189,7 +189,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             last, one, keep = None, None, []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = x.as_buffer(), y.as_buffer()
@@ -365,6 +365,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 
 def keep_representatives(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those that another document of their group stands for."""
+    """The rows of ``docs`` without those that another document of their group stands for.
+
+    Null, empty and wordless texts stay, and so do rows without an id; rows that share an id stay or go
+    together; an empty table stays empty. All columns are passed on, whatever their names.
+    """
     gone = near_duplicates(docs, percent, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialize, pick
+from .common import materialize, pick, slices
 
 CAPACITY = 1024
 CACHE_WORDS = 800_000
@@ -255,7 +255,7 @@ def pack_documents(
         coder = process_tokenizer(vocabulary.value)
         chunk, windows, ranks = TaskContext.get().partitionId(), 0, defaultdict(int)
         step = capacity * 4
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {n: [] for n in names[2:]}
             for text in batch.column(1).to_pylist():
                 ids = (coder.encode(text) if text else b"") + end
@@ -286,7 +286,7 @@ def pack_documents(
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
-        for batch in batches:
+        for batch in slices(batches):
             at: list[int] = []
             out: dict[str, list] = {n: [] for n in out_names[1:]}
 

@@ -20,7 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
@@ -163,7 +163,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder()
-        for batch in batches:
+        for batch in slices(batches):
             found = [finder.find(t or "") for t in batch.column(1).to_pylist()]
             cols = [batch.column(0)]
             cols += [pa.array([len(f[k]) for f in found], pa.int64()) for k in KINDS]
