@@ -26,12 +26,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, slices
 
 SPACE = "▁"
 CACHE_WORDS = 500_000
 #: Characters and ids that the remembered words and segments may hold together, so that long ones are bounded too.
-CACHE_ROOM = 24_000_000
+CACHE_ROOM = 64_000_000
 
 
 class PrefixTableEncoder:
@@ -93,7 +93,7 @@ class PrefixTableEncoder:
         known = self.fits.get(key)
         if known is None:
             known = self.merge(left + right) == ([left, right] if left else [right])
-            if len(self.fits) < 2 * self.cache_words:
+            if len(self.fits) < 4 * self.cache_words:
                 self.fits[key] = known
         return known
 
@@ -247,7 +247,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = process_encoder(model.value)
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {k: [] for k in ("n", "i", "d", "ids", "text")}
             for text in batch.column(1).to_pylist():
                 ids, joined = coder.encode(text or "")
