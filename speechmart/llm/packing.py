@@ -35,7 +35,7 @@ from tokenizers import Tokenizer
 from .common import materialize, pick, slices
 
 CAPACITY = 1024
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 #: Marks that the pattern never joins to letters before them.
 _MARKS = ".,!?;:*#$%&|"
 #: Stands for the first word, which has no space before it and is encoded apart; words hold no space.
