@@ -9,8 +9,8 @@ several blocks, so no task holds a list that a common vector makes long.
 A query searches the centroids through a graph in memory (each centroid with its ``NEIGHBOURS`` nearest
 and the reverse edges) from fixed entries, and probes the lists whose centroids are at most
 ``PROBE_RATIO`` times as far as the nearest one. Query blocks and posting blocks of a list meet in a
-join; each meeting scores all its pairs and sends on the best ``k`` a query. Rows found in several lists
-count once.
+join; each meeting scores all its pairs, and a task sends on the best ``k`` a query of all its meetings.
+Rows found in several lists count once.
 
 Largest inner products become smallest distances by one more dimension: a row x has there the root of
 (greatest squared norm - squared norm of x), a query 0. That affects the lists alone; scores are inner
@@ -45,6 +45,8 @@ NEIGHBOURS, ENTRIES, BEAM = 16, 8, 24
 SAMPLE_ROWS, SAMPLE_BYTES = 100_000, 64 << 20
 CENTROIDS, CENTROID_BYTES = 16_384, 16 << 20
 ROUNDS, FULLNESS = 4, 0.05
+#: Found rows that a task holds at once.
+HELD = 1 << 20
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -200,18 +202,57 @@ def _packed(dealt: DataFrame, size: int, name: str) -> DataFrame:
     return materialize(blocked.groupBy("list", "block").applyInPandas(_pack, "list int, block int, keys binary, ids binary, data binary, wide int"), name)
 
 
-def best_pairs(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, keys: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[int, int, int, float]]:
-    """(query, id, row, score) of the ``k`` best rows of one posting block for every query of a block."""
-    scores = q @ v.T
-    slack = 1e-9 * (np.abs(q) @ np.abs(v).T).max(axis=1, initial=0.0)
-    for r, one in enumerate(q_ids):
-        other = np.flatnonzero(ids != one)
-        if len(other) > k:
+class Best:
+    """The ``k`` best rows of each query among all that a task has met so far; a row found in two lists counts once."""
+
+    def __init__(self, k: int, room: int = HELD) -> None:
+        self.k, self.room = k, room
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+        self.least: dict[int, float] = {}
+
+    def meet(self, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, keys: np.ndarray, v: np.ndarray) -> None:
+        """Adds the rows of one posting block that may be among the best of a query of one query block."""
+        scores = q @ v.T
+        slack = 1e-9 * (np.abs(q) @ np.abs(v).T).max(axis=1, initial=0.0)
+        for r, one in enumerate(q_ids.tolist()):
+            other = np.flatnonzero(ids != one)
             line = scores[r, other]
-            other = other[line >= np.partition(line, len(line) - k)[len(line) - k] - slack[r]]
-        exact = (v[other] * q[r]).sum(axis=1)
-        for e in np.lexsort((keys[other], ids[other], -exact))[:k]:
-            yield int(one), int(ids[other[e]]), int(keys[other[e]]), float(exact[e])
+            least = self.least.get(one, -np.inf)
+            if len(other) > self.k:
+                least = max(least, np.partition(line, len(line) - self.k)[len(line) - self.k])
+            other = other[~(line < least - slack[r])]
+            exact = (v[other] * q[r]).sum(axis=1)
+            best = np.lexsort((keys[other], ids[other], -exact))[: self.k]
+            other = other[best]
+            self.parts.append((np.full(len(other), one), ids[other], keys[other], exact[best]))
+            self.held += len(other)
+
+    def reduce(self) -> pd.DataFrame:
+        """What is best so far; all that is held."""
+        q, i, key, score = (np.concatenate(c) for c in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        order = np.lexsort((key, i, -score, q))
+        q, i, key, score = q[order], i[order], key[order], score[order]
+        once = np.ones(len(q), bool)
+        once[1:] = (q[1:] != q[:-1]) | (key[1:] != key[:-1])
+        q, i, key, score = q[once], i[once], key[once], score[once]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        self.least.update(zip(q[place == self.k - 1].tolist(), score[place == self.k - 1].tolist(), strict=True))
+        stay = place < self.k
+        self.parts = [(q[stay], i[stay], key[stay], score[stay])]
+        self.held = int(stay.sum())
+        return pd.DataFrame({"query_id": q[stay], "vec_id": i[stay], "key": key[stay], "score": score[stay]})
+
+    def full(self) -> bool:
+        """Whether even the best take more than half of the room."""
+        if self.held <= self.room:
+            return False
+        self.reduce()
+        return self.held > self.room // 2
+
+    def clear(self) -> None:
+        self.parts, self.held = [], 0
+        self.least.clear()
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -242,13 +283,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     queries = _packed(probes, QUERY_BLOCK, "postings-queries").select("list", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("wide").alias("q_wide"))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = Best(k)
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 ids, keys, q_ids = (np.frombuffer(b, np.int64) for b in (row.ids, row.keys, row.q_ids))
                 q, c = np.zeros((len(q_ids), wide)), np.zeros((len(ids), wide))
                 q[:, : row.q_wide] = np.frombuffer(row.q_data).reshape(len(q_ids), row.q_wide)
                 c[:, : row.wide] = np.frombuffer(row.data).reshape(len(ids), row.wide)
-                yield pd.DataFrame(best_pairs(q_ids, q, ids, keys, c, k), columns=["query_id", "vec_id", "key", "score"])
+                best.meet(q_ids, q, ids, keys, c)
+                if best.full():
+                    yield best.reduce()
+                    best.clear()
+        yield best.reduce()
 
     found = cells.join(queries, "list").mapInPandas(meet, "query_id long, vec_id long, key long, score double")
     along = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "key")

@@ -35,7 +35,8 @@ from tokenizers import Tokenizer
 from .common import materialize, pick, slices
 
 CAPACITY = 1024
-CACHE_WORDS = 600_000
+#: Bytes that a process may spend on remembered words, and what one takes besides its letters and ids.
+CACHE_ROOM, WORD_COST = 48_000_000, 150
 #: Marks that the pattern never joins to letters before them.
 _MARKS = ".,!?;:*#$%&|"
 #: Stands for the first word, which has no space before it and is encoded apart; words hold no space.
@@ -51,13 +52,13 @@ class WordCachedTokenizer:
     in them, are given to the library whole.
     """
 
-    def __init__(self, vocabulary: str, cache_words: int = CACHE_WORDS) -> None:
+    def __init__(self, vocabulary: str, cache_room: int = CACHE_ROOM) -> None:
         self.library = Tokenizer.from_str(vocabulary)
         #: Strings that the library gives one id of their own, wherever they stand in a text.
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {_FIRST: b""}
         self.tails: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.room = cache_room
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,9 +99,14 @@ class WordCachedTokenizer:
         added = self._encode_words(missing) if missing else {}
         known.update(added)
         out = start + b"".join(map(known.__getitem__, words))
-        if len(known) > self.cache_words:
-            for w in added:
-                del known[w]
+        if added:
+            # a text's new words stay if there is room for all of them
+            size = sum(WORD_COST + len(w) + len(ids) for w, ids in added.items())
+            if size <= self.room:
+                self.room -= size
+            else:
+                for w in added:
+                    del known[w]
         return out
 
 
