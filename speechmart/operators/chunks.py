@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechmart.functions.text import words
-from speechmart.operators.ranking import running_total
+from speechmart.operators.folds import limited_groups
+from speechmart.operators.ranking import numbered_runs, running_total
+
+#: What Python's ``str.strip`` takes away.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def chunk_words(chunks: DataFrame, stem: str = "audio_stem", rounded: bool = True) -> DataFrame:
@@ -75,29 +78,20 @@ def day_sections(paragraphs: DataFrame, source: str, order: str, text: str = "te
 def accumulate_chunks(segments: DataFrame, size: float = 10.0, stem: str = "audio_stem") -> DataFrame:
     """Segments of one file appended while they start within ``size`` of the chunk's start.
 
-    A chunk's start decides which segments follow it, so a file is folded in order; one file is one group.
+    A chunk begins with a segment that has text. A segment that starts ``size`` or more after the one
+    before it always begins a chunk; between such ones the chunks are chains that
+    ``folds.limited_groups`` follows. A null text counts as empty; segments of equal times are ordered by
+    their text.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf["start"], pdf["end"], pdf["text"], strict=True), key=lambda r: r[0])
-        out: list[list] = []
-        now: list | None = None
-        for start, end, text in rows:
-            text = (text or "").strip()
-            if now is None or not now[2]:
-                now = [start, end, text]
-            elif start - now[0] < size:
-                now[1:] = [end, f"{now[2]} {text}"]
-            else:
-                if now[2].strip():
-                    out.append(now)
-                now = [start, end, text]
-        if now is not None and now[2].strip():
-            out.append(now)
-        return pd.DataFrame({stem: pdf[stem].iloc[0], "start": [r[0] for r in out], "end": [r[1] for r in out], "text": [r[2] for r in out]}).astype({"start": "float64", "end": "float64", "text": object})
-
-    kind = segments.schema[stem].dataType.simpleString()
-    return segments.select(stem, "start", "end", "text").groupBy(stem).applyInPandas(fold, f"`{stem}` {kind}, start double, end double, text string")
+    text = F.coalesce(F.btrim("text", F.lit(WHITE)), F.lit(""))
+    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{stem}`").cast("string")), F.lit("-"))
+    order = ["start", "end", "text"]
+    rows = segments.select(key.alias("_f"), F.col(f"`{stem}`").alias("_stem"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), text.alias("text"))
+    runs = numbered_runs(rows, ["_f"], order, ["start"], lambda own, before: own("start") - before("start") >= size, "_r")
+    groups = limited_groups(runs, ["_f", "_r"], order, "start", "start", size, inclusive=True, begins=F.col("text") != "").filter("_head is not null")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order))), lambda r: r["text"]), " ")
+    g = groups.groupBy("_f", "_r", "_head").agg(F.first("_stem").alias(stem), F.min("start").alias("start"), F.max_by("end", F.struct(*order)).alias("end"), joined.alias("text"))
+    return g.select(stem, "start", "end", "text")
 
 
 def regrid(chunks: DataFrame, size: float = 10.0, stem: str = "audio_stem") -> DataFrame:
@@ -130,8 +124,9 @@ def resolve_overlap(chunk_words: DataFrame, stem: str = "audio_stem") -> DataFra
 
 def text_blocks(words_df: DataFrame, source: str, duration: Column, block: int = 50) -> DataFrame:
     """Blocks of ``block`` words with a proportional share of the duration: source, block, n_words, start, end."""
-    n = F.count("*").over(Window.partitionBy(source))
-    placed = words_df.withColumn("n", n).withColumn("block", F.floor(F.col("word_idx") / block)).withColumn("d", duration)
-    blocks = F.ceil(F.max("n") / block)
-    per = F.max("d") / blocks
-    return placed.groupBy(source, "block").agg(F.count("*").alias("n_words"), (F.col("block") * per).alias("start"), ((F.col("block") + 1) * per).alias("end"))
+    placed = words_df.withColumn("_block", F.floor(F.col("word_idx") / block)).withColumn("_d", duration)
+    counts = placed.groupBy(source, F.col("_block").alias("block")).agg(F.count("*").alias("n_words"), F.max("_d").alias("_d"))
+    totals = counts.groupBy(F.col(f"`{source}`").alias("_source")).agg(F.sum("n_words").alias("_n"), F.max("_d").alias("_whole"))
+    per = F.col("_whole") / F.ceil(F.col("_n") / block)
+    spread = counts.join(totals, F.col(f"`{source}`").eqNullSafe(F.col("_source")))
+    return spread.select(source, "block", "n_words", (F.col("block") * per).alias("start"), ((F.col("block") + 1) * per).alias("end"))

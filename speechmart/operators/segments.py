@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechmart.functions.text import words
-from speechmart.operators.ranking import fresh
+from speechmart.operators.folds import limited_groups
+from speechmart.operators.ranking import fresh, numbered_runs, running_total
 
 
 #: Least and most words a second of a pair.
@@ -63,79 +62,65 @@ def pair_segments(
     return out.filter("word_count > 0")
 
 
-def gap_sessions(timed: DataFrame, gap: float, key: str = "audio_path", end: str = "end") -> DataFrame:
-    """Runs without a gap longer than ``gap``: key, run, n, start, end. Only the order within a key matters."""
-    along = Window.partitionBy(key).orderBy("start", end)
-    breaks = F.when(F.col("start") - F.lag(end).over(along) > gap, 1).otherwise(0)
-    runs = timed.withColumn("b", breaks).withColumn("run", F.sum("b").over(along))
-    return runs.groupBy(key, "run").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max(end).alias("end"))
+def _file_key(key: str) -> Column:
+    """A text that no two files share; null has one of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{key}`").cast("string")), F.lit("-"))
 
 
-def _utterances(rows: list[tuple], max_gap: float, max_seconds: float, at_least: int) -> Iterator[tuple]:
-    """Folds (start, end, score, word) rows; a group also ends when the next word would make it too long."""
-    group: list[tuple] = []
-    for row in rows:
-        if group and (row[0] - group[-1][1] > max_gap or row[1] - group[0][0] > max_seconds):
-            if len(group) >= at_least:
-                yield group
-            group = []
-        group.append(row)
-    if group and len(group) >= at_least:
-        yield group
+def _joined(order: list[str], value: str) -> Column:
+    """The texts of a group in order."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("string").alias("_word")))), lambda r: r["_word"]), " ")
+
+
+def gap_sessions(timed: DataFrame, gap: float, key: str = "audio_path", end: str = "end") -> DataFrame:
+    """Runs without a gap longer than ``gap``: key, run, n, start, end. Only the order within a key matters."""
+    rows = timed.select(F.col(f"`{key}`").alias("k"), "start", F.col(end).alias("end"))
+    runs = numbered_runs(rows, ["k"], ["start", "end"], ["start", "end"], lambda own, before: own("start") - before("end") > gap, "run")
+    g = runs.groupBy("k", "run").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return g.select(F.col("k").alias(key), (F.col("run") - 1).alias("run"), "n", "start", "end")
 
 
 def utterances(timed: DataFrame, max_gap: float = 0.5, max_seconds: float = 20.0, at_least: int = 3, least_score: float = -5.0, key: str = "audio_path") -> DataFrame:
     """Aligned words grouped into utterances by gap and by length from the group's start.
 
-    The length limit depends on where a group began, so each file is folded in order.
+    A gap, and a word longer than the limit, always begin a group; between them the groups are chains
+    that ``folds.limited_groups`` follows. Words of equal times are ordered by word and score. Files with
+    fewer than three words have no utterances.
     """
-    kind = timed.schema[key].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end"], kind="stable")
-        rows = list(zip(pdf["start"], pdf["end"], pdf["score"], pdf["word"], strict=True))
-        groups = list(_utterances(rows, max_gap, max_seconds, at_least)) if len(rows) >= 3 else []
-        return pd.DataFrame(
-            {
-                key: [pdf[key].iloc[0]] * len(groups),
-                "text": [" ".join(map(str, (r[3] for r in g))) for g in groups],
-                "start": [float(g[0][0]) for g in groups],
-                "end": [float(g[-1][1]) for g in groups],
-                "score": [sum(r[2] for r in g) / len(g) for g in groups],
-                "word_count": [len(g) for g in groups],
-            }
-        ).astype({key: pdf[key].dtype, "text": object, "start": "float64", "end": "float64", "score": "float64", "word_count": "int32"})
-
-    kept = timed.filter(F.col("score") > least_score).select(key, "start", "end", "score", "word")
-    return kept.groupBy(key).applyInPandas(fold, f"`{key}` {kind}, text string, start double, end double, score double, word_count int")
+    order = ["start", "end", "word", "score"]
+    kept = timed.filter(F.col("score") > least_score).select(_file_key(key).alias("_f"), F.col(f"`{key}`").alias("_key"), *order)
+    runs = numbered_runs(kept, ["_f"], order, ["start", "end"], lambda own, before: (own("start") - before("end") > max_gap) | (own("end") - own("start") > max_seconds), "_r")
+    rows = limited_groups(runs, ["_f", "_r"], order, "start", "end", max_seconds)
+    last = F.max_by("end", F.struct(*order))
+    g = rows.groupBy("_f", "_r", "_head").agg(F.first("_key").alias(key), _joined(order, "word").alias("text"), F.min("start").alias("start"), last.alias("end"), F.avg("score").alias("score"), F.count("*").cast("int").alias("word_count"))
+    if at_least < 3:
+        g = g.join(kept.groupBy("_f").agg(F.count("*").alias("_n")).filter("_n >= 3"), "_f", "left_semi")
+    return g.filter(F.col("word_count") >= at_least).select(key, "text", "start", "end", "score", "word_count")
 
 
 def split_runs(matched: DataFrame, max_gap: float = 0.5, max_seconds: float = 20.0, block: str = "block", key: str = "audio_path") -> DataFrame:
-    """Matched blocks (block, pos, audio_path, start, end, word) cut at gaps, at length and at file changes."""
-    b, k = matched.schema[block].dataType.simpleString(), matched.schema[key].dataType.simpleString()
+    """Matched blocks (block, pos, audio_path, start, end, word) cut at gaps, at length and at file changes.
+
+    Within one file of a block, times must not fall along ``pos``.
+    """
+    rows = matched.select(_file_key(block).alias("_f"), F.col(f"`{block}`").alias("_block"), F.col(f"`{key}`").alias("_key"), "pos", "start", "end", "word")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        out, group = [], []
-        for path, start, end, word in zip(pdf[key], pdf["start"], pdf["end"], pdf["word"], strict=True):
-            if group and (start - group[-1][2] > max_gap or end - group[0][1] > max_seconds or path != group[0][0]):
-                out.append(group)
-                group = []
-            group.append((path, start, end, word))
-        out.append(group)
-        out = [g for g in out if g]
-        cols = {block: [pdf[block].iloc[0]] * len(out), "piece": range(len(out)), key: [g[0][0] for g in out]}
-        return pd.DataFrame(cols | {"text": [" ".join(r[3] for r in g) for g in out], "start": [float(g[0][1]) for g in out], "end": [float(g[-1][2]) for g in out]})
+    def breaks(own, before):
+        other = ~own("_key").eqNullSafe(before("_key"))
+        return other | F.coalesce((own("start") - before("end") > max_gap) | (own("end") - own("start") > max_seconds), F.lit(False))
 
-    return matched.select(block, "pos", key, "start", "end", "word").groupBy(block).applyInPandas(fold, f"`{block}` {b}, piece int, `{key}` {k}, text string, start double, end double")
+    runs = numbered_runs(rows, ["_f"], ["pos"], ["_key", "start", "end"], breaks, "_r")
+    parts = limited_groups(runs, ["_f", "_r"], ["pos"], "start", "end", max_seconds)
+    first, last = F.min_by("start", "pos"), F.max_by("end", "pos")
+    g = parts.groupBy("_f", "_r", "_head").agg(F.first("_block").alias(block), F.first("_key").alias(key), F.min("pos").alias("_at"), _joined(["pos"], "word").alias("text"), first.cast("double").alias("start"), last.cast("double").alias("end"))
+    piece = F.row_number().over(Window.partitionBy("_f").orderBy("_at")) - 1
+    return g.withColumn("piece", piece).select(block, "piece", key, "text", "start", "end")
 
 
 def budget_words(regions: DataFrame, wps: Column, least: int = 3, key: str = "audio_path") -> DataFrame:
     """Next words of a transcript for every region: key, start, end, first_word, n_words."""
     n = F.greatest(F.lit(least), F.floor((F.col("end") - F.col("start")) * wps)).cast("long")
-    before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    placed = regions.withColumn("n_words", n)
-    return placed.withColumn("first_word", F.coalesce(F.sum("n_words").over(before), F.lit(0)))
+    return running_total(regions.withColumn("n_words", n), [key], ["start", "end"], F.col("n_words"), "first_word")
 
 
 def assign_budget(regions: DataFrame, transcript: Column, wps: Column, least: int = 3, key: str = "audio_path") -> DataFrame:
