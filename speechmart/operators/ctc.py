@@ -1,10 +1,147 @@
-"""Frame labels to words, with window functions."""
+"""Labels of frames: forced alignment of a known text, and frame labels to words with window functions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechmart.functions.text import acoustic_text, words
+
+#: Cells whose back pointers are held at once; longer tables are cut in time.
+TABLE_CELLS = 1 << 22
+
+
+def _advance(alpha: np.ndarray, line: np.ndarray, ids: np.ndarray, jump: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """The next frame's scores of the states lo..hi, and how many states each came forward; of equals the fewest."""
+    stay = alpha[lo:hi]
+    one, two = np.full(hi - lo, -np.inf), np.full(hi - lo, -np.inf)
+    one[max(0, 1 - lo) :] = alpha[max(lo, 1) - 1 : hi - 1]
+    two[max(0, 2 - lo) :] = alpha[max(lo, 2) - 2 : max(hi - 2, 0)]
+    two[~jump[lo:hi]] = -np.inf
+    best, step = stay.copy(), np.zeros(hi - lo, np.int8)
+    for n, other in ((1, one), (2, two)):
+        more = other > best
+        best[more], step[more] = other[more], n
+    return best + line[ids[lo:hi]], step
+
+
+def viterbi_states(emissions: np.ndarray, ids: np.ndarray, cells: int = TABLE_CELLS) -> np.ndarray | None:
+    """The state of every frame on the best path through blank-interleaved label ids, or None if none fits.
+
+    A frame stays in its state or goes on by one; it may skip the blank between two different labels. Of
+    equal ways the shortest step counts, and of equal ends the last label. Only states that can be reached
+    and can still reach the end are computed. Where the back pointers of all frames would take more than
+    ``cells`` bytes, they are not kept: every state passes on the state that its path had in the middle
+    frame, and both halves are then solved between known states. So memory grows with frames and labels,
+    not with their product, at twice the work.
+    """
+    frames, states = len(emissions), len(ids)
+    jump = np.zeros(states, bool)
+    jump[3::2] = ids[3::2] != ids[1:-2:2]
+    out = np.zeros(frames, np.int64)
+    start = np.full(states, -np.inf)
+    start[:2] = emissions[0, ids[:2]]
+    work = [(0, frames - 1, 0, states - 1, start, 1, 1)]  # it may begin in either of two states and end in either of two
+    while work:
+        t0, t1, first, last, begin, spread, free = work.pop()
+        middle = (t0 + t1) // 2 if (t1 - t0) * (last - first + 1) > cells and t1 - t0 > 1 else None
+        alpha, back, via, kept = begin, [], np.arange(states), begin
+        for t in range(t0 + 1, t1 + 1):
+            lo, hi = max(first, last - free - 2 * (t1 - t)), min(last, first + spread + 2 * (t - t0)) + 1
+            if lo >= hi:
+                return None
+            best, step = _advance(alpha, emissions[t], ids, jump, lo, hi)
+            alpha = np.full(states, -np.inf)
+            alpha[lo:hi] = best
+            if middle is None:
+                back.append((lo, step))
+            elif t == middle:
+                kept, via = alpha, np.arange(states)
+            elif t > middle:
+                then = via.copy()
+                then[lo:hi] = via[np.arange(lo, hi) - step]
+                via = then
+        end = last - 1 if free and last and not alpha[last] > alpha[last - 1] else last
+        if not alpha[end] > -np.inf:
+            return None
+        if middle is not None:
+            between = int(via[end])
+            point = np.full(states, -np.inf)
+            point[between] = kept[between]
+            work += [(middle, t1, between, end, point, 0, 0), (t0, middle, first, between, begin, spread, 0)]
+            continue
+        for t in range(t1, t0 - 1, -1):
+            out[t] = end
+            if t > t0:
+                lo, step = back[t - t0 - 1]
+                end -= int(step[end - lo])
+    return out
+
+
+def forced_frames(emissions: np.ndarray, labels: list[int], blank: int = 0) -> tuple[np.ndarray, np.ndarray] | None:
+    """The label of every frame and its log-probability, for log-probabilities (frames, labels); None if the labels do not fit."""
+    if not len(emissions):
+        return None
+    ids = np.full(2 * len(labels) + 1, blank)
+    ids[1::2] = labels
+    path = viterbi_states(emissions, ids)
+    if path is None:
+        return None
+    return ids[path], emissions[np.arange(len(emissions)), ids[path]]
+
+
+def label_ids(text: Column, known: dict[str, int], separator: str = "|") -> Column:
+    """Ids of the letters of the acoustic form of a text, spaces as separators; unknown letters are left out."""
+    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    spaced = F.translate(F.trim(F.regexp_replace(acoustic_text(text), r"(?U)\s+", " ")), " ", separator)
+    return F.filter(F.transform(F.split(spaced, ""), lambda c: F.try_element_at(table, c)), lambda i: i.isNotNull())
+
+
+def forced_align(
+    clips: DataFrame,
+    make_emitter: Callable[[], Callable[[list[np.ndarray]], list[np.ndarray]]],
+    key: str = "audio_path",
+    samples: str = "samples",
+    labels: str = "labels",
+    blank: int = 0,
+    least_labels: int = 3,
+    at_once: int = 8,
+) -> DataFrame:
+    """key, frame, label, score of every clip, its known labels laid on its frames.
+
+    The model, made once per task, turns waveforms into log-probabilities (frames, labels), which never
+    leave the task. Clips with fewer than ``least_labels`` labels, or with more than fit their frames, give
+    no rows, nor do clips without samples or labels.
+    """
+    kind = clips.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        emit = make_emitter()
+        for pdf in batches:
+            for at in range(0, len(pdf), at_once):
+                part = pdf.iloc[at : at + at_once]
+                out = []
+                for k, known, lines in zip(part[key], part[labels], emit([np.asarray(x, np.float32) for x in part[samples]]), strict=True):
+                    found = forced_frames(np.asarray(lines, np.float64), list(known), blank)
+                    if found is not None:
+                        out.append(pd.DataFrame({key: k, "frame": np.arange(len(found[0])), "label": found[0], "score": found[1]}))
+                if out:
+                    yield pd.concat(out)
+
+    need = clips.select(key, samples, labels).filter(F.col(samples).isNotNull() & (F.size(labels) >= least_labels))
+    return need.mapInPandas(run, f"`{key}` {kind}, frame int, label int, score double")
+
+
+def forced_words(frames: DataFrame, clips: DataFrame, separator_id: int, key: str = "audio_path", text: str = "text", rate: float = 50.0) -> DataFrame:
+    """key, word_idx, word, start, end, score: aligned frames grouped at separators, with the words of the clips' texts."""
+    spans = aligned_words(frames.select(key, "frame", F.col("label").cast("string").alias("token"), "score"), key, str(separator_id), rate)
+    named = clips.select(key, F.posexplode(words(F.lower(text))).alias("word_idx", "word"))
+    return spans.join(named, [key, "word_idx"]).select(key, "word_idx", "word", "start", "end", "score")
+
 
 def collapse_frames(frames: DataFrame, key: str = "audio_stem", blank: str = "<pad>", separator: str = "|", special: tuple[str, ...] = ("<s>", "</s>", "<unk>"), frame: float = 0.02) -> DataFrame:
     """Words of greedily decoded frames (key, frame, token): key, word_idx, word, start, end.

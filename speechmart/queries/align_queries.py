@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from speechmart.functions import text as T
 from speechmart.operators import anchors, chunks, ctc, dtw, scoring, segments, sequences, vad
-from speechmart.queries.adapters import CHUNKS_SQL, EQUIVALENTS, EVENTS_SQL, KEYWORDS, OTHER_KEYWORDS, read, timed_words
+from speechmart.queries.adapters import CHUNKS_SQL, EQUIVALENTS, EVENTS_SQL, KEYWORDS, OTHER_KEYWORDS, SPELLING, read, spelled_clips, spelling_model, timed_words
 from speechmart.queries.adapters import chunks as chunk_table
 
 QUERIES, SQL = {}, {}
@@ -457,3 +457,11 @@ def alignment_pipeline(spark, d):
 
     s = segments_of(_merged(spark, d), _files(spark, d), _transcript(spark, d), KEYWORDS, least=0.0)
     return s.select("audio_stem", "pos", "slice", "text", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"), F.round("confidence", 8).alias("confidence"))
+
+
+@query()
+def forced_alignment(spark, d):
+    """Words of all turns laid on the frames of a stand-in model."""
+    clips = spelled_clips(spark, d)
+    words = ctc.forced_words(ctc.forced_align(clips, spelling_model, "clip"), clips, SPELLING["|"], "clip")
+    return words.withColumns({c: F.round(c, 6) for c in ("start", "end", "score")})
