@@ -1,38 +1,27 @@
-"""Error rates of transcripts, in built-in functions."""
+"""Error rates of transcripts."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechmart.functions.text import bound, normalize, to_plain, words
+from speechmart.functions.distance import edit_distance
+from speechmart.functions.text import normalize, to_plain, words
 
 
-#: Code points that a text may hold: none below, none of the surrogates.
-_FIRST_CODE, _SURROGATES, _CODES = 0x100, (0xD800, 0x800), 0x10FFFF - 0x100 - 0x800
+@F.pandas_udf("int")
+def _word_distance(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else edit_distance(list(a), list(b)) for a, b in zip(reference, hypothesis, strict=True)], dtype="Int32")
 
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance of two word arrays: every distinct word becomes one code point for ``levenshtein``.
+    """Edit distance of two word arrays, by bit vectors over the words' places; null where an array is null.
 
-    Null where an array is null. A pair with more distinct words than there are code points (1.1 million)
-    raises an error; its distance would take 10^12 steps.
+    No built-in function compares arrays by edits, and turning words into letters for ``levenshtein`` takes
+    a linear search a word.
     """
-
-    def coded(ws: Column, known: Column) -> Column:
-        def code(w: Column) -> Column:
-            at = F.array_position(known, w) + _FIRST_CODE
-            at = F.when(at >= _SURROGATES[0], at + _SURROGATES[1]).otherwise(at)
-            return F.decode(F.unhex(F.lpad(F.hex(at), 8, "0")), "UTF-32")
-
-        return F.array_join(F.transform(ws, code), "")
-
-    def distance(sides: Column, known: Column) -> Column:
-        too_many = F.raise_error(F.lit("word_distance: more distinct words than code points")).cast("int")
-        return F.when(F.size(known) > _CODES, too_many).otherwise(F.levenshtein(coded(sides["r"], known), coded(sides["h"], known)))
-
-    both = F.struct(reference.alias("r"), hypothesis.alias("h"))
-    return bound(both, lambda s: bound(F.array_distinct(F.concat(s["r"], s["h"])), lambda known: distance(s, known)))
+    return _word_distance(reference, hypothesis)
 
 
 def _guarded(reference: Column, hypothesis: Column, rate: Column) -> Column:

@@ -86,8 +86,10 @@ def test_warp_cost_and_path():
 
 @settings(max_examples=100, deadline=None)
 @given(*[st.lists(st.text(alphabet="ktngrl A", max_size=6), min_size=1, max_size=12)] * 2)
-def test_similarity_matrix_equals_the_scalar(heard, written):
-    assert dtw.similarity_matrix(heard, written).tolist() == [[dtw.similarity(a, b) for b in written] for a in heard]
+def test_similarities_equal_the_scalar(heard, written):
+    i, j = np.repeat(np.arange(len(heard)), len(written)), np.tile(np.arange(len(written)), len(heard))
+    want = [dtw.similarity(a, b) for a in heard for b in written]
+    assert dtw.Similarities(heard, written).at(i, j).tolist() == want == dtw.Similarities(heard, written, cells=0).at(i, j).tolist()
 
 
 def test_cut_segments():

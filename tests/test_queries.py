@@ -47,8 +47,8 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_queries_without_sql(spark):
-    """Only the two kinds of alignment that SQL cannot express: their rows against the operators run row by row."""
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) <= {"dtw_align", "word_aligned_segments", "difflib_blocks"}
+    """Only alignments that SQL cannot express: their rows against the operators run row by row (``forced_alignment`` has tests of its own)."""
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) <= {"dtw_align", "word_aligned_segments", "difflib_blocks", "forced_alignment"}
     turns = {(r["conv_id"], r["turn"]): r["text"].split() for r in spark.read.parquet(f"{SF_DIR}/conversations.parquet").collect()}
     pairs = {c * 100 + t: (turns[c, t], turns[c, t + 1]) for c, t in turns if (c, t + 1) in turns}
     got = {r["pair_id"]: (r["score"], r["path_length"]) for r in catalog.queries()["dtw_align"](spark, SF_DIR).collect()}
