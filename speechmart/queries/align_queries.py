@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speechmart.functions import text as T
-from speechmart.operators import anchors, chunks, ctc, dtw, scoring, segments, sequences, vad
+from speechmart.operators import anchors, chunks, ctc, dtw, ranking, scoring, segments, sequences, vad
 from speechmart.queries.adapters import CHUNKS_SQL, EQUIVALENTS, EVENTS_SQL, KEYWORDS, OTHER_KEYWORDS, SPELLING, read, spelled_clips, spelling_model, timed_words
 from speechmart.queries.adapters import chunks as chunk_table
 
@@ -465,3 +465,46 @@ def forced_alignment(spark, d):
     clips = spelled_clips(spark, d)
     words = ctc.forced_words(ctc.forced_align(clips, spelling_model, "clip"), clips, SPELLING["|"], "clip")
     return words.withColumns({c: F.round(c, 6) for c in ("start", "end", "score")})
+
+
+def _vad_sql(frames: str, reach: int, least: int, gap: int) -> str:
+    """Speech regions of ``fr`` (audio_path, frame, energy); bounds in frames."""
+    return f"""WITH {frames},
+md AS (SELECT audio_path, quantile_disc(energy, 0.5) AS med FROM fr GROUP BY audio_path),
+sp AS (SELECT fr.audio_path, frame, max(CASE WHEN energy > 2 * med THEN 1 ELSE 0 END) OVER (PARTITION BY fr.audio_path ORDER BY frame ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS speech FROM fr JOIN md ON md.audio_path = fr.audio_path),
+ed AS (SELECT *, CASE WHEN speech = 1 AND coalesce(lag(speech) OVER (PARTITION BY audio_path ORDER BY frame), 0) = 0 THEN 1 ELSE 0 END AS st FROM sp),
+rn AS (SELECT *, sum(st) OVER (PARTITION BY audio_path ORDER BY frame) AS run FROM ed),
+rg AS (SELECT audio_path, run, min(frame) AS a, max(frame) + 1 AS b FROM rn WHERE speech = 1 GROUP BY audio_path, run HAVING max(frame) + 1 - min(frame) >= {least}),
+mg AS (SELECT *, CASE WHEN coalesce(a - lag(b) OVER (PARTITION BY audio_path ORDER BY a) < {gap}, false) THEN 0 ELSE 1 END AS nw FROM rg),
+g2 AS (SELECT *, sum(nw) OVER (PARTITION BY audio_path ORDER BY a) - 1 AS region FROM mg)
+SELECT audio_path, CAST(region AS BIGINT) AS region, round(min(a) * CAST(0.01 AS DOUBLE), 6) AS "start", round(max(b) * CAST(0.01 AS DOUBLE), 6) AS "end" FROM g2 GROUP BY audio_path, region"""
+
+
+@query(
+    _vad_sql(
+        """em AS (SELECT vec_id AS audio_path, embedding AS x, unnest(range((len(embedding) - 10) // 4 + 1)) AS frame FROM embeddings WHERE len(embedding) >= 10),
+fr AS (SELECT audio_path, frame, list_sum(list_transform(x[frame * 4 + 1 : frame * 4 + 10], lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) / 10 AS energy FROM em)""",
+        1, 3, 2,
+    )
+)
+def voiced_regions(spark, d):
+    """Vectors as waveforms of 400 samples a second: their frames' energies, and the regions that stand out."""
+    audio = read(spark, d, "embeddings").select(F.col("vec_id").alias("audio_path"), F.col("embedding").alias("samples"))
+    regions = vad.speech_regions(vad.frame_energies(audio, rate=400), reach=1, least=0.03, gap=0.02)
+    return regions.select("audio_path", "region", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query(
+    f"""WITH RECURSIVE {EVENTS_SQL}, w AS (SELECT audio_path % 10 AS block, audio_path, row_number() OVER (PARTITION BY audio_path % 10 ORDER BY audio_path, "start", word) - 1 AS pos, "start", "end", word FROM ev),
+c AS (SELECT block, pos, audio_path, "start", "end", word, CAST(0 AS BIGINT) AS piece, "start" AS began FROM w WHERE pos = 0
+ UNION ALL SELECT w.block, w.pos, w.audio_path, w."start", w."end", w.word,
+  CASE WHEN w."start" - c."end" > 3600 OR w."end" - c.began > 14400 OR w.audio_path <> c.audio_path THEN c.piece + 1 ELSE c.piece END,
+  CASE WHEN w."start" - c."end" > 3600 OR w."end" - c.began > 14400 OR w.audio_path <> c.audio_path THEN w."start" ELSE c.began END
+ FROM c JOIN w ON w.block = c.block AND w.pos = c.pos + 1)
+SELECT block, piece, audio_path, string_agg(word, ' ' ORDER BY pos) AS text, min("start") AS "start", arg_max("end", pos) AS "end" FROM c GROUP BY block, piece, audio_path"""
+)
+def split_runs(spark, d):
+    """Events of ten users a block, cut at an hour's gap, at four hours and where the user changes."""
+    words = timed_words(spark, d).withColumn("block", F.col("audio_path") % 10)
+    placed = ranking.positions(words, ["block"], ["audio_path", "start", "word"], "pos")
+    return segments.split_runs(placed, max_gap=3600.0, max_seconds=14400.0)

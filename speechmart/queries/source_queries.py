@@ -18,7 +18,7 @@ from speechmart.functions import text as T
 from speechmart.operators import anchors, chunks, corrections, ctc, quality, scoring, tiers, vad
 from speechmart.queries.adapters import CHUNKS_SQL, SEGMENTS_SQL, read, segments
 from speechmart.queries.adapters import chunks as chunk_table
-from speechmart.sources import io
+from speechmart.sources import audio, io
 from speechmart.sources.shared import shared_dir
 
 QUERIES, SQL = {}, {}
@@ -405,3 +405,14 @@ def benchmark_results(spark, d):
     r = read(spark, d, "benchmark").select(F.concat(F.lit("m"), F.col("item_id").cast("string")).alias("model"), F.lit("t").alias("transcription"), *[F.lit(v).alias(c) for c, v in (("wer_system4", 0.5), ("wer_system6", 0.25), ("cer_system4", 0.125), ("cer_system6", 0.0))])
     lines = io.result_lines(r).agg(F.md5(F.array_join(F.sort_array(F.collect_list("value")), "|")).alias("lines_md5"))
     return io.benchmark_bundle(r, "b").select(F.md5("value").alias("bundle_md5")).join(lines, F.lit(True))
+
+
+@query("""SELECT vec_id, len(embedding) / CAST(8000 AS DOUBLE) AS duration, 8000 AS sample_rate, 1 AS channels, 16 AS bit_depth, 44 + 2 * len(embedding) AS file_size FROM embeddings WHERE len(embedding) > 0""")
+def clip_files(spark, d):
+    """Vectors written as clip files in the shared folder; their headers read back."""
+    audio.register(spark)
+    place = f"{shared_dir(spark)}/clips-{uuid.uuid4().hex}"
+    clips = read(spark, d, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(".wav")).alias("file"), F.col("embedding").alias("samples"))
+    clips.write.format("wavfiles").option("rate", 8000).mode("append").save(place)
+    heads = spark.read.format("wavfiles").schema("audio_stem string, duration double, sample_rate int, channels int, bit_depth int, file_size long").load(place)
+    return heads.withColumn("vec_id", F.col("audio_stem").cast("long")).drop("audio_stem")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import struct
-import wave
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -16,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechmart.functions.text import session_of, to_plain
+from speechmart.sources.audio import decode_wav, resample, wav_bytes
 
 CHUNK = "text string, start double, end double, source string"
 CORRECTION = "original_mms string, corrected_text string, start double, end double, quality int, whisper string, source string, auto_accepted boolean"
@@ -92,23 +91,6 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return docx_rows(spark.read.format("binaryFile").load(path).select(stem_of(F.col("path")).alias("audio_stem"), "content"))
 
 
-def decode_wav(content: bytes) -> tuple[np.ndarray, int, int, int]:
-    """(mono samples from -1 to 1, rate, channels, bits) of 8-, 16- or 32-bit PCM."""
-    with wave.open(io.BytesIO(content)) as w:
-        raw, rate, channels, width = w.readframes(w.getnframes()), w.getframerate(), w.getnchannels(), w.getsampwidth()
-    kind, scale = {1: ("u1", 128.0), 2: ("<i2", 32768.0), 4: ("<i4", 2147483648.0)}[width]
-    x = np.frombuffer(raw, kind).astype(np.float32)
-    x = (x - 128.0 if width == 1 else x) / scale
-    return x.reshape(-1, channels).mean(axis=1) if channels > 1 else x, rate, channels, 8 * width
-
-
-def resample(x: np.ndarray, rate: int, target: int = 16_000) -> np.ndarray:
-    if rate == target or not len(x):
-        return x
-    n = round(len(x) * target / rate)
-    return np.interp(np.arange(n) * (rate / target), np.arange(len(x)), x).astype(np.float32)
-
-
 #: Bytes of a file to (mono samples, rate, channels, bits).
 Decoder = Callable[[bytes], tuple[np.ndarray, int, int, int]]
 
@@ -137,13 +119,6 @@ def read_audio(spark: SparkSession, path: str, target: int = 16_000, decode: Dec
     return audio_rows(files, target, decode)
 
 
-def wav_bytes(x: np.ndarray, rate: int = 16_000) -> bytes:
-    """A 16-bit mono file."""
-    pcm = (np.clip(x, -1, 1) * 32767).astype("<i2").tobytes()
-    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(pcm), b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", len(pcm))
-    return head + pcm
-
-
 def encode_clips(clips: DataFrame, name: str = "file", samples: str = "samples", rate: int = 16_000) -> DataFrame:
     """name and wav bytes of every clip that has samples; a table of files is written as any other."""
 

@@ -60,8 +60,10 @@ def whole_table(a, b, ratio=0.3):
     return path[::-1]
 
 
+@pytest.mark.parametrize("at_once", [0, 1 << 20])
 @pytest.mark.parametrize("ratio", [0.3, 0.1, 0.02])
-def test_band_equals_the_whole_table(ratio):
+def test_band_equals_the_whole_table(ratio, at_once, monkeypatch):
+    monkeypatch.setattr(dtw, "STEPS_AT_ONCE", at_once)
     rng = random.Random(8)
     words = ["te", "fono", "palamene", "katoa", "tatoa", "lima", "rima", "ng", "n", "", "Te "]
     for n, m in [(1, 1), (1, 40), (40, 1), (2, 90), (90, 2), (3, 200), (60, 61), (35, 120), (150, 20)] + [(rng.randint(1, 30), rng.randint(1, 30)) for _ in range(60)]:
