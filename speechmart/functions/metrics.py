@@ -5,12 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from speechmart.functions.distance import edit_distance
 from speechmart.functions.text import normalize, to_plain, words
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _word_distance(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else edit_distance(list(a), list(b)) for a, b in zip(reference, hypothesis, strict=True)], dtype="Int32")
 

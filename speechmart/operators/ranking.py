@@ -47,8 +47,8 @@ def _bases(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return ranges.withColumnRenamed("_run", "_range")
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], what: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Adds running values over all rows up to and including a row, in ``order`` within ``keys``.
+def running(df: DataFrame, keys: list[str], order: list[str], what: dict[str, tuple[str, Column]], own: bool = True) -> DataFrame:
+    """Adds running values over all rows up to a row, and with ``own`` including it, in ``order`` within ``keys``.
 
     ``what`` gives each new column its kind and value: ``sum``, ``max``, or ``last`` for the last value
     that is not null. Rows are dealt to ranges as by ``running_total``, so a key of any size spreads over
@@ -63,7 +63,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], what: dict[str, tu
     ranges = dealt.groupBy(*[F.col(f"`{k}`") for k in keys], "_run").agg(*[whole[kind](f"_v_{name}").alias(f"_t_{name}") for name, (kind, _) in what.items()])
     before = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumns({f"_b_{name}": over[kind](f"_t_{name}").over(before) for name, (kind, _) in what.items()})
-    inside = Window.partitionBy(*[F.col(f"`{k}`") for k in keys], "_run").orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*[F.col(f"`{k}`") for k in keys], "_run").orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     placed = dealt.withColumns({f"_i_{name}": over[kind](f"_v_{name}").over(inside) for name, (kind, _) in what.items()})
     joined = placed.join(_bases(ranges.drop(*[f"_t_{name}" for name in what]), keys), _same_key(keys))
     put = {

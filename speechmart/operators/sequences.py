@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechmart.functions.text import match_key
+from speechmart.operators.ranking import running
 from speechmart.sources.shared import materialize
 
 LEAST_LENGTH = 5
@@ -23,25 +24,43 @@ def keyword_positions(words: DataFrame, keywords: list[str], source: str) -> Dat
     return words.select(source, match_key(F.col("word")).alias("word"), "word_idx").filter(F.col("word").isin(keywords))
 
 
-def inverted_index(words: DataFrame, keywords: list[str], source: str) -> DataFrame:
-    """source, word, positions of the keywords, ascending: one row per word, as an index is."""
-    return keyword_positions(words, keywords, source).groupBy(source, "word").agg(F.sort_array(F.collect_list("word_idx")).alias("positions"))
+def posting_blocks(words: DataFrame, keywords: list[str], source: str) -> DataFrame:
+    """The inverted index of the keywords: source, word, cell, offsets.
+
+    A row holds the positions of one word in one cell of ``CELL`` words, ascending and counted from the
+    cell's first word, so no row grows with the transcript or with how common a word is.
+    """
+    hits = keyword_positions(words, keywords, source).withColumn("cell", _cell(F.col("word_idx")))
+    offset = (F.col("word_idx") - F.col("cell") * CELL).cast("short")
+    return hits.groupBy(source, "word", "cell").agg(F.sort_array(F.collect_list(offset)).alias("offsets"))
+
+
+def positions_in(cell: str, offsets: str) -> Column:
+    """The positions of a posting block."""
+    return F.transform(offsets, lambda o: F.col(cell) * CELL + o)
+
+
+def posted_positions(blocks: DataFrame, source: str) -> DataFrame:
+    """source, word, word_idx of every posting."""
+    return blocks.select(source, "word", F.explode(positions_in("cell", "offsets")).alias("word_idx"))
 
 
 def position_hints(files: DataFrame, session: str = "session", order: tuple[str, ...] = ("day", "take")) -> DataFrame:
-    """Expected word range of every file (session, audio, duration, total_words, order columns)."""
-    all_files, before = Window.partitionBy(session), Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("duration").over(all_files)
-    rate = F.when(total > 0, F.col("total_words") / total).otherwise(2.0)
-    gone = F.coalesce(F.sum("duration").over(before), F.lit(0.0))
-    placed = files.withColumn("wps", rate).withColumn("elapsed", gone)
+    """Expected word range of every file (session, audio, duration, total_words, order columns).
+
+    Durations before a file come from ranges of files, and a session's total from an aggregate.
+    """
+    totals = files.groupBy(F.col(f"`{session}`").alias("_session")).agg(F.sum("duration").alias("_total"))
+    placed = running(files, [session], list(order), {"elapsed": ("sum", F.col("duration"))}, own=False)
+    placed = placed.join(totals, F.col(f"`{session}`").eqNullSafe(F.col("_session")))
+    placed = placed.withColumn("wps", F.when(F.col("_total") > 0, F.col("total_words") / F.col("_total")).otherwise(2.0)).drop("_total", "_session")
     return placed.withColumn("hint_start", F.floor(F.col("elapsed") * F.col("wps")).cast("long")).withColumn(
         "hint_end", F.least(F.floor((F.col("elapsed") + F.col("duration")) * F.col("wps")), F.col("total_words")).cast("long")
     )
 
 
 def _cell(position: Column) -> Column:
-    return F.floor(position / CELL)
+    return F.floor(position / CELL).cast("long")
 
 
 def _around(misses: DataFrame, positions: DataFrame, source: str, nearest: int) -> DataFrame:
@@ -65,23 +84,24 @@ def _around(misses: DataFrame, positions: DataFrame, source: str, nearest: int)
     return near.join(ranked, [*keys, "rank"]).select(*keys, "hint_start", "word_idx")
 
 
-def band_candidates(anchors: DataFrame, positions: DataFrame, source: str, stem: str = "audio_stem", nearest: int = 3) -> DataFrame:
+def band_candidates(anchors: DataFrame, blocks: DataFrame, source: str, stem: str = "audio_stem", nearest: int = 3) -> DataFrame:
     """Positions of each anchor's word inside the hint range, else the ``nearest`` ones.
 
     ``anchors`` has stem, anchor_idx, word, time, confidence, hint_start, hint_end and the source;
-    ``positions`` is made by ``keyword_positions``. Inside the range the cells of positions are equal
-    keys, so a frequent word meets its own neighbourhood only; anchors without a hit there look up the
+    ``blocks`` is made by ``posting_blocks``. Inside the range an anchor meets the blocks of its word by
+    cell, so a frequent word meets its own neighbourhood only; anchors without a hit there look up the
     positions around the range by rank. The cost is one row per candidate and cell, and not one per
     anchor and position of its word.
     """
     cells = F.sequence(_cell(F.col("hint_start")), F.greatest(_cell(F.col("hint_start")), _cell(F.col("hint_end"))))
     spread = anchors.withColumn("cell", F.explode(cells))
-    hit = spread.join(positions.withColumn("cell", _cell(F.col("word_idx"))), [source, "word", "cell"])
-    hit = hit.filter(F.col("word_idx").between(F.col("hint_start"), F.col("hint_end"))).drop("cell")
+    hit = spread.join(blocks, [source, "word", "cell"])
+    inside = F.filter(positions_in("cell", "offsets"), lambda p: p.between(F.col("hint_start"), F.col("hint_end")))
+    hit = hit.withColumn("word_idx", F.explode(inside)).drop("cell", "offsets")
     one = Window.partitionBy(stem, "anchor_idx")
     hit = materialize(hit.withColumn("place", F.row_number().over(one.orderBy("word_idx"))), "in-band")
     misses = anchors.join(hit.select(stem, "anchor_idx").distinct(), [stem, "anchor_idx"], "left_anti")
-    far = misses.join(_around(misses, positions, source, nearest), [source, "word", "hint_start"])
+    far = misses.join(_around(misses, posted_positions(blocks, source), source, nearest), [source, "word", "hint_start"])
     away = F.least(F.abs(F.col("word_idx") - F.col("hint_start")), F.abs(F.col("word_idx") - F.col("hint_end")))
     far = far.withColumn("place", F.row_number().over(one.orderBy(away, "word_idx"))).filter(F.col("place") <= nearest)
     return hit.unionByName(far)
@@ -170,6 +190,7 @@ def scored_sequences(anchors: DataFrame, key: str = "audio_stem", least: float =
     return sequence_metrics(anchors, key).withColumn("confidence", sequence_confidence()).filter(F.col("confidence") >= least)
 
 
-def session_anchor_totals(index: DataFrame, source: str) -> DataFrame:
-    """Distinct anchors and all their positions by source."""
-    return index.groupBy(source).agg(F.countDistinct("word").alias("anchor_types"), F.sum(F.size("positions")).cast("long").alias("positions"))
+def session_anchor_totals(words: DataFrame, keywords: list[str], source: str = "session") -> DataFrame:
+    """How many keywords a session has, and how many hits of them."""
+    hits = keyword_positions(words, keywords, source)
+    return hits.groupBy(source).agg(F.countDistinct("word").alias("anchor_types"), F.count("*").alias("positions"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechmart.operators import anchors as A
@@ -27,11 +27,11 @@ def segments_of(anchors: DataFrame, files: DataFrame, transcript: DataFrame, key
     since several steps read them.
     """
     hinted = sequences.position_hints(files).select("audio_stem", "session", "hint_start", "hint_end")
-    of_file = F.count("*").over(Window.partitionBy("audio_stem"))
-    enough = anchors.withColumn("_n", of_file).filter(F.col("_n") >= sequences.LEAST_LENGTH).drop("_n")
-    positions = materialize(sequences.keyword_positions(transcript, keywords, "session"), "positions")
-    placed = materialize(enough.join(hinted, "audio_stem"), "placed")
-    seq = materialize(sequences.matched_sequences(sequences.band_candidates(placed, positions, "session")), "sequences")
+    blocks = materialize(sequences.posting_blocks(transcript, keywords, "session"), "postings")
+    placed = materialize(anchors.join(hinted, "audio_stem"), "placed")
+    enough = placed.groupBy("audio_stem").agg(F.count("*").alias("n")).filter(F.col("n") >= sequences.LEAST_LENGTH)
+    placed = placed.join(enough.select("audio_stem"), "audio_stem", "left_semi")
+    seq = materialize(sequences.matched_sequences(sequences.band_candidates(placed, blocks, "session")), "sequences")
     good = sequences.scored_sequences(seq).filter(F.col("confidence") >= least).select("audio_stem", F.col("confidence").alias("seq_conf"))
     pairs = segments.anchor_pairs(seq).join(good, "audio_stem").join(placed.select("audio_stem", "session").distinct(), "audio_stem")
     pace = (F.col("word_end") - F.col("word_start") + 1) / (F.col("end") - F.col("start"))

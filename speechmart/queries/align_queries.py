@@ -117,15 +117,17 @@ tw1 AS (SELECT session, doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p
 tw AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY doc_id, p) - 1 AS word_idx, regexp_replace(lower(w), '[^\\p{L}\\p{M}\\p{N}_]', '', 'g') AS word FROM tw1)"""
 
 
-@query(f"""WITH {_TW} SELECT session, word, array_to_string(list(word_idx ORDER BY word_idx), ',') AS positions FROM tw WHERE word IN (SELECT unnest({_list(KEYWORDS)})) GROUP BY session, word""")
+@query(f"""WITH {_TW} SELECT session, word, word_idx // {sequences.CELL} AS cell, array_to_string(list(word_idx ORDER BY word_idx), ',') AS positions FROM tw WHERE word IN (SELECT unnest({_list(KEYWORDS)})) GROUP BY session, word, word_idx // {sequences.CELL}""")
 def inverted_index(spark, d):
-    i = sequences.inverted_index(_transcript(spark, d), KEYWORDS, "session")
-    return i.select("session", "word", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+    """Posting blocks of the keywords, each with its positions."""
+    blocks = sequences.posting_blocks(_transcript(spark, d), KEYWORDS, "session")
+    positions = sequences.positions_in("cell", "offsets").cast("array<string>")
+    return blocks.select("session", "word", "cell", F.array_join(positions, ",").alias("positions"))
 
 
 @query(f"""WITH {_TW} SELECT session, count(DISTINCT word) AS anchor_types, count(*) AS positions FROM tw WHERE word IN (SELECT unnest({_list(KEYWORDS)})) GROUP BY session""")
 def session_anchor_totals(spark, d):
-    return sequences.session_anchor_totals(sequences.inverted_index(_transcript(spark, d), KEYWORDS, "session"), "session")
+    return sequences.session_anchor_totals(_transcript(spark, d), KEYWORDS, "session")
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +161,7 @@ def _anchored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    index = sequences.keyword_positions(_transcript(spark, d), KEYWORDS, "session")
+    index = sequences.posting_blocks(_transcript(spark, d), KEYWORDS, "session")
     hints = sequences.position_hints(_files(spark, d)).select("audio_stem", "session", "hint_start", "hint_end")
     return sequences.band_candidates(_anchored(spark, d).join(hints, "audio_stem"), index, "session")
 

@@ -359,7 +359,10 @@ def test_band_candidates_equal_all_pairs(spark, monkeypatch):
     pos = spark.createDataFrame(words, "session string, word string, word_idx long")
     ask = [(f"f{k % 5}", k, rng.choice(["s", "t"]), rng.choice(["a", "b", "rare", "none"]), lo, lo + rng.choice([0, 3, 90])) for k, lo in enumerate(rng.choices(range(-20, 420), k=120))]
     df = spark.createDataFrame(ask, "audio_stem string, anchor_idx int, session string, word string, hint_start long, hint_end long")
-    got = {(r["anchor_idx"], r["place"], r["word_idx"]) for r in sequences.band_candidates(df, pos, "session").collect()}
+    blocks = sequences.posting_blocks(pos, [*"abcxyz", "rare"], "session")
+    assert {tuple(r) for r in sequences.posted_positions(blocks, "session").collect()} == set(words)
+    assert blocks.filter(F.size("offsets") > 16).isEmpty()
+    got = {(r["anchor_idx"], r["place"], r["word_idx"]) for r in sequences.band_candidates(df, blocks, "session").collect()}
     want = set()
     for _, k, s, w, lo, hi in ask:
         all_ = sorted(i for t, x, i in words if t == s and x == w)
