@@ -22,10 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; where that is unset (local sessions only) a folder
-    of the warehouse.
+    It is the session's ``spark.checkpoint.dir``. A local session without one uses a folder of its
+    warehouse; on a cluster a missing setting is an error, since a machine's own folder would lose rows.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch-tables"
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch-tables"
     return path.rstrip("/")
 
 

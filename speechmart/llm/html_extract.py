@@ -7,9 +7,11 @@ on labelled pages, is decoded by Viterbi over all blocks of the page. The traini
 and independent of the tables.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed
-and joined by one newline in page order. A line break tag counts as white space. Null and empty pages
-give an empty text; broken markup is read as far as it goes; nothing is cut off; repeated rows give
-repeated results; an empty table gives an empty result.
+and joined by one newline in page order. A line break tag counts as white space. Scripts and styles are
+dropped as such, whatever is in them; all other elements' texts are judged by the chain. Null and empty
+pages give an empty text; broken markup is read as far as it goes, in work linear in the page; nothing is
+cut off; of equally likely states the block counts as no article; repeated rows give repeated results; an
+empty table gives an empty result; columns other than the three named are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, slices
 
 #: Tags that end a leaf block where they open or close.
 BLOCK = frozenset(
@@ -33,49 +35,133 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Contents that are no text of the page.
-RAW = frozenset("script style noscript template svg math object canvas".split())
+RAW = frozenset("script style".split())
 #: A new start of the first kind ends an open element of the second.
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _CLOSES_P = BLOCK - {"button", "label", "option", "optgroup", "body", "html", "head", "title"}
+#: Elements that such a start does not look beyond.
+_SCOPE = frozenset("table ul ol div article section aside nav form body main footer header".split())
 _STRUCTURE = frozenset(f"tag={t}" for t in ("article", "main", "aside", "nav", "footer", "header", "form", "section", "title"))
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+_INSIDE = frozenset(("tag=article", "tag=main", "name=main", "name=content", "name=article", "name=post", "name=entry", "name=story"))
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)|[^<]+|<", re.S)
+_STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 
 
-def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, ancestor features, characters inside links) of every leaf block in page order."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    text: list[str] = []
-    state = {"link": 0, "open": 0}
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag whose name ends at ``at`` has its closing bracket; the page's end if it has none.
+
+    A quote holds brackets only as the first character of a value, and only if it is closed.
+    """
+    n = len(page)
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        before = m.start() - 1
+        while page[before].isspace():
+            before -= 1
+        at = m.end()
+        if page[before] == "=" and (close := page.find(m[0], at)) >= 0:
+            at = close + 1
+    return n
+
+
+class Names:
+    """A name among the ancestors of a block, behind those of the elements further out; each name stands once.
+
+    Blocks share these chains, so that a deep page takes no more room than its tags.
+    """
+
+    __slots__ = ("outer", "name", "near", "inside", "inward", "score")
+
+    def __init__(self, outer: Names | None, name: str) -> None:
+        self.outer, self.name = outer, name
+        self.near = name if name.startswith("name=") or name in _STRUCTURE else outer.near if outer else ""
+        self.inside = name in _INSIDE or bool(outer and outer.inside)
+        self.inward = "article" in name or "main" in name or bool(outer and outer.inward)
+        self.score: tuple | None = None
+
+    def __iter__(self) -> Iterator[str]:
+        at: Names | None = self
+        while at is not None:
+            yield at.name
+            at = at.outer
+
+
+class Open:
+    """The open elements, with what is asked of them kept up to date."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.blocks: list[int] = []
+        #: Per element the chain up to it and the names that it brought.
+        self.chains: list[tuple[Names | None, list[str]]] = []
+        self.held: set[str] = set()
+
+    @property
+    def names(self) -> Names | None:
+        return self.chains[-1][0] if self.chains else None
+
+    def push(self, tag: str, names: list[str]) -> None:
+        chain, brought = self.names, []
+        for name in names:
+            if name not in self.held:
+                self.held.add(name)
+                brought.append(name)
+                chain = Names(chain, name)
+        at = len(self.tags)
+        self.tags.append(tag)
+        self.chains.append((chain, brought))
+        self.places.setdefault(tag, []).append(at)
+        if tag in _SCOPE:
+            self.scopes.append(at)
+        if tag in BLOCK:
+            self.blocks.append(at)
+
+    def close(self, tags: tuple[str, ...], within_scope: bool) -> None:
+        """Ends the innermost element of these tags and all in it, unless a scope stands between."""
+        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+        if at < 0 or within_scope and self.scopes and self.scopes[-1] > at:
+            return
+        while len(self.tags) > at:
+            tag = self.tags.pop()
+            self.held.difference_update(self.chains.pop()[1])
+            self.places[tag].pop()
+            for held in (self.scopes, self.blocks):
+                if held and held[-1] == len(self.tags):
+                    held.pop()
+
+    def inside(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
+
+    def leaf(self) -> str | None:
+        """The innermost block-level tag, empty without one; None where nothing is open."""
+        return None if not self.tags else self.tags[self.blocks[-1]] if self.blocks else ""
+
+
+#: Text of a leaf block, its ancestors' names, its innermost block-level tag, characters inside links.
+Block = tuple[str, "Names | None", "str | None", int]
+
+
+def leaf_blocks(page: str) -> list[Block]:
+    """Every leaf block in page order, in work linear in the page."""
+    out: list[Block] = []
+    opened, text, link = Open(), [], 0
+    at, n = 0, len(page)
 
     def flush() -> None:
+        nonlocal link
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if whole:
-                seen: dict[str, None] = {}
-                for _, names in stack:
-                    for n in names:
-                        seen[n] = None
-                if stack:
-                    block = next((t for t, _ in reversed(stack) if t in BLOCK), "")
-                    seen[f"leaf={block}"] = None
-                out.append((whole, tuple(seen), state["link"]))
-        state["link"] = 0
-
-    def close(tags: tuple[str, ...], stop: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in stop:
-                return
+                out.append((whole, opened.names, opened.leaf(), link))
+        link = 0
 
-    at, n = 0, len(page)
-    scope = frozenset(("table", "ul", "ol", "div", "article", "section", "aside", "nav", "form", "body", "main", "footer", "header"))
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -84,63 +170,78 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
                 text.append(piece)
-                if any(t == "a" for t, _ in stack):
-                    state["link"] += len(piece)
+                if opened.inside("a"):
+                    link += len(piece)
             continue
-        tag = tag.lower()
+        tag, end = tag.lower(), _tag_end(page, at)
+        attributes, at = page[at:end], min(n, end + 1)
         if m[1]:
             if tag in BLOCK:
                 flush()
-            close((tag,), frozenset())
+            opened.close((tag,), False)
             if tag == "br":
                 text.append(" ")
             continue
-        if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+        if tag in RAW:  # a slash does not end it
+            found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = found.end() if found else n
             text.append(" ")
             continue
         if tag in BLOCK:
             flush()
             if tag in _CLOSES_P:
-                close(("p",), scope)
+                opened.close(("p",), True)
             if tag in _ENDS:
-                close(_ENDS[tag], scope)
+                opened.close(_ENDS[tag], True)
         if tag == "br":
             text.append(" ")
-        if tag in VOID or m[3].rstrip().endswith("/"):
+        if tag in VOID or attributes.rstrip().endswith("/"):
             continue
         names = [f"tag={tag}"] if tag in BLOCK or tag == "a" else []
-        if m[3]:
-            for found in _NAMES.finditer(m[3]):
+        if attributes:
+            for found in _NAMES.finditer(attributes):
                 names += [f"name={w}" for w in _WORD.findall((found[1] or found[2] or found[3] or "").lower())]
-            if _HIDDEN.search(m[3]):
+            if _HIDDEN.search(attributes):
                 names.append("hidden")
-        stack.append((tag, tuple(names)))
+        opened.push(tag, names)
     flush()
     return out
 
 
-def block_features(blocks: list[tuple[str, tuple[str, ...], int]]) -> list[list[str]]:
-    """Feature names of every block, with a glance at its neighbours' lengths."""
+class Features:
+    """Feature names of a block: its own, and the shared chain of its ancestors'."""
+
+    __slots__ = ("own", "chain")
+
+    def __init__(self, own: list[str], chain: Names | None) -> None:
+        self.own, self.chain = own, chain
+
+    def __iter__(self) -> Iterator[str]:
+        yield from self.own
+        if self.chain is not None:
+            yield from self.chain
+
+
+def block_features(blocks: list[Block]) -> list[Features]:
+    """Features of every block, with a glance at its place in the page."""
     out = []
-    for k, (text, names, link) in enumerate(blocks):
+    for k, (text, names, leaf, link) in enumerate(blocks):
         words = text.count(" ") + 1
         size = 0 if words < 3 else 1 if words < 8 else 2 if words < 25 else 3
-        f = ["bias", f"size={size}", *names]
+        f = ["bias", f"size={size}"]
+        if leaf is not None:
+            f.append(f"leaf={leaf}")
         f.append("first" if k == 0 else "last" if k == len(blocks) - 1 else "middle")
         f.append(f"links={min(3, 4 * link // max(1, len(text)))}")
         f.append("stop" if text[-1] in ".!?…\"”»" else "open")
         if "©" in text or "All rights reserved" in text:
             f.append("copyright")
-        if "article" not in "".join(names) and "main" not in "".join(names):
+        if not (names and names.inward) and leaf not in ("article", "main"):
             f.append("outside")
-        inner = [n for n in names if n.startswith("name=") or n in _STRUCTURE]
-        f.append(f"near={inner[-1]}" if inner else "near=")
-        if any(n in ("tag=article", "tag=main", "name=main", "name=content", "name=article", "name=post", "name=entry", "name=story") for n in names):
+        f.append(f"near={names.near if names else ''}")
+        if names and names.inside:
             f.append("inside")
-        out.append(f)
+        out.append(Features(f, names))
     return out
 
 
@@ -152,12 +253,32 @@ class Crf:
         self.emit = np.zeros((0, 2))
         self.step = np.zeros((2, 2))
 
-    def scores(self, features: list[list[str]]) -> np.ndarray:
-        """Summed weights per block and state; unknown features count nothing."""
-        get, emit = self.index.get, self.emit
-        return np.array([emit[[i for i in map(get, f) if i is not None]].sum(axis=0) for f in features]).reshape(-1, 2)
-
-    def fit(self, pages: list[tuple[list[list[str]], list[int]]], epochs: int = 8, rate: float = 0.3, decay: float = 1e-4) -> Crf:
+    def scores(self, features: list[Features] | list[list[str]]) -> np.ndarray:
+        """Summed weights per block and state; unknown features count nothing. A chain's sum is made once for all its blocks."""
+        weights = {name: tuple(self.emit[i].tolist()) for name, i in self.index.items()}
+        none = (0.0, 0.0)
+
+        def chained(chain: Names | None) -> tuple[float, float]:
+            todo = []
+            while chain is not None and chain.score is None:
+                todo.append(chain)
+                chain = chain.outer
+            total = none if chain is None else chain.score
+            for link in reversed(todo):
+                w = weights.get(link.name, none)
+                total = link.score = total[0] + w[0], total[1] + w[1]
+            return total
+
+        out = []
+        for f in features:
+            own, (x, y) = (f.own, chained(f.chain)) if isinstance(f, Features) else (f, none)
+            for w in own:
+                a, b = weights.get(w, none)
+                x, y = x + a, y + b
+            out.append((x, y))
+        return np.array(out).reshape(-1, 2)
+
+    def fit(self, pages: list[tuple[list[Features] | list[list[str]], list[int]]], epochs: int = 8, rate: float = 0.3, decay: float = 1e-4) -> Crf:
         """Maximises the conditional likelihood by AdaGrad over the pages."""
         for features, _ in pages:
             for f in features:
@@ -199,7 +320,7 @@ class Crf:
             edge += np.exp(fore[k][:, None] + self.step + (e[k + 1] + back[k + 1])[None, :] - z)
         return np.exp(fore + back - z), edge
 
-    def decode(self, features: list[list[str]]) -> list[int]:
+    def decode(self, features: list[Features] | list[list[str]]) -> list[int]:
         """The best state of every block, by Viterbi."""
         if not features:
             return []
@@ -223,14 +344,14 @@ class Crf:
 _MARK = "\ue000"
 
 
-def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[list[tuple[str, tuple[str, ...], int]], list[int]]]:
+def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
     """Generated pages as leaf blocks with labels, 1 for the article."""
     rng = random.Random(seed)
     out = []
     for _ in range(n):
         blocks = leaf_blocks(_page(rng))
-        labels = [int(_MARK in t) for t, _, _ in blocks]
-        out.append(([(t.replace(_MARK, ""), f, k) for t, f, k in blocks], labels))
+        labels = [int(_MARK in b[0]) for b in blocks]
+        out.append(([(b[0].replace(_MARK, ""), *b[1:]) for b in blocks], labels))
     return out
 
 
@@ -358,7 +479,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     model = pages.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 64):
             texts = [main_text(p, model.value) for p in batch.column(2).to_pylist()]
             cols = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, url_col, "text", "n_chars"])

@@ -29,6 +29,8 @@ from .common import materialize, pick, slices
 BUCKETS = 1 << 15
 PER_LANGUAGE = 600
 SAMPLE_ROWS = 20_000
+#: Bytes of n-gram frequencies that the driver fits on at most; beyond that fewer labelled rows are taken, never shorter texts.
+SAMPLE_BYTES = 128 << 20
 #: Up to so many languages each has a bit of its own besides the random ones.
 OWN_BITS = 64
 AMBIGUOUS = 0.6
@@ -136,8 +138,12 @@ def fit_model(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12,
     return EcocModel(languages, code, weights, bias)
 
 
-def sample_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """N-gram frequencies of about ``per_language`` labelled rows of each language."""
+def sample_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """N-gram frequencies of about ``per_language`` labelled rows of each language, in ``most_bytes`` at most.
+
+    Rows of equal language and n-grams, as of copies, count once, so that a hash of them can thin out the
+    rest to the room there is.
+    """
     train = pick(docs, [id_col, text_col, lang_col]).toDF("i", "t", "l").filter(F.col("l").isNotNull() & F.col("t").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i")))
     counts = materialize(train.groupBy("l").agg(F.count("*").alias("n")), "language-counts")
     each = min(per_language, SAMPLE_ROWS / max(1, counts.count()))
@@ -146,7 +152,7 @@ def sample_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str,
     chosen = train.join(counts.select("l", limit.alias("limit")), "l").filter(F.pmod(F.xxhash64("i"), F.lit(scale)) < F.col("limit"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 256):
             langs, ids, freqs = [], [], []
             for text, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 count = np.zeros(BUCKETS)
@@ -159,7 +165,20 @@ def sample_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str,
                     freqs.append((count[at] / count.sum()).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.binary()), pa.array(freqs, pa.binary())], names=["l", "ids", "freqs"])
 
-    got = chosen.select("t", "l").mapInArrow(features, "l string, ids binary, freqs binary").collect()
+    found = chosen.select("t", "l").mapInArrow(features, "l string, ids binary, freqs binary").withColumn("h", F.xxhash64("l", "ids", "freqs"))
+    found = materialize(found, "language-features").dropDuplicates(["l", "ids", "freqs"])
+    size = F.octet_length("ids") + F.octet_length("freqs")
+    total = found.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    if total > most_bytes:
+        # half of the room on average, and the least hashes as far as the room goes
+        least = F.pmod(F.col("h"), F.lit(scale)) < int(0.5 * most_bytes / total * scale) + 1
+        found = found.filter(least & (size <= most_bytes // 2))
+    got, room = [], most_bytes
+    for r in found.select("l", "ids", "freqs").orderBy("h").toLocalIterator():
+        room -= len(r["ids"]) + len(r["freqs"])
+        if room < 0:
+            break
+        got.append(r)
     rows = [(r["l"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["freqs"], "<f4").astype(float)) for r in got]
     return sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
 

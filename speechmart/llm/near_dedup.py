@@ -370,5 +370,8 @@ def keep_representatives(docs: DataFrame, percent: int = 85, id_col: str = "doc_
     Null, empty and wordless texts stay, and so do rows without an id; rows that share an id stay or go
     together; an empty table stays empty. All columns are passed on, whatever their names.
     """
-    gone = near_duplicates(docs, percent, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    name = "_gone"
+    while name in docs.columns:
+        name += "_"
+    gone = near_duplicates(docs, percent, id_col, text_col).filter("not kept").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")

@@ -4,10 +4,15 @@ One automaton finds at-signs, digits, plus signs, scheme marks and identifier cu
 local parsers expand each anchor to a full span and validate it. Spans of the kinds email, ip, card
 and phone are leftmost and non-overlapping per kind; an invalid match is dropped and not retried.
 Two further kinds need more evidence: ``url`` (an address that carries user information before its
-host) and ``account`` (a number behind an identifier cue that passes its own check).
+host) and ``account`` (an identifier right behind a cue that stands as a word of its own). An account
+behind ``iban`` has the length of its country and passes the check modulo 97; the shortest such reading
+counts, so words behind it stay out. A routing number has nine digits and passes the check modulo 10.
+Social security numbers lie in the ranges that are given out. Other numbers (passports, accounts) have no
+check of their own: six to seventeen digits behind their cue are reported as they are.
 
 Null counts as an empty text, which has no spans; texts are read whole, positions are code points;
-repeated rows give repeated results; an empty table gives an empty result.
+repeated rows give repeated results; an empty table gives an empty result; columns other than the two
+named are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +29,20 @@ from .common import pick, slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
-#: Words that announce an account number, in lower case.
-CUES = ("iban", "ssn", "social security", "passport", "account no", "account number", "acct", "kontonummer", "routing number")
+#: Words that announce an account number, in lower case, and what kind of number follows.
+CUES = {
+    "iban": "iban", "ssn": "ssn", "social security": "ssn", "social security number": "ssn", "routing number": "routing",
+    "passport": "other", "passport number": "other", "passport no": "other", "account no": "other", "account number": "other", "acct": "other", "kontonummer": "other",
+}
+# The length of account numbers by country.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22,
+    "VG": 24, "XK": 20,
+}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -36,8 +53,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _URL_REST = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=:-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]+)?(?:[/?#][^\s<>\"']*)?")
 _AFTER_CUE = re.compile(r"[\x20:#.=-]{1,4}")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_IBAN = {c: re.compile(rf"{c}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for c, n in IBAN_LENGTH.items()}
 _SSN = re.compile(r"([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
+_ROUTING = re.compile(r"[0-9]{9}(?![0-9A-Za-z])")
 _NUMBER = re.compile(r"[A-Z]{0,2}[0-9]{6,17}(?![0-9A-Za-z])")
 
 
@@ -56,7 +74,11 @@ def luhn(digits: str) -> bool:
 
 def _iban_valid(text: str) -> bool:
     t = text.replace(" ", "")
-    return 15 <= len(t) <= 34 and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def _routing_valid(digits: str) -> bool:
+    return sum(w * int(c) for w, c in zip((3, 7, 1) * 3, digits, strict=True)) % 10 == 0 and digits != "0" * 9
 
 
 class Finder:
@@ -71,7 +93,7 @@ class Finder:
         a.add_word("://", ":")
         for cue in CUES:
             for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-                a.add_word(form, "c")
+                a.add_word(form, (cue, len(cue)))
         a.make_automaton()
         self.automaton = a
 
@@ -93,8 +115,8 @@ class Finder:
                         out["phone"].append(m.span())
             elif what == ":":
                 self._url(text, end, out, free)
-            else:
-                self._account(text, end + 1, out, free)
+            elif (start := end + 1 - what[1]) == 0 or not (text[start - 1].isalnum() or text[start - 1] == "_"):
+                self._account(text, end + 1, CUES[what[0]], out, free)
         return out
 
     @staticmethod
@@ -136,16 +158,21 @@ class Finder:
             free["url"] = m.end()
 
     @staticmethod
-    def _account(text: str, at: int, out: dict, free: dict) -> None:
+    def _account(text: str, at: int, kind: str, out: dict, free: dict) -> None:
+        """Behind a cue: an account number, a number of the cue's own kind, or for unchecked kinds any number."""
         if at < free["account"] or not (gap := _AFTER_CUE.match(text, at)):
             return
         at = gap.end()
-        if (m := _IBAN.match(text, at)) and _iban_valid(m[0]):
+        shape = _IBAN.get(text[at : at + 2])
+        if shape and (m := shape.match(text, at)) and _iban_valid(m[0]):
             pass
-        elif m := _SSN.match(text, at):
+        elif kind in ("ssn", "other") and (m := _SSN.match(text, at)):
             if m[1] in ("000", "666") or m[1] >= "900" or m[2] == "00" or m[3] == "0000":
                 return
-        elif not (m := _NUMBER.match(text, at)):
+        elif kind == "routing" and (m := _ROUTING.match(text, at)):
+            if not _routing_valid(m[0]):
+                return
+        elif kind != "other" or not (m := _NUMBER.match(text, at)):
             return
         out["account"].append(m.span())
         free["account"] = m.end()
