@@ -53,7 +53,7 @@ def test_best_fill_is_optimal():
 
 def test_cached_tokenizer_equals_the_library(monkeypatch):
     with open(VOCABULARY, encoding="utf-8") as f:
-        coder = packing.WordCachedTokenizer(f.read(), cache_words=50)
+        coder = packing.WordCachedTokenizer(f.read(), cache_room=10_000)
     library, rng = Tokenizer.from_file(VOCABULARY), random.Random(9)
     bits = [*"ab'st  \n\t.,!é1中 ", "<|endoftext|>", "<|endof", " word", " two words"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(4000)]

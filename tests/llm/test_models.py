@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -39,6 +40,21 @@ def test_language_without_rows_or_labels(spark, no_docs, odd_docs):
     assert {r["lang_pred"] for r in language_id.identify(unlabelled).collect()} == {"und"}
 
 
+def test_labelled_sample_stays_in_its_room(spark):
+    texts = [(k, " ".join(f"{chr(97 + (k * i) % 26)}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(600)), "ab"[k % 2]) for k in range(300)]
+    df = spark.createDataFrame(texts + [(3, texts[3][1], "b")] * 500, "doc_id long, text string, lang string")
+    whole = language_id.sample_rows(df, 600, "doc_id", "text", "lang")
+    size = lambda rows: sum(4 * len(r[1]) + 4 * len(r[2]) for r in rows)
+    assert len({(r[0], r[1].tobytes(), r[2].tobytes()) for r in whole}) == len(whole) > 10
+    few = language_id.sample_rows(df, 600, "doc_id", "text", "lang", most_bytes=size(whole) // 5)
+    assert 0 < len(few) < len(whole) and size(few) <= size(whole) // 5 and {r[0] for r in few} == {"a", "b"}
+
+
+def test_kept_rows_may_have_any_column(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7), (2, "a b c d e f", 8), (3, "other", 9)], "doc_id long, text string, _gone int")
+    assert {r["doc_id"] for r in near_dedup.keep_representatives(df).collect()} == {1, 3}
+
+
 def test_codewords_differ():
     for n in (2, 3, 4, 6, 9, 40):
         code = language_id.codewords(n)
@@ -235,3 +251,57 @@ def test_recall_near_the_least_similarity(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     linked = near_dedup.near_duplicates(df).filter("not kept").count()
     assert linked >= 0.999 * planted
+
+
+HOSTILE = {
+    "quotes": "<a " * 330_000 + '"',
+    "deep": "<div>x" * 170_000,
+    "unmatched ends": "<div>" * 100_000 + "</span>x" * 60_000,
+    "starts under inline": "<p><body>" + "<span>" * 80_000 + "<h1>x</h1>" * 50_000,
+    "deep names": "".join(f"<div class={chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}>x" for i in range(50_000)),
+    "open quotes": '<p title="' * 90_000,
+    "brackets": "<" * 1_000_000,
+    "comments": "<!-" * 300_000,
+    "entities": "&#" * 400_000,
+}
+
+
+def test_hostile_pages_take_linear_time():
+    model = html_extract.trained()
+    for name, page in HOSTILE.items():
+        began = time.process_time()
+        html_extract.main_text(page, model)
+        assert time.process_time() - began < 5, name
+
+
+def test_nothing_but_markup_and_scripts_is_dropped():
+    model = html_extract.trained()
+    cases = {
+        '<article><p>One.</p><script src="a.js"/>var a=1;</script><p>Two.</p></article>': "One.\nTwo.",
+        "<article><p>Area is <math><mi>x</mi></math> metres.</p></article>": "Area is x metres.",
+        "<article><p>Shown <object>instead</object> and <canvas>drawn</canvas> here.</p></article>": "Shown instead and drawn here.",
+        "<article><p title=it's>I don't know <b>it's</b> so.</p><p>Next one.</p></article>": "I don't know it's so.\nNext one.",
+        '<article><p data-x="a > b">Quoted bracket.</p></article>': "Quoted bracket.",
+    }
+    for page, want in cases.items():
+        assert html_extract.main_text(page, model) == want
+
+
+#: Pages of layouts that the generator does not make, each text block labelled by hand (* for the article).
+LAYOUTS = [
+    '<body><div id="top"><a href=/>Daily Courier</a></div><table><tr><td><ul class="nav"><li><a href=1>News</a><li><a href=2>Sport</a></ul></td><td><div class="story"><h1>*River rises after storm</h1><p>*The river rose by two metres during the night, officials said.</p><p>*Several roads were closed in the morning.</p></div></td></tr></table><div class="footer">&copy; Daily Courier</div></body>',
+    '<body><header><h2>My blog</h2><nav><a href=/a>About</a> <a href=/c>Contact</a></nav></header><main><article><h2>*On making bread</h2><p>*Flour, water and salt are all that is needed for a loaf.</p><ol><li>*Mix the flour with water.</li><li>*Wait until the dough has doubled.</li></ol><p>*Bake it in a hot oven for forty minutes.</p></article><section id="comments"><h3>2 comments</h3><div class="comment"><p>Great recipe, thanks a lot!</p></div><div class="comment"><p>Mine fell flat.</p></div></section></main><footer><p>All rights reserved</p></footer></body>',
+    '<body><div class="cookie-banner"><p>We use cookies to make this site better.</p><button>Accept</button></div><div class="wrapper"><div class="sidebar"><h3>Related</h3><ul><li><a href=x>Another story</a></li></ul></div><div class="entry-content"><h1>*A short history of clocks</h1><p>*Water clocks were used long before gears were cut.</p><blockquote>*Time is what a clock reads.</blockquote><p>*Pendulums came much later.</p></div></div><form><label>Search</label><input></form></body>',
+    '<html><head><title>Garden notes</title><style>p{}</style></head><body><nav><ul><li><a href=1>Home</a></li><li><a href=2>Archive</a></li></ul></nav><section class="post"><h1>*Pruning roses</h1><figure><img src=r.jpg><figcaption>*A rose after pruning</figcaption></figure><p>*Cut above an outward facing bud.</p><pre>*step one   step two</pre></section><aside class="ad"><p>Buy our new secateurs today!</p></aside></body></html>',
+]
+
+
+def test_pages_of_other_layouts():
+    model, wrong, total = html_extract.trained(), 0, 0
+    for page in LAYOUTS:
+        blocks = [(b[0].lstrip("*"), *b[1:]) for b in html_extract.leaf_blocks(page)]
+        labels = [int(b[0].startswith("*")) for b in html_extract.leaf_blocks(page)]
+        states = model.decode(html_extract.block_features(blocks))
+        wrong += sum(a != b for a, b in zip(states, labels, strict=True))
+        total += len(labels)
+    assert total > 30 and wrong / total <= 0.1

@@ -90,6 +90,17 @@ def test_added_kinds_need_evidence():
     assert len(found["url"]) == 1 and len(found["account"]) == 2
 
 
+def test_accounts_are_checked_and_cues_are_words():
+    find = lambda t: [t[a:b] for a, b in pii.Finder().find(t)["account"]]
+    assert find("IBAN DE89 3704 0044 0532 0130 00 AND MORE") == ["DE89 3704 0044 0532 0130 00"]
+    assert find("IBAN: DE89370400440532013000 B") == ["DE89370400440532013000"]
+    assert find("iban GB82 WEST 1234 5698 7654 32, Account number: NO9386011117947") == ["GB82 WEST 1234 5698 7654 32", "NO9386011117947"]
+    assert find("IBAN DE89370400440532013001") == find("IBAN DE893704004405320130001") == find("IBAN XX89370400440532013000") == find("IBAN 1234567") == []
+    assert find("the Taliban 1234567 men") == find("iban1234567") == find("my_ssn 123-45-6789") == []
+    assert find("routing number 021000021") == ["021000021"] and find("routing number 123456789") == find("routing number 000000000") == []
+    assert find("passport 123456") == ["123456"] and find("SSN 123456789") == [] and find("social security number: 123-45-6789") == ["123-45-6789"]
+
+
 def test_pii_query(odd_docs, no_docs):
     rows = pii.scan_documents(odd_docs).collect()
     assert len(rows) == odd_docs.count()
