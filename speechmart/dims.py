@@ -80,6 +80,20 @@ NEGATIVES = [
     ("imperative", "sa", "Don't!"),
 ]
 
+# Names and examples of the particles.
+PARTICLE_RECORDS = {
+    "e": ("Present Indicative", "E tuku ne au - I give"),
+    "ka": ("Future Indicative", "Ka tuku ne au - I shall give"),
+    "ne": ("Past Indicative", "Ne tuku ne au - I gave"),
+    "ma": ("Future Contingent", "Ma tuku ne au - If I should give"),
+    "ke": ("Future Consequential", "Ke tuku ne au - That I may give"),
+    "moi": ("Perfect Conditional", "Moi tuku ne au - If I had given"),
+    "mana": ("Future Precautionary", "Mana tuku ne au - Lest I should give"),
+    "se": ("Negative Present", "Se tuku ne au - I do not give"),
+    "seki": ("Negative Past", "Seki tuku ne au - I did not give"),
+    "sa": ("Negative Imperative", "Sa tuku - Don't give"),
+}
+
 # Pronouns: word, person, number, gloss.
 PRONOUNS = [
     ("au", 1, "singular", "I, me"),
@@ -137,9 +151,9 @@ def noun_classes(spark: SparkSession) -> DataFrame:
 
 
 def particles(spark: SparkSession) -> DataFrame:
-    """particle, tense, description; negatives carry the prefix ``neg_``."""
-    rows = [(p, t, d) for t, p, d in TENSES] + [(p, f"neg_{t}", d) for t, p, d in NEGATIVES]
-    return spark.createDataFrame(rows, "particle string, tense string, description string")
+    """particle, tense, description, name, example; the tenses of negatives carry the prefix ``neg_``."""
+    rows = [(p, t, d, *PARTICLE_RECORDS[p]) for t, p, d in TENSES] + [(p, f"neg_{t}", d, *PARTICLE_RECORDS[p]) for t, p, d in NEGATIVES]
+    return spark.createDataFrame(rows, "particle string, tense string, description string, name string, example string")
 
 
 def pronouns(spark: SparkSession) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +37,19 @@ def ctc_vocabulary(texts: DataFrame, system: str = "system6", text: str = "text"
 
 
 def character_counts(texts: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """ch, n over all texts."""
-    return characters(texts, F.col(text), key).groupBy("ch").agg(F.count("*").alias("n"))
+    """ch, n over all texts: counted by code point in each batch, then summed, so no character is a row of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: dict[int, int] = {}
+            for t in batch.column(0):
+                if t.is_valid:
+                    codes, counts = np.unique(np.frombuffer(t.as_py().encode("utf-32-le"), "<u4"), return_counts=True)
+                    for c, n in zip(codes.tolist(), counts.tolist(), strict=True):
+                        total[c] = total.get(c, 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(chr, total)), pa.string()), pa.array(list(total.values()), pa.int64())], names=["ch", "n"])
+
+    return texts.select(text).mapInArrow(run, "ch string, n long").groupBy("ch").agg(F.sum("n").alias("n"))
 
 
 def ranked_characters(texts: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechmart.operators.ctc import label_ids
+from speechmart.operators.ranking import positions
 
 ACCENTS = "áéíóúäëïöüàèìòùâêîôû"
 MACRON_TARGET = "āēīōūāēīōūāēīōūāēīōū"
@@ -87,6 +88,16 @@ EVENTS_SQL = """ev AS (
   FROM events)"""
 
 
+def with_next_turn(turns: DataFrame, text: str, name: str) -> DataFrame:
+    """Turns (conv_id, turn, ...) that another follows, with that one's ``text`` as ``name``.
+
+    Places come from ranges and neighbours meet by equal keys, so a conversation of any length spreads.
+    """
+    placed = positions(turns, ["conv_id"], ["turn"], "_place")
+    after = placed.select(F.col("conv_id").alias("_conv"), (F.col("_place") - 1).alias("_before"), F.col(text).alias(name))
+    return placed.join(after, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_place") == F.col("_before"))).drop("_place", "_conv", "_before")
+
+
 #: Label ids of the stand-in acoustic model: a blank, letters and the word separator.
 SPELLING = {c: n for n, c in enumerate("abcdefghijklmnopqrstuvwxyzäöüßéèêçñíó|", 1)}
 

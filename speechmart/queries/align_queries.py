@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from speechmart.functions import text as T
 from speechmart.operators import anchors, chunks, ctc, dtw, ranking, scoring, segments, sequences, vad
-from speechmart.queries.adapters import CHUNKS_SQL, EQUIVALENTS, EVENTS_SQL, KEYWORDS, OTHER_KEYWORDS, SPELLING, read, spelled_clips, spelling_model, timed_words
+from speechmart.queries.adapters import CHUNKS_SQL, EQUIVALENTS, EVENTS_SQL, KEYWORDS, OTHER_KEYWORDS, SPELLING, read, spelled_clips, spelling_model, timed_words, with_next_turn
 from speechmart.queries.adapters import chunks as chunk_table
 
 QUERIES, SQL = {}, {}
@@ -389,9 +389,8 @@ def ctc_collapse(spark, d):
 
 
 def _turn_pairs(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "conversations")
-    nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("pair_id"), "turn", T.words(F.col("text")).alias("heard"), T.words(nxt).alias("written")).filter("written is not null")
+    c = with_next_turn(read(spark, d, "conversations").select("conv_id", "turn", "text"), "text", "next")
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("pair_id"), "turn", T.words(F.col("text")).alias("heard"), T.words(F.col("next")).alias("written")).filter("written is not null")
 
 
 @query()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io as bytes_io
+import unicodedata
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from speechmart import dims
 from speechmart.functions import grammar, metrics
 from speechmart.functions import text as T
-from speechmart.operators import anchors, chunks, corrections, ctc, quality, scoring, tiers, vad
+from speechmart.operators import anchors, asr, chunks, corrections, ctc, quality, scoring, tiers, vad, vocab
 from speechmart.queries.adapters import CHUNKS_SQL, SEGMENTS_SQL, read, segments
 from speechmart.queries.adapters import chunks as chunk_table
 from speechmart.sources import audio, io
@@ -72,9 +73,10 @@ def nested_json_scan(spark, d):
 FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""
 )
 def corrections_scan(spark, d):
-    """Correction bundles, one per source, with the time of change set; an absent path adds nothing."""
+    """Correction bundles of up to a thousand ids of a source, with the time of change set; an absent path adds nothing."""
     docs = read(spark, d, "documents").join(read(spark, d, "labels").select("doc_id"), "doc_id")
     one = F.struct(F.col("text").alias("corrected_text"), F.lit(0.0).alias("start"), (F.length("text") / 100).alias("end"), (1 + F.col("doc_id") % 5).alias("quality"))
+    docs = docs.withColumn("source", F.concat_ws("-", "source", F.floor(F.col("doc_id") / 1000)))
     b = docs.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), one))).alias("segments"))
     b = io.touch_corrections(b.withColumn("metadata", F.struct(F.lit("c").alias("created"), F.lit(None).cast("string").alias("last_modified"), F.col("source").alias("audio_file"))))
     path = _one_file_each(b, "source", F.to_json(F.struct("segments", "metadata")), "corrections")
@@ -277,23 +279,21 @@ def segment_names(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT unnest(['1', '2', '3']) AS person), n AS (SELECT unnest(['singular', 'dual']) AS number), c AS (SELECT unnest(['a', 'o', '?']) AS class), k AS (SELECT unnest(['singular', 'plural']) AS count)
-SELECT *, CASE WHEN number = 'singular' THEN CASE count WHEN 'singular' THEN 't' ELSE '' END || CASE class WHEN 'a' THEN 'a' ELSE 'o' END || CASE person WHEN '1' THEN 'ku' WHEN '2' THEN 'u' ELSE 'na' END
- ELSE 't' || CASE class WHEN 'a' THEN 'a' ELSE 'o' END || '??' END AS form FROM p, n, c, k"""
+    """WITH o AS (SELECT CAST(1 + o_orderkey % 3 AS VARCHAR) AS person, CASE WHEN o_orderkey % 5 = 0 THEN 'dual' ELSE 'singular' END AS number, CASE o_orderstatus WHEN 'F' THEN 'a' WHEN 'O' THEN 'o' ELSE '?' END AS class, CASE WHEN o_custkey % 2 = 0 THEN 'singular' ELSE 'plural' END AS owned FROM orders),
+g AS (SELECT person, number, class, owned, count(*) AS n FROM o GROUP BY ALL)
+SELECT *, CASE WHEN number = 'singular' THEN CASE owned WHEN 'singular' THEN 't' ELSE '' END || CASE class WHEN 'a' THEN 'a' ELSE 'o' END || CASE person WHEN '1' THEN 'ku' WHEN '2' THEN 'u' ELSE 'na' END
+ ELSE 't' || CASE class WHEN 'a' THEN 'a' ELSE 'o' END || '??' END AS form FROM g"""
 )
 def possessive_forms(spark, d):
-    rows = [(p, n, c, k) for p in "123" for n in ("singular", "dual") for c in "ao?" for k in ("singular", "plural")]
-    t = spark.createDataFrame(rows, "person string, number string, class string, count string")
-    return t.withColumn("form", grammar.possessive_pronoun(F.col("person"), F.col("number"), F.col("class"), F.col("count")))
-
-
-_TABLES = {"noun_classes": sum(len(w) for t in (dims.A_CLASS, dims.O_CLASS) for w in t.values()), "particles": len(dims.TENSES) + len(dims.NEGATIVES), "pronouns": len(dims.PRONOUNS)}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({n} AS BIGINT))" for k, n in _TABLES.items()) + ") AS t(name, n)")
-def reference_tables(spark, d):
-    """Sizes of the reference tables that are made from the word lists."""
-    return spark.createDataFrame([(k, v.count()) for k, v in dims.lookups(spark).items() if k in _TABLES], "name string, n long")
+    """The forms that the orders' keys and states ask for."""
+    o = read(spark, d, "orders").select(
+        (1 + F.col("o_orderkey") % 3).cast("string").alias("person"),
+        F.when(F.col("o_orderkey") % 5 == 0, "dual").otherwise("singular").alias("number"),
+        F.when(F.col("o_orderstatus") == "F", "a").when(F.col("o_orderstatus") == "O", "o").otherwise("?").alias("class"),
+        F.when(F.col("o_custkey") % 2 == 0, "singular").otherwise("plural").alias("owned"),
+    )
+    t = o.groupBy("person", "number", "class", "owned").agg(F.count("*").alias("n"))
+    return t.withColumn("form", grammar.possessive_pronoun(F.col("person"), F.col("number"), F.col("class"), F.col("owned")))
 
 
 @query(
@@ -416,3 +416,134 @@ def clip_files(spark, d):
     clips.write.format("wavfiles").option("rate", 8000).mode("append").save(place)
     heads = spark.read.format("wavfiles").schema("audio_stem string, duration double, sample_rate int, channels int, bit_depth int, file_size long").load(place)
     return heads.withColumn("vec_id", F.col("audio_stem").cast("long")).drop("audio_stem")
+
+
+@query("""SELECT p_name AS word, p_brand AS meaning, p_type AS pos, CAST(p_size AS VARCHAR) AS added FROM part""")
+def vocabulary_export(spark, d):
+    """Vocabularies of correction bundles, one of up to a thousand parts each, exported as rows."""
+    one = F.struct(F.col("p_name").alias("word"), F.col("p_brand").alias("meaning"), F.col("p_type").alias("pos"), F.col("p_size").cast("string").alias("added"))
+    b = read(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 1000).alias("bundle")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), one))).alias("vocabulary"))
+    path = _one_file_each(b, "bundle", F.to_json(F.struct("vocabulary")), "vocabularies")
+    return io.vocabulary_rows(io.read_corrections(spark, path))
+
+
+_NAMED = [chr(c) for c in range(32, 0x180) if unicodedata.name(chr(c), "")]
+
+
+@query(
+    "WITH n(code, name) AS (VALUES " + ", ".join(f"({ord(c)}, '{unicodedata.name(c)}')" for c in _NAMED) + """),
+c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '') SELECT c.ch, name, count(*) AS n FROM c JOIN n ON n.code = unicode(c.ch) GROUP BY ALL"""
+)
+def character_names(spark, d):
+    """Names and counts of the Latin characters in the documents."""
+    counts = vocab.character_counts(read(spark, d, "documents")).filter(F.col("ch").isin(_NAMED))
+    return counts.select("ch", T.character_name(F.col("ch")).alias("name"), "n")
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / len(embedding), 9) AS confidence FROM embeddings")
+def frame_confidence(spark, d):
+    """Mean of the components' sizes, taken as the highest probabilities of frames."""
+    e = read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("probabilities"))
+    return ctc.mean_confidence(e).select("vec_id", F.round("confidence", 9).alias("confidence"))
+
+
+def _absent():
+    raise FileNotFoundError("no tuned model")
+
+
+def _counting():
+    """A stand-in transcriber: how many samples of a clip are positive."""
+    return lambda clips: [f"w{int((x > 0).sum())}" if (x > 0).any() else "" for x in clips]
+
+
+@query(
+    """WITH k AS (SELECT vec_id, embedding, unnest(range(CAST(ceil(len(embedding) / 24.0) AS BIGINT))) AS k FROM embeddings),
+c AS (SELECT vec_id, k, list_filter(embedding[k * 24 + 1 : least(k * 24 + 24, len(embedding))], lambda x: x > 0) AS p FROM k)
+SELECT vec_id, string_agg('w' || len(p), ' ' ORDER BY k) AS text FROM c WHERE len(p) > 0 GROUP BY vec_id"""
+)
+def chunked_transcripts(spark, d):
+    """Vectors as waveforms of eight samples a second, transcribed in chunks of three seconds; the tuned model is absent, so its base is used."""
+    a = read(spark, d, "embeddings").select(F.col("vec_id").alias("audio_stem"), F.col("embedding").alias("samples"))
+    t = asr.transcribe_chunked(a, asr.with_fallback(_absent, _counting), size=3.0, rate=8)
+    return t.withColumnRenamed("audio_stem", "vec_id")
+
+
+def _signs():
+    """A stand-in framer: a separator where a sample is low, a letter where it is high, else a blank."""
+    return lambda clips: [[("|" if v < -0.15 else "a" if v > 0.1 else "<pad>", float(v)) for v in x.astype(float)] for x in clips]
+
+
+@query(
+    """WITH f0 AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS frame FROM embeddings),
+f AS (SELECT vec_id, frame, CASE WHEN v < CAST(-0.15 AS DOUBLE) THEN '|' WHEN v > CAST(0.1 AS DOUBLE) THEN 'a' ELSE '<pad>' END AS token FROM f0),
+n AS (SELECT *, lag(token) OVER w IS DISTINCT FROM token AS new, sum(CASE WHEN token = '|' THEN 1 ELSE 0 END) OVER w AS part FROM f WINDOW w AS (PARTITION BY vec_id ORDER BY frame)),
+g AS (SELECT vec_id, part, string_agg(token, '' ORDER BY frame) AS word, min(frame) AS a, max(frame) AS b FROM n WHERE new AND token = 'a' GROUP BY vec_id, part)
+SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY part) - 1 AS word_idx, word, round_even(a * CAST(0.02 AS DOUBLE), 3) AS "start", round_even(b * CAST(0.02 AS DOUBLE), 3) AS "end" FROM g"""
+)
+def labelled_words(spark, d):
+    """Words of vectors as clips whose frames a stand-in model labels."""
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("audio_stem"), F.col("embedding").alias("samples"))
+    words = ctc.collapse_frames(asr.label_frames(e, _signs, "audio_stem"))
+    return words.select(F.col("audio_stem").alias("vec_id"), F.col("word_idx").cast("long").alias("word_idx"), "word", "start", "end")
+
+
+@query(
+    f"""WITH {CHUNKS_SQL}, w0 AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM ch),
+w1 AS (SELECT audio_stem, chunk_idx AS turn, "start" AS s, ("end" - "start") / len(ws) AS step, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM w0),
+w AS (SELECT audio_stem, turn, pos, word, round_even(s + pos * step, 3) AS "start", round_even(s + (pos + 1) * step, 3) AS "end" FROM w1),
+f AS (SELECT audio_stem, max("end") AS duration FROM ch GROUP BY audio_stem),
+k0 AS (SELECT audio_stem, duration, unnest(range(CAST(ceil(duration / 28.0) AS BIGINT))) AS chunk_idx FROM f),
+k AS (SELECT audio_stem, chunk_idx, chunk_idx * CAST(28.0 AS DOUBLE) AS a, least(chunk_idx * CAST(28.0 AS DOUBLE) + 30.0, duration) AS b FROM k0 WHERE least(chunk_idx * 28.0 + 30.0, duration) - chunk_idx * 28.0 >= 0.5),
+h AS (SELECT w.*, k.chunk_idx, k.a FROM w JOIN k ON k.audio_stem = w.audio_stem AND w."start" >= k.a AND w."start" < k.b),
+n AS (SELECT audio_stem, chunk_idx, lead(min(a)) OVER (PARTITION BY audio_stem ORDER BY chunk_idx) AS next FROM h GROUP BY audio_stem, chunk_idx)
+SELECT h.audio_stem, h.chunk_idx, turn, pos, word FROM h JOIN n ON n.audio_stem = h.audio_stem AND n.chunk_idx = h.chunk_idx WHERE next IS NULL OR h."end" < next"""
+)
+def stitched_words(spark, d):
+    """Words heard in chunks of thirty seconds that overlap by two, each kept once."""
+    c = chunk_table(spark, d)
+    words = chunks.chunk_words(c).withColumnRenamed("chunk_idx", "turn")
+    files = c.groupBy("audio_stem").agg(F.max("end").alias("duration"))
+    spans = chunks.fixed_chunks(files, 30.0, 2.0, 0.5).select("audio_stem", "chunk_idx", F.col("start").alias("chunk_start"), F.col("end").alias("chunk_end"))
+    heard = words.join(spans, "audio_stem").filter((F.col("start") >= F.col("chunk_start")) & (F.col("start") < F.col("chunk_end")))
+    return chunks.resolve_overlap(heard).select("audio_stem", F.col("chunk_idx").cast("long").alias("chunk_idx"), "turn", F.col("pos").cast("long").alias("pos"), "word")
+
+
+_PREDICTED = """x AS (SELECT conv_id, turn, text AS heard, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM conversations),
+q AS (SELECT conv_id, turn, heard, CASE WHEN turn % 2 = 0 THEN ws[1:len(ws) - 1] ELSE ws END AS ps, list_distinct(list_transform(ws, lambda w: lower(w))) AS a FROM x),
+r AS (SELECT *, array_to_string(ps, ' ') AS predicted, list_distinct(list_transform(ps, lambda w: lower(w))) AS b FROM q),
+j AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS j FROM r),
+acc AS (SELECT conv_id, turn, predicted AS corrected_text, 3 AS quality, 'auto' AS source FROM j WHERE trim(predicted) <> '' AND j > 0.1 AND j < 0.9 AND length(predicted) > 5 AND j >= 0.7),
+ex AS (SELECT conv_id, turn, text AS corrected_text, CAST(1 + conv_id % 5 AS INTEGER) AS quality, 'manual' AS source FROM conversations WHERE turn % 3 = 0)"""
+
+
+def _accepted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Corrections of every third turn, and predictions that lack the last word of every other turn and are close enough."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("heard"), T.words(F.col("text")).alias("ws"))
+    cut = F.when(F.col("turn") % 2 == 0, F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0)))).otherwise(F.col("ws"))
+    accepted = corrections.auto_accepted(c.withColumn("predicted", F.array_join(cut, " ")), "heard", "predicted")
+    existing = c.filter("turn % 3 = 0").select("conv_id", "turn", F.col("heard").alias("corrected_text"), (1 + F.col("conv_id") % 5).cast("int").alias("quality"), F.lit("manual").alias("source"))
+    return existing, accepted.select("conv_id", "turn", "corrected_text", "quality", "source", "auto_accepted")
+
+
+@query(
+    f"""WITH {_PREDICTED}, m AS (SELECT ex.*, CAST(NULL AS BOOLEAN) AS auto_accepted FROM ex WHERE NOT EXISTS (SELECT 1 FROM acc WHERE acc.conv_id = ex.conv_id AND acc.turn = ex.turn) UNION ALL SELECT *, true FROM acc)
+SELECT conv_id, turn, md5(corrected_text) AS text_md5, CAST(quality AS INTEGER) AS quality, source, coalesce(auto_accepted, false) AS auto FROM m"""
+)
+def accepted_corrections(spark, d):
+    """Predictions close to what was heard, merged into the corrections that there are."""
+    m = corrections.merge_corrections(*_accepted(spark, d), ["conv_id", "turn"])
+    return m.select("conv_id", "turn", F.md5("corrected_text").alias("text_md5"), "quality", "source", F.coalesce("auto_accepted", F.lit(False)).alias("auto"))
+
+
+@query(
+    r"""WITH t AS (SELECT conv_id, turn, text, CAST(length(text) AS DOUBLE) / 50 AS e, turn % 3 = 0 AS done FROM conversations),
+n AS (SELECT *, trim(regexp_replace(regexp_replace(replace(lower(text), '`', ''''), '[^a-z '']', ' ', 'g'), ' +', ' ', 'g')) AS norm, CASE WHEN done THEN CAST(1 + conv_id % 5 AS INTEGER) ELSE 2 END AS quality FROM t)
+SELECT conv_id, turn, md5(norm) AS text_md5, quality, CASE WHEN done THEN 'manual' ELSE 'mms_uncorrected' END AS source FROM n
+WHERE trim(text) <> '' AND e BETWEEN 1 AND 30 AND norm <> '' AND (NOT done OR quality >= 3)"""
+)
+def all_training_rows(spark, d):
+    """Training rows of corrected turns, and below them in quality those that nobody corrected."""
+    turns = read(spark, d, "conversations").select("conv_id", "turn", "text", F.lit(0.0).alias("start"), (F.length("text").cast("double") / 50).alias("end"))
+    fixed = turns.filter("turn % 3 = 0").withColumnRenamed("text", "corrected_text").withColumns({"quality": (1 + F.col("conv_id") % 5).cast("int"), "source": F.lit("manual")})
+    rows = corrections.with_uncorrected(corrections.training_rows(fixed), turns, fixed, ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", F.md5("text").alias("text_md5"), "quality", "source")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from speechmart import dims
 from speechmart.functions import grammar, metrics
 from speechmart.functions import text as T
 from speechmart.operators import scoring, vocab
-from speechmart.queries.adapters import ACCENTS, DICTIONARY, MACRON_TARGET, macron, read
+from speechmart.queries.adapters import ACCENTS, DICTIONARY, MACRON_TARGET, macron, read, with_next_turn
 
 QUERIES, SQL = {}, {}
 _M = f"translate(text, '{ACCENTS}', '{MACRON_TARGET}')"
@@ -221,35 +223,82 @@ def pronouns(spark, d):
     return hits.groupBy("pronoun", "person", "number").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
+#: Pronouns that are dealt to words by their length; the last one never changes.
+_DEALT = [*dims.ALLITERATION, "Tena", "matou"]
+
+
+def _documents_words(spark: SparkSession, d: str) -> DataFrame:
+    """word, n of all documents."""
+    w = read(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))).alias("word"))
+    return w.groupBy("word").agg(F.count("*").alias("n"))
+
+
 @query(
-    """WITH p(prev, pron) AS (VALUES ('seai', 'toku'), ('fale', 'toku'), ('SE', 'Tena'), ('se', 'matou'))
-SELECT prev, pron, CASE WHEN contains(lower(prev), 's') AND lower(pron) IN ('toku','taku','tou','tau','tona','tena') THEN 's' || substr(lower(pron), 2) ELSE pron END AS form FROM p"""
+    f"""WITH {_TOKENS_SQL}, p AS (SELECT word AS prev, list_extract({_DEALT}, CAST(1 + length(word) % {len(_DEALT)} AS BIGINT)) AS pron, count(*) AS n FROM w GROUP BY word)
+SELECT prev, pron, CASE WHEN contains(lower(prev), 's') AND lower(pron) IN ('toku','taku','tou','tau','tona','tena') THEN 's' || substr(lower(pron), 2) ELSE pron END AS form, n FROM p"""
 )
 def alliteration(spark, d):
-    p = spark.createDataFrame([("seai", "toku"), ("fale", "toku"), ("SE", "Tena"), ("se", "matou")], "prev string, pron string")
-    return p.withColumn("form", grammar.alliterate(F.col("prev"), F.col("pron")))
+    """Every word of the documents before a pronoun that its length chooses."""
+    pron = F.element_at(F.array(*map(F.lit, _DEALT)), 1 + F.length("word") % len(_DEALT))
+    p = _documents_words(spark, d).select(F.col("word").alias("prev"), pron.alias("pron"), "n")
+    return p.select("prev", "pron", grammar.alliterate(F.col("prev"), F.col("pron")).alias("form"), "n")
+
+
+_TENSE_NAMES = [*(t for t, _, _ in dims.TENSES), "never"]
 
 
 @query(
-    f"""WITH t(tense, particle) AS (VALUES {_values([(t, p) for t, p, _ in dims.TENSES])}), s(stem) AS (VALUES ('o tuku'), ('fano'))
-SELECT stem, tense, particle || ' ' || regexp_replace(stem, '^o ', '') AS form FROM t, s
-UNION ALL SELECT stem, 'never', 'Unknown tense ''never''. Available: present, future, past, future_conditional, consequential, perfect_conditional, precautionary' FROM s"""
+    f"""WITH t(tense, particle) AS (VALUES {_values([(t, p) for t, p, _ in dims.TENSES])}), {_TOKENS_SQL},
+s AS (SELECT CASE WHEN length(word) % 2 = 1 THEN 'o ' ELSE '' END || word AS stem, list_extract({_TENSE_NAMES}, CAST(1 + length(word) % {len(_TENSE_NAMES)} AS BIGINT)) AS tense, count(*) AS n FROM w GROUP BY word)
+SELECT stem, s.tense, n, coalesce(particle || ' ' || regexp_replace(stem, '^o ', ''), 'Unknown tense ''never''. Available: present, future, past, future_conditional, consequential, perfect_conditional, precautionary') AS form
+FROM s LEFT JOIN t ON t.tense = s.tense"""
 )
 def conjugations(spark, d):
-    rows = [(s, t) for s in ("o tuku", "fano") for t in [*(t for t, _, _ in dims.TENSES), "never"]]
-    p = spark.createDataFrame(rows, "stem string, tense string")
-    return p.withColumn("form", grammar.conjugate(F.col("stem"), F.col("tense")))
+    """Every word of the documents as a verb, every other with the mark of the infinitive, in a tense that its length chooses."""
+    w = F.col("word")
+    stem = F.when(F.length(w) % 2 == 1, F.concat(F.lit("o "), w)).otherwise(w)
+    s = _documents_words(spark, d).select(stem.alias("stem"), F.element_at(F.array(*map(F.lit, _TENSE_NAMES)), 1 + F.length(w) % len(_TENSE_NAMES)).alias("tense"), "n")
+    return s.select("stem", "tense", "n", grammar.conjugate(F.col("stem"), F.col("tense")).alias("form"))
 
 
 @query(
-    f"""WITH c(n, w) AS (VALUES {", ".join(f"({k}, '{v}')" for k, v in dims.CARDINALS.items())}), r AS (SELECT unnest(range(0, 25)) AS n)
-SELECT CAST(r.n AS INTEGER) AS n, 'toko' || coalesce(c.w, CAST(r.n AS VARCHAR)) AS form FROM r LEFT JOIN c ON c.n = r.n"""
+    f"""WITH c(n, w) AS (VALUES {", ".join(f"({k}, '{v}')" for k, v in dims.CARDINALS.items())}), r AS (SELECT o_custkey % 1001 AS n, count(*) AS orders FROM orders GROUP BY 1)
+SELECT CAST(r.n AS INTEGER) AS n, orders, 'toko' || coalesce(c.w, CAST(r.n AS VARCHAR)) AS form FROM r LEFT JOIN c ON c.n = r.n"""
 )
 def people_numbers(spark, d):
-    n = spark.range(25).select(F.col("id").cast("int").alias("n"))
+    """Numbers of people after the customers of all orders."""
+    n = read(spark, d, "orders").groupBy((F.col("o_custkey") % 1001).cast("int").alias("n")).agg(F.count("*").alias("orders"))
     return n.withColumn("form", grammar.number_for_people(F.col("n")))
 
 
+_LOOKUPS = [
+    *(("particles", p, "|".join(dims.PARTICLE_RECORDS[p])) for _, p, _ in (*dims.TENSES, *dims.NEGATIVES)),
+    *(("pronouns", w, g) for w, _, _, g in dims.PRONOUNS),
+    *(("articles", w, g) for w, _, _, g in dims.ARTICLES),
+    *(("exclamations", w, m) for w, m in dims.EXCLAMATIONS),
+    *(("siblings", w, m) for w, m in dims.SIBLINGS),
+]
+
+
+@query(
+    "WITH " + _TOKENS_SQL + ", d(lookup, entry, detail) AS (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in _LOOKUPS) + """)
+SELECT lookup, entry, detail, count(w.word) AS n FROM d LEFT JOIN w ON w.word = d.entry GROUP BY ALL"""
+)
+def reference_tables(spark, d):
+    """The entries of the reference tables, and how often they stand in the documents."""
+    t = dims.lookups(spark)
+    columns = {
+        "particles": ("particle", F.concat_ws("|", "name", "example")),
+        "pronouns": ("pronoun", F.col("gloss")),
+        "articles": ("article", F.col("gloss")),
+        "exclamations": ("word", F.col("meaning")),
+        "siblings": ("term", F.col("meaning")),
+    }
+    parts = [t[name].select(F.lit(name).alias("lookup"), F.col(entry).alias("word"), detail.alias("detail")) for name, (entry, detail) in columns.items()]
+    found = functools.reduce(DataFrame.unionByName, parts).join(_documents_words(spark, d), "word", "left")
+    return found.select("lookup", F.col("word").alias("entry"), "detail", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query(
     f"""WITH c AS (SELECT unnest(string_split(lower(text), '')) AS ch FROM documents WHERE text <> '')
 SELECT ch, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, ch) AS rank, regexp_matches(ch, '^[a-zāēīōū '']$') AS standard FROM c GROUP BY ch"""
@@ -273,7 +322,7 @@ _FOLD = ("äöüßéèêçñíóáúàëïîôûâÄÖÜÉÈÊÇÑÍÓ", "aousee
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations").select("conv_id", "turn", F.translate(F.lower("text"), *_FOLD).alias("ref"))
     c = c.select("conv_id", "turn", F.trim(F.regexp_replace("ref", "[^a-z ]+", " ")).alias("ref"))
-    return c.withColumn("hyp", F.lead("ref").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("hyp is not null")
+    return with_next_turn(c, "ref", "hyp").filter("hyp is not null")
 
 
 #: Word distance row by row: one list per reference word, folded from the left.
@@ -320,7 +369,7 @@ q AS (SELECT *, lead(s4) OVER (PARTITION BY conv_id ORDER BY turn) AS h4 FROM n)
 )
 def dual_ortho_eval(spark, d):
     c = read(spark, d, "conversations").select("conv_id", "turn", macron(F.col("text")).alias("ref"))
-    c = c.withColumn("hyp", F.lead("ref").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("hyp is not null")
+    c = with_next_turn(c, "ref", "hyp").filter("hyp is not null")
     e = metrics.dual_orthography(F.col("hyp"), F.col("ref"), F.col("ref"))
     return c.select("conv_id", "turn", F.round(e["cer_system6"], 6).alias("cer_system6"))
 
@@ -347,7 +396,7 @@ SELECT conv_id, turn, round(j, 6) AS jaccard, trim(nxt) <> '' AND j > 0.1 AND j
 def jaccard_improve(spark, d):
     from speechmart.operators.corrections import is_improvement
 
-    c = read(spark, d, "conversations").withColumn("nxt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("nxt is not null")
+    c = with_next_turn(read(spark, d, "conversations").select("conv_id", "turn", "text"), "text", "nxt").filter("nxt is not null")
     a, b = F.col("text"), F.col("nxt")
     return c.select("conv_id", "turn", F.round(T.jaccard(a, b), 6).alias("jaccard"), is_improvement(a, b).alias("improved"))
 
