@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,33 +125,49 @@ def budget_words(regions: DataFrame, wps: Column, least: int = 3, key: str = "au
     return running_total(regions.withColumn("n_words", n), [key], ["start", "end"], F.col("n_words"), "first_word")
 
 
-def assign_budget(regions: DataFrame, transcript: Column, wps: Column, least: int = 3, key: str = "audio_path") -> DataFrame:
-    """``budget_words`` with the words themselves; regions left with fewer than ``least`` are dropped."""
+def assign_budget(regions: DataFrame, transcript: DataFrame, wps: Column, source: str, least: int = 3, key: str = "audio_path") -> DataFrame:
+    """``budget_words`` with ``text``; regions left with fewer than ``least`` words are dropped.
+
+    ``regions`` names the transcript of each region in ``source``; ``transcript`` has source, word_idx and
+    word. Every region brings the words of its own range, so no transcript is ever held whole.
+    """
     b = budget_words(regions, wps, least, key)
-    ws = F.slice(transcript, (F.col("first_word") + 1).cast("int"), F.col("n_words").cast("int"))
-    return b.withColumn("ws", ws).filter(F.size("ws") >= least).withColumn("text", F.array_join("ws", " ")).drop("ws")
+    asked = b.withColumn("word_idx", F.explode(F.sequence(F.col("first_word"), F.col("first_word") + F.col("n_words") - 1)))
+    kept = [c for c in b.columns]
+    own = asked.join(transcript.select(source, "word_idx", "word"), [source, "word_idx"])
+    words_of = F.sort_array(F.collect_list(F.struct("word_idx", "word")))
+    g = own.groupBy(*[F.col(f"`{c}`") for c in kept]).agg(words_of.alias("_ws")).filter(F.size("_ws") >= least)
+    return g.withColumn("text", F.array_join(F.transform("_ws", lambda w: w["word"]), " ")).drop("_ws")
 
 
 def bucket_paragraphs(paragraphs: DataFrame, files: DataFrame, session: str = "session") -> DataFrame:
     """Paragraphs dealt to files in order until each file has its expected words: session, audio, para_idx.
 
-    ``files`` has session, file_idx, audio and expected_words. The pointer carries over from file to
-    file while the count restarts, so a session is folded in order.
+    ``files`` has session, file_idx, audio and expected_words. The pointer carries over from file to file
+    while the count restarts, so what a file gets depends on all files before it. A session's paragraphs
+    pass by in order as word counts alone, behind its files; only the list of files is held.
     """
     k, a = paragraphs.schema[session].dataType.simpleString(), files.schema["audio"].dataType.simpleString()
-
-    def deal(key: tuple, p: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        p = p.reindex(columns=["para_idx", "n_words"]).sort_values("para_idx")
-        f = f.reindex(columns=["audio", "file_idx", "expected_words"]).sort_values("file_idx")
-        idx, n, at, out = p["para_idx"].tolist(), p["n_words"].tolist(), 0, []
-        for audio, want in zip(f["audio"], f["expected_words"], strict=True):
-            got = 0
-            while at < len(idx) and got < want:
-                out.append((key[0], audio, idx[at]))
-                got += n[at]
-                at += 1
-        return pd.DataFrame(out, columns=[session, "audio", "para_idx"])
-
-    p = paragraphs.select(session, F.col("para_idx").cast("long").alias("para_idx"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    f = files.select(session, "file_idx", "audio", F.col("expected_words").cast("double").alias("expected_words"))
-    return p.groupBy(session).cogroup(fresh(f).groupBy(session)).applyInPandas(deal, f"`{session}` {k}, audio {a}, para_idx long")
+    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{session}`").cast("string")), F.lit("-")).alias("_f")
+    p = paragraphs.select(key, F.col(f"`{session}`").alias("_session"), F.lit(1).alias("_kind"), F.col("para_idx").cast("long").alias("_at"), F.size(words(F.col("text"))).cast("double").alias("_n"), F.lit(None).cast(a).alias("_audio"))
+    f = fresh(files).select(key, F.col(f"`{session}`").alias("_session"), F.lit(0).alias("_kind"), F.col("file_idx").cast("long").alias("_at"), F.col("expected_words").cast("double").alias("_n"), F.col("audio").alias("_audio"))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, wanted, file, got = None, [], 0, 0.0
+        for pdf in batches:
+            out = []
+            for key_, session_, kind, place, n, audio in zip(*(pdf[c].tolist() for c in ("_f", "_session", "_kind", "_at", "_n", "_audio")), strict=True):
+                if key_ != at:
+                    at, wanted, file, got = key_, [], 0, 0.0
+                if not kind:
+                    wanted.append((audio, n))
+                    continue
+                while file < len(wanted) and not got < wanted[file][1]:
+                    file, got = file + 1, 0.0
+                if file < len(wanted):
+                    out.append((session_, wanted[file][0], place))
+                    got += n
+            yield pd.DataFrame(out, columns=[session, "audio", "para_idx"])
+
+    along = p.unionByName(f).repartition("_f").sortWithinPartitions("_f", "_kind", "_at")
+    return along.mapInPandas(deal, f"`{session}` {k}, audio {a}, para_idx long")

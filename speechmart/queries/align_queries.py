@@ -509,3 +509,17 @@ def split_runs(spark, d):
     words = timed_words(spark, d).withColumn("block", F.col("audio_path") % 10)
     placed = ranking.positions(words, ["block"], ["audio_path", "start", "word"], "pos")
     return segments.split_runs(placed, max_gap=3600.0, max_seconds=14400.0)
+
+
+@query(
+    f"""WITH {_TW}, {EVENTS_SQL}, r AS (SELECT audio_path, 'src' || audio_path % 20 AS session, "start", CAST(greatest(3, floor((2 + "start" % 7) * 2.5)) AS BIGINT) AS n_words FROM ev),
+b AS (SELECT *, coalesce(sum(n_words) OVER (PARTITION BY audio_path ORDER BY "start" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_word FROM r),
+x AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY doc_id, p) - 1 AS word_idx, w AS word FROM tw1)
+SELECT audio_path, "start", count(*) AS words, md5(string_agg(word, ' ' ORDER BY word_idx)) AS text_md5 FROM b JOIN x ON x.session = b.session AND x.word_idx >= first_word AND x.word_idx < first_word + n_words GROUP BY ALL HAVING count(*) >= 3"""
+)
+def budget_texts(spark, d):
+    """Events as speech regions, each with the next words of its session's transcript."""
+    w = timed_words(spark, d).select("audio_path", "start", (F.col("start") + F.round(2 + F.col("start") % 7, 6)).alias("end"))
+    w = w.withColumn("session", F.concat(F.lit("src"), (F.col("audio_path") % 20).cast("string")))
+    t = segments.assign_budget(w, _transcript(spark, d), F.lit(2.5), "session")
+    return t.select("audio_path", "start", F.size(T.words(F.col("text"))).cast("long").alias("words"), F.md5("text").alias("text_md5"))
