@@ -216,13 +216,29 @@ def test_sources(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    src = tmp_path / "in"
-    pdf = pd.DataFrame({"audio_path": ["a"] * 6, "start": [0.0, 1.0, 2.0, 9.0, 9.5, 10.0], "end": [0.9, 1.9, 2.9, 9.4, 9.9, 10.5], "word": list("uvwxyz")})
-    spark.createDataFrame(pdf).coalesce(1).write.parquet(str(src))
-    stream = streams.new_files(spark, str(src), spark.read.parquet(str(src)).schema)
-    q = streams.utterance_stream(stream, idle_ms=3_600_000).writeStream.format("memory").queryName("utt").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert [r["text"] for r in spark.table("utt").collect()] == ["u v w"]
+    """Words in batches of any order give the utterances of the batch fold."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream_queries.STATE_STORE)
+    rng = random.Random(3)
+    rows, at = [], 1000.0
+    for k in range(60):
+        at += rng.choice([0.25, 0.5, 2.0])
+        rows.append((rng.choice("ab"), at, at + 0.25, f"w{k}", 0.0 if k % 13 else -9.0))
+    schema = "audio_path string, start double, end double, word string, score double"
+    end = (None, None, None, None, None)
+    want = sorted((r["audio_path"], r["text"], r["start"], r["end"], r["word_count"]) for r in segments.utterances(spark.createDataFrame(rows, schema)).collect())
+    for turn in range(3):
+        rng.shuffle(rows)
+        src = tmp_path / f"in{turn}"
+        for n, part in enumerate([rows[:7], rows[7:40], rows[40:], [end]]):
+            df = spark.createDataFrame(part, schema).withColumn("ts", F.coalesce(F.timestamp_micros((F.col("start") * 1_000_000).cast("long")), F.lit("2999-01-01").cast("timestamp")))
+            seen = set(src.glob("part-*"))
+            df.coalesce(1).write.mode("append").parquet(str(src))
+            for f in set(src.glob("part-*")) - seen:
+                os.utime(f, (1_700_000_000 + 60 * n,) * 2)
+        stream = streams.new_files(spark, str(src), spark.read.parquet(str(src)).schema, 1)
+        q = streams.utterance_stream(stream, late="1 hour").writeStream.format("memory").queryName(f"utt{turn}").option("checkpointLocation", str(tmp_path / f"cp{turn}")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert sorted(tuple(r) for r in spark.table(f"utt{turn}").collect()) == want and len(want) > 3
     ev = spark.createDataFrame([(1, "2024-01-01 00:00:01", 1.0), (1, "2024-01-01 00:00:02", 2.0), (1, "2024-01-01 00:00:12", 4.0)], "user_id int, t string, value double").withColumn("ts", F.to_timestamp("t"))
     assert sorted(r["n"] for r in streams.regrid_stream(ev, "user_id").collect()) == [1, 2]
     assert sorted(r["n"] for r in streams.session_stream(ev, "user_id", gap="5 seconds").collect()) == [1, 2]
