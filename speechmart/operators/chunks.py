@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechmart.functions.text import words
+from speechmart.functions.text import WHITE, words
 from speechmart.operators.folds import limited_groups
 from speechmart.operators.ranking import numbered_runs, running_total
 
-#: What Python's ``str.strip`` takes away.
-WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-
 
 def chunk_words(chunks: DataFrame, stem: str = "audio_stem", rounded: bool = True) -> DataFrame:
     """Words spread evenly over their chunk: stem, chunk_idx, pos, word, start, end."""

@@ -17,7 +17,7 @@ from speechmart import dims
 from speechmart.functions import grammar, metrics
 from speechmart.functions import text as T
 from speechmart.operators import anchors, asr, chunks, corrections, ctc, quality, scoring, tiers, vad, vocab
-from speechmart.queries.adapters import CHUNKS_SQL, SEGMENTS_SQL, read, segments
+from speechmart.queries.adapters import ACCENTS, CHUNKS_SQL, MACRON_TARGET, SEGMENTS_SQL, macron, read, segments
 from speechmart.queries.adapters import chunks as chunk_table
 from speechmart.sources import audio, io
 from speechmart.sources.shared import shared_dir
@@ -547,3 +547,19 @@ def all_training_rows(spark, d):
     fixed = turns.filter("turn % 3 = 0").withColumnRenamed("text", "corrected_text").withColumns({"quality": (1 + F.col("conv_id") % 5).cast("int"), "source": F.lit("manual")})
     rows = corrections.with_uncorrected(corrections.training_rows(fixed), turns, fixed, ["conv_id", "turn"])
     return rows.select("conv_id", "turn", F.md5("text").alias("text_md5"), "quality", "source")
+
+
+@query(
+    f"""WITH b AS (SELECT item_id, trim(translate(text, '{ACCENTS}', '{MACRON_TARGET}')) AS t FROM benchmark)
+SELECT item_id, md5(t) AS system4_md5, md5(CASE WHEN item_id % 3 = 0 THEN 'own' ELSE translate(t, '{dims.MACRONS}', '{dims.PLAIN}') END) AS system6_md5 FROM b"""
+)
+def benchmark_texts(spark, d):
+    """Reference texts of all items: of every second one in its metadata, of every sixth with a plain form of its own, else in a plain file."""
+    b = read(spark, d, "benchmark").select("item_id", macron(F.col("text")).alias("t"))
+    own = F.when(F.col("item_id") % 3 == 0, "own")
+    told = (F.col("item_id") % 2 == 0) | (F.col("item_id") % 3 == 0)
+    record = F.to_json(F.struct(F.struct(F.trim("t").alias("system4"), own.alias("system6")).alias("reference_text")))
+    metadata = _one_file_each(b.filter(told), "item_id", record, "samples")
+    reference = _one_file_each(b.filter(~told), "item_id", F.col("t"), "references")
+    got = io.benchmark_samples(spark, metadata, reference, "item_id")
+    return got.select(F.col("item_id").cast("long").alias("item_id"), F.md5("system4").alias("system4_md5"), F.md5("system6").alias("system6_md5"))

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechmart.functions.text import session_of, to_plain
+from speechmart.functions.text import WHITE, session_of, to_plain
 from speechmart.sources.audio import decode_wav, resample, wav_bytes
 
 CHUNK = "text string, start double, end double, source string"
@@ -190,11 +190,23 @@ def benchmark_sample(spark: SparkSession, metadata_path: str, reference_path: st
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         meta = spark.createDataFrame([], schema)
-    whole = spark.read.option("wholetext", True).text(reference_path).select(F.trim("value").alias("plain"))
+    whole = spark.read.text(reference_path, wholetext=True).select(F.btrim("value", F.lit(WHITE)).alias("plain"))
     both = whole.join(meta.limit(1), F.lit(True), "left")
     return both.select(F.coalesce("reference_text.system4", "plain").alias("system4"), F.coalesce("reference_text.system6", to_plain(F.col("plain"))).alias("system6"))
 
 
+def benchmark_samples(spark: SparkSession, metadata_path: str, reference_path: str, key: str) -> DataFrame:
+    """key, system4, system6 of many samples: the reference texts of their metadata, else their plain reference files.
+
+    Both paths hold a folder per sample, named ``key=...``.
+    """
+    plain = spark.read.text(reference_path, wholetext=True).select(key, F.btrim("value", F.lit(WHITE)).alias("plain"))
+    meta = spark.read.schema("reference_text struct<system4:string,system6:string>").option("multiLine", True).json(metadata_path)
+    both = plain.join(meta, key, "full")
+    four = F.coalesce("reference_text.system4", "plain")
+    return both.select(key, four.alias("system4"), F.coalesce("reference_text.system6", to_plain(four)).alias("system6"))
+
+
 def benchmark_bundle(results: DataFrame, benchmark: str) -> DataFrame:
     """One row (value) of JSON: the benchmark's name and its results in order of model."""
     cols = ["model", "transcription", "wer_system4", "wer_system6", "cer_system4", "cer_system6"]

@@ -11,6 +11,7 @@ import pytest
 
 from speechmart.operators import dtw
 from speechmart.queries import catalog
+from tests.test_folds import whole_table
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -56,6 +57,8 @@ def test_queries_without_sql(spark):
     for k, (heard, written) in pairs.items():
         path, score = dtw.warp(heard, written)
         assert got[k][1] == len(path) and got[k][0] == pytest.approx(score, abs=1e-6)
+        if len(heard) * len(written) < 2500:
+            assert path == whole_table(heard, written)
     cut = defaultdict(list)
     for r in catalog.queries()["word_aligned_segments"](spark, SF_DIR).collect():
         cut[r["pair_id"]].append((r["piece"], r["text"]))
