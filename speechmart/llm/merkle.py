@@ -133,7 +133,8 @@ def manifest(rows: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "d
     leaf = digest(*[encoded(at[c]) for c in fields])
     other = F.when(tampered, digest(*[encoded(shifted[c]) for c in fields])).otherwise(leaf)
     leaves = pick(rows, fields).select(at[group_col].alias("group"), at[id_col].alias("id"), leaf.alias("node"), other.alias("seen"))
-    placed = running_total(leaves, ["group"], ["id", "node"], F.lit(1), "pos")
+    # the digests are made once, and only they are dealt to ranges
+    placed = running_total(materialize(leaves, "merkle-digests"), ["group"], ["id", "node"], F.lit(1), "pos")
     placed = materialize(placed, "merkle-leaves")
     passes, tops = _climb(placed, _counted(placed), ["id", "seen"], "merkle-leaves")
     tops = materialize(tops, "merkle-tops")

@@ -17,6 +17,7 @@ are not read (``redact`` passes them on).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,10 @@ WEAK_ID = r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,24}(?![A-Z
 WEAK_SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 ENDPOINT = r"(?:https?|s3|ftp|ssh|amqps?|redis|mongodb|mysql|postgres(?:ql)?)://[A-Za-z0-9._~:/?#@%&=+-]+"
 
+#: What a text holds if it holds a match at all, where that is found faster: strings, in any case or as they are, or a shorter pattern.
+NAMES, ANCHORS = ("password", "passwd", "secret", "token", "api"), {"access": "AKIA", "endpoint": "://"}
+SIGNS = {"id": r"(?<![A-Za-z0-9])[A-Z0-9]{16}", "secret": r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}"}
+
 ORDER = {"assign": 1, "access": 2, "hex": 3, "id": 4, "secret": 5, "endpoint": 6}
 SECRETS = ("secret", "assign", "hex")
 SPAN = "array<struct<start:int,ord:int,kind:string,end:int>>"
@@ -87,9 +92,18 @@ def parts_of(text: Column) -> tuple[Column, Column]:
     """Base spans and weak spans of a text without nulls."""
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "id": WEAK_ID, "secret": WEAK_SECRET, "endpoint": ENDPOINT}
 
+    def may_hold(kind: str) -> Column:
+        """False for most texts without a match; true for all with one."""
+        if kind == "assign":
+            return _bind(F.lower(text), lambda low: functools.reduce(Column.__or__, [F.contains(low, F.lit(n)) for n in NAMES]))
+        if kind in ANCHORS:
+            return F.contains(text, F.lit(ANCHORS[kind]))
+        return text.rlike(SIGNS[kind]) if kind in SIGNS else F.lit(True)
+
     def spans_of(kind: str) -> Column:
         p = patterns[kind]
-        return _bind(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m: _located(text, m, p, kind, kind == "assign"))
+        found = _bind(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m: _located(text, m, p, kind, kind == "assign"))
+        return F.when(may_hold(kind), found).otherwise(F.array().cast(SPAN))
 
     spans = {k: spans_of(k) for k in patterns}
     return F.array_sort(F.concat(spans["assign"], spans["access"], spans["hex"])), F.concat(spans["id"], spans["secret"], spans["endpoint"])
