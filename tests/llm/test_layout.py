@@ -7,9 +7,10 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from speechmart.llm import exact_dedup, packing, sharding
+from speechmart.llm import common, exact_dedup, packing, sharding
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -219,3 +220,18 @@ def test_rows_equal_in_id_and_text_keep_their_greatest_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _sha int, extra map<string,int>").repartition(3)
     got = sorted(((r["doc_id"], r["text"], r["_sha"]) for r in exact_dedup.keep_first_texts(df).collect()), key=str)
     assert got == [(0, "c", 9), (1, "a", 7), (None, "b", 2)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return default if key == "spark.checkpoint.dir" else "/machine/warehouse"
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        common.shared_dir(Session())
+    Session.sparkContext.master = "local[2]"
+    assert common.shared_dir(Session()) == "/machine/warehouse/scratch-tables"
