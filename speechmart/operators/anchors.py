@@ -13,6 +13,7 @@ from speechmart.dims import ANCHOR_EQUIVALENTS
 from speechmart.functions.grammar import located_words
 from speechmart.functions.text import literal_map
 from speechmart.operators.ranking import fresh, numbered_runs, positions
+from speechmart.sources.shared import materialize
 
 ANCHOR = "word string, time double, source string, confidence double, chunk_text string"
 
@@ -142,6 +143,7 @@ def merge_anchors(left: DataFrame, right: DataFrame, tolerance: float = 2.0, equ
     need = [stem, *order, "word", "time", "chunk_text"]
     both = fresh(left.select(*need)).withColumn("_side", F.lit(0)).unionByName(fresh(right.select(*need)).withColumn("_side", F.lit(1)))
     keyed = both.withColumn("_f", F.coalesce(F.concat(F.lit("="), F.col(f"`{stem}`").cast("string")), F.lit("-"))).withColumn("_class", word_class)
+    keyed = materialize(keyed, "hits")  # else the hits would be found again to choose the ranges
     islands = numbered_runs(keyed, ["_f", "_class"], ["time"], ["time"], lambda own, before: own("time") - before("time") > tolerance, "_island")
     names = ["_f", "_class", "_island"]
     out = [stem, "word", "time", "source", "confidence", "chunk_text", "_late", *order]
@@ -176,7 +178,7 @@ def merge_anchors(left: DataFrame, right: DataFrame, tolerance: float = 2.0, equ
 
     placed = islands.repartition(*names).sortWithinPartitions(*names, "_side", *order)
     types = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in order)
-    merged = placed.mapInPandas(run, f"`{stem}` {kind}, {ANCHOR}, _late int, {types}")
+    merged = materialize(placed.mapInPandas(run, f"`{stem}` {kind}, {ANCHOR}, _late int, {types}"), "merged")
     numbered = positions(merged, [stem], ["time", "_late", *order], "anchor_idx")
     return numbered.select(stem, F.col("anchor_idx").cast("int").alias("anchor_idx"), "word", "time", "source", "confidence", "chunk_text")
 

@@ -49,11 +49,15 @@ def _lengths(texts: DataFrame, text: str) -> list[int]:
     return sorted(r[0] for r in texts.select(F.length(text)).distinct().collect() if r[0] is not None)
 
 
-def _pieces(text: Column, lengths: list[int]) -> Column:
-    """The distinct substrings of the given lengths."""
-    fits = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(text))
-    starts = lambda n: F.sequence(F.lit(1), F.length(text) - n + 1)
-    return F.array_distinct(F.flatten(F.transform(fits, lambda n: F.transform(starts(n), lambda i: F.substring(text, i, n)))))
+def _pieces(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+    """The rows once for every substring of ``key`` of the given lengths, which takes its place.
+
+    Lengths and starts become rows one after the other, so no array grows with the square of a name.
+    """
+    fits = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(key))
+    sized = rows.withColumn("_n", F.explode(fits))
+    placed = sized.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(key) - F.col("_n") + 1)))
+    return placed.withColumn(key, F.substring(F.col(key), F.col("_at"), F.col("_n"))).drop("_n", "_at")
 
 
 def fuzzy_name_join(names: DataFrame, others: DataFrame, name: str, other: str, max_other_names: int | None = None) -> DataFrame:
@@ -69,8 +73,8 @@ def fuzzy_name_join(names: DataFrame, others: DataFrame, name: str, other: str,
     a = names.select(F.col(name).alias("_name"), folded_name(F.col(name)).alias("_key")).filter("_key is not null").distinct()
     b = others.select(F.col(other).alias("_other"), folded_name(F.col(other)).alias("_key")).filter("_key is not null")
     b = b.groupBy("_key").agg(F.min("_other").alias("_other"))
-    held = a.select("_name", F.explode(_pieces(F.col("_key"), _lengths(b, "_key"))).alias("_key")).join(b, "_key")
-    holding = b.select("_other", F.explode(_pieces(F.col("_key"), _lengths(a, "_key"))).alias("_key")).groupBy("_key").agg(F.min("_other").alias("_other"))
+    held = _pieces(a, "_key", _lengths(b, "_key")).join(b, "_key")
+    holding = _pieces(b, "_key", _lengths(a, "_key")).groupBy("_key").agg(F.min("_other").alias("_other"))
     pairs = held.select("_name", "_other").unionAll(a.join(holding, "_key").select("_name", "_other"))
     return pairs.groupBy(F.col("_name").alias(name)).agg(F.min("_other").alias(other))
 

@@ -401,7 +401,7 @@ def skip_long(spark, d):
 SELECT md5('{"benchmark":"b","results":[' || string_agg(j, ',' ORDER BY m) || ']}') AS bundle_md5, md5(string_agg(printf('%-30s %8.4f %8.4f %8.4f %8.4f', m, 0.5, 0.25, 0.125, 0.0), '|' ORDER BY m)) AS lines_md5 FROM r"""
 )
 def benchmark_results(spark, d):
-    """Results as one JSON bundle and as table lines."""
+    """Results as one JSON bundle and as table lines: a report, which is one row however many items there are."""
     r = read(spark, d, "benchmark").select(F.concat(F.lit("m"), F.col("item_id").cast("string")).alias("model"), F.lit("t").alias("transcription"), *[F.lit(v).alias(c) for c, v in (("wer_system4", 0.5), ("wer_system6", 0.25), ("cer_system4", 0.125), ("cer_system6", 0.0))])
     lines = io.result_lines(r).agg(F.md5(F.array_join(F.sort_array(F.collect_list("value")), "|")).alias("lines_md5"))
     return io.benchmark_bundle(r, "b").select(F.md5("value").alias("bundle_md5")).join(lines, F.lit(True))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechmart.functions.text import WHITE, session_of, to_plain
+from speechmart.operators.ranking import positions
 from speechmart.sources.audio import decode_wav, resample, wav_bytes
 
 CHUNK = "text string, start double, end double, source string"
@@ -36,8 +37,9 @@ def read_rows(spark: SparkSession, path: str, schema: str, stem: Column | None =
 def read_chunks(spark: SparkSession, path: str, stem: Column | None = None) -> DataFrame:
     """Transcript chunks with chunk_idx by start; a missing end is ten seconds on."""
     rows = read_rows(spark, path, CHUNK, stem).withColumn("end", F.coalesce("end", F.col("start") + 10))
-    all_ = rows.groupBy("audio_stem").agg(F.sort_array(F.collect_list(F.struct("start", "end", "text", "source"))).alias("cs"))
-    return all_.select("audio_stem", F.posexplode("cs").alias("chunk_idx", "c")).select("audio_stem", "chunk_idx", "c.*")
+    columns = ["start", "end", "text", "source"]
+    placed = positions(rows.select("audio_stem", *columns), ["audio_stem"], columns, "chunk_idx")
+    return placed.select("audio_stem", F.col("chunk_idx").cast("int").alias("chunk_idx"), *columns)
 
 
 def read_nested(spark: SparkSession, path: str, stem: Column | None = None) -> DataFrame:
