@@ -3,8 +3,10 @@
 Centroids are fitted on a bounded sample by splitting it in equal halves until the parts have the size
 of a list, followed by rounds of nearest assignment in which a list costs more the fuller it is. Every
 row is posted to its nearest centroid, and a row near a boundary also to those that are at most
-``REPLICA_RATIO`` times as far, ``REPLICAS`` lists in all. A list of more than ``POSTINGS`` rows is held in
-several blocks, so no task holds a list that a common vector makes long.
+``REPLICA_RATIO`` times as far, ``REPLICAS`` lists in all. A list is dealt to as many blocks of ``POSTINGS``
+rows as the sample lets expect, and packed so many rows at a time whatever comes, so no task holds a list
+that a common vector makes long. Postings are not written; they pass two shuffles, in the vectors' own
+precision.
 
 A query searches the centroids through a graph in memory (each centroid with its ``NEIGHBOURS`` nearest
 and the reverse edges) from fixed entries, and probes the lists whose centroids are at most
@@ -40,11 +42,12 @@ from pyspark.sql import functions as F
 from .common import materialize, pick
 
 LIST, POSTINGS, QUERY_BLOCK = 256, 1024, 1024
-REPLICAS, REPLICA_RATIO, PROBE_RATIO = 4, 1.15, 1.12
+REPLICAS, REPLICA_RATIO, PROBE_RATIO = 3, 1.15, 1.13
 NEIGHBOURS, ENTRIES, BEAM = 16, 8, 24
 SAMPLE_ROWS, SAMPLE_BYTES = 100_000, 64 << 20
 CENTROIDS, CENTROID_BYTES = 16_384, 16 << 20
 ROUNDS, FULLNESS = 4, 0.05
+PACKED = ["list", "keys", "ids", "data", "wide"]
 #: Found rows that a task holds at once.
 HELD = 1 << 20
 
@@ -146,7 +149,7 @@ def _lifted(v: np.ndarray, scale: float, reach: float, query: bool) -> np.ndarra
     return np.concatenate([x, more[:, None]], axis=1)
 
 
-def _matrix(vectors: pd.Series, wide: int) -> np.ndarray:
+def _matrix(vectors: pd.Series | list, wide: int) -> np.ndarray:
     m = np.zeros((len(vectors), wide))
     for k, v in enumerate(vectors):
         m[k, : len(v)] = v
@@ -161,10 +164,15 @@ class Index:
         most = max(1, min(CENTROIDS, CENTROID_BYTES // (8 * (self.wide + 1))))
         self.centroids = fit_centroids(_lifted(sample, scale, reach, False), min(most, -(-rows // LIST)))
         self.graph = CentroidGraph(self.centroids)
+        #: Blocks that each list is dealt to, from the sample's postings.
+        posted = np.zeros(len(self.centroids))
+        for at in range(0, len(sample), 1024):
+            posted += np.bincount(self.post(sample[at : at + 1024])[1], minlength=len(posted))
+        self.blocks = np.maximum(1, np.ceil(posted * (rows / len(sample)) / POSTINGS)).astype(np.int64)
 
-    def post(self, vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    def post(self, vectors: pd.Series | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of every posting."""
-        d = _squared(_lifted(_matrix(vectors, self.wide), self.scale, self.reach, False), self.centroids)
+        d = _squared(_lifted(vectors if isinstance(vectors, np.ndarray) else _matrix(vectors, self.wide), self.scale, self.reach, False), self.centroids)
         n = min(REPLICAS, d.shape[1])
         lists = np.argpartition(d, n - 1, axis=1)[:, :n]
         near = np.take_along_axis(d, lists, axis=1)
@@ -177,29 +185,43 @@ class Index:
         return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
 
 
-def _dealt(dealer: Callable[[pd.Series], tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _dealt(dealer: Callable[[pd.Series], tuple[np.ndarray, np.ndarray]], blocks: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 1024):
                 part = pdf.iloc[at : at + 1024]
                 rows, lists = dealer(part["v"])
-                yield part.iloc[rows].assign(list=lists)[["list", "key", "id", "v"]]
+                out = part.iloc[rows].assign(list=lists)
+                out["block"] = out["key"].to_numpy(np.int64) % blocks[lists]
+                yield out[["list", "block", "key", "id", "v"]]
 
     return run
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    wide = max(len(v) for v in pdf["v"])
-    return pd.DataFrame(
-        {"list": [int(pdf["list"].iloc[0])], "block": [int(pdf["block"].iloc[0])], "keys": [pdf["key"].to_numpy(np.int64).tobytes()], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "data": [_matrix(pdf["v"], wide).tobytes()], "wide": [wide]}
-    )
+def _packed(dealt: DataFrame, size: int, kind: str) -> DataFrame:
+    """Rows of one list and block packed together, ``size`` at a time, so a block that holds more is cut."""
 
+    def pack(at: tuple[int, int], keys: list[int], ids: list[int], vectors: list[np.ndarray]) -> tuple:
+        wide = max(map(len, vectors))
+        return at[0], np.array(keys, np.int64).tobytes(), np.array(ids, np.int64).tobytes(), _matrix(vectors, wide).astype(kind).tobytes(), wide
 
-def _packed(dealt: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of about ``size`` rows of each list."""
-    counts = dealt.groupBy("list").agg(F.ceil(F.count("*") / size).alias("blocks"))
-    blocked = dealt.join(counts, "list").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
-    return materialize(blocked.groupBy("list", "block").applyInPandas(_pack, "list int, block int, keys binary, ids binary, data binary, wide int"), name)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, ([], [], [])
+        for pdf in batches:
+            out = []
+            for one, block, *row in zip(pdf["list"].tolist(), pdf["block"].tolist(), pdf["key"].tolist(), pdf["id"].tolist(), pdf["v"], strict=True):
+                if held[0] and (at != (one, block) or len(held[0]) == size):
+                    out.append(pack(at, *held))
+                    held = ([], [], [])
+                at = one, block
+                for values, value in zip(held, row, strict=True):
+                    values.append(value)
+            yield pd.DataFrame(out, columns=PACKED)
+        if held[0]:
+            yield pd.DataFrame([pack(at, *held)], columns=PACKED)
+
+    along = dealt.repartition("list", "block").sortWithinPartitions("list", "block")
+    return along.mapInPandas(run, "list int, keys binary, ids binary, data binary, wide int")
 
 
 class Best:
@@ -261,26 +283,30 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     as_double = F.col(vector_col).cast("array<double>")
     sound = F.forall(as_double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(as_double, lambda x: x != 0)
     rows = v.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).filter(sound)
-    rows = materialize(rows.select(F.col(id_col).cast("long").alias("id"), as_double.alias("v"), "_q"), "postings-rows")
+    short = rows.schema[vector_col].dataType.elementType.typeName() == "float"  # then four bytes a component are kept
+    vector, kind = (F.col(vector_col), "<f4") if short else (as_double, "<f8")
+    rows = materialize(rows.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), "_q"), "postings-rows")
     # ids may repeat; a row is known by its number in the written table
     rows = rows.withColumn("key", F.monotonically_increasing_id())
     spark = rows.sparkSession
-    top = F.max(F.array_max(F.transform("v", F.abs)))
+    as_double = F.col("v").cast("array<double>")
+    top = F.max(F.array_max(F.transform(as_double, F.abs)))
     n, wide, scale = rows.agg(F.count("*"), F.max(F.size("v")), top).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    reach = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / scale) * (x / scale)))).first()[0]
+    reach = rows.agg(F.max(F.aggregate(as_double, F.lit(0.0), lambda s, x: s + (x / scale) * (x / scale)))).first()[0]
     want = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * wide)))
     # a share by hash of keys that no two rows share, so about the wanted number
     part = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, want / n) * (1 << 30))).select("v").toPandas()
     index = Index(_matrix((part if len(part) else rows.select("v").limit(1).toPandas())["v"], wide), n, scale, reach)
-    schema = "list int, key long, id long, v array<double>"
-    postings = materialize(rows.select("key", "id", "v").mapInPandas(_dealt(index.post), schema), "postings-lists")
-    asked = rows.filter("_q").groupBy("id").agg(F.max("v").alias("v")).withColumn("key", F.col("id")).select("key", "id", "v")
+    schema = f"list int, block long, key long, id long, v {rows.schema['v'].dataType.simpleString()}"
+    postings = rows.select("key", "id", "v").mapInPandas(_dealt(index.post, index.blocks), schema)
+    asked = materialize(rows.filter("_q").groupBy("id").agg(F.max("v").alias("v")).withColumn("key", F.col("id")).select("key", "id", "v"), "postings-asked")
+    query_blocks = np.full(len(index.centroids), max(1, -(-asked.count() // QUERY_BLOCK)))
     # few queries lie in few partitions, while their search is the work
-    probes = materialize(asked.repartition(spark.sparkContext.defaultParallelism * 4, "id").mapInPandas(_dealt(index.probe), schema), "postings-probes")
-    cells = _packed(postings, POSTINGS, "postings-blocks").select("list", "keys", "ids", "data", "wide")
-    queries = _packed(probes, QUERY_BLOCK, "postings-queries").select("list", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("wide").alias("q_wide"))
+    probes = asked.repartition(spark.sparkContext.defaultParallelism * 4, "id").mapInPandas(_dealt(index.probe, query_blocks), schema)
+    cells = _packed(postings, POSTINGS, kind)
+    queries = _packed(probes, QUERY_BLOCK, kind).select("list", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("wide").alias("q_wide"))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = Best(k)
@@ -288,8 +314,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             for row in pdf.itertuples(index=False):
                 ids, keys, q_ids = (np.frombuffer(b, np.int64) for b in (row.ids, row.keys, row.q_ids))
                 q, c = np.zeros((len(q_ids), wide)), np.zeros((len(ids), wide))
-                q[:, : row.q_wide] = np.frombuffer(row.q_data).reshape(len(q_ids), row.q_wide)
-                c[:, : row.wide] = np.frombuffer(row.data).reshape(len(ids), row.wide)
+                q[:, : row.q_wide] = np.frombuffer(row.q_data, kind).reshape(len(q_ids), row.q_wide)
+                c[:, : row.wide] = np.frombuffer(row.data, kind).reshape(len(ids), row.wide)
                 best.meet(q_ids, q, ids, keys, c)
                 if best.full():
                     yield best.reduce()
