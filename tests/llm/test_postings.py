@@ -104,3 +104,23 @@ def test_one_common_vector(spark):
     assert recall(got, want) >= 0.9
     copies = [i for i, s in got[0] if abs(s - float(x[0] @ x[0])) < 1e-9]  # equal ones in order of their ids, but the query
     assert copies == list(range(1, len(copies) + 1))
+
+
+def test_best_rows_of_a_task_with_little_room():
+    rng = np.random.default_rng(8)
+    q, v = rng.normal(size=(6, 5)), rng.normal(size=(300, 5))
+    q_ids, ids = np.arange(6), np.arange(300)
+    best, parts = B.Best(4, room=20), []
+    for at in range(0, 300, 25):
+        for again in range(2):  # a row may stand in two lists
+            best.meet(q_ids, q, ids[at : at + 25], ids[at : at + 25], v[at : at + 25])
+            if best.full():
+                parts.append(best.reduce())
+                best.clear()
+    parts.append(best.reduce())
+    import pandas as pd
+
+    got = pd.concat(parts).drop_duplicates(["query_id", "key"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(4)
+    scores = (v[None] * q[:, None]).sum(axis=2)
+    want = [(int(i), int(e)) for i in range(6) for e in [e for e in np.lexsort((ids, -scores[i])) if e != i][:4]]
+    assert list(zip(got["query_id"], got["vec_id"], strict=True)) == want
