@@ -112,6 +112,16 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The same rows dealt by ``key`` to as many partitions as keep every core busy.
+
+    Few bytes of rows may be much work for a Python step; without a stated number Spark would put them
+    into one partition.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.col(f"`{key}`"))
+
+
 def positions(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Adds ``name``: the 0-based position of every row in ``order`` within ``keys``."""
     return running_total(df, keys, order, F.lit(1), name)
