@@ -50,6 +50,8 @@ ROUNDS, FULLNESS = 4, 0.05
 PACKED = ["list", "keys", "ids", "data", "wide"]
 #: Found rows that a task holds at once.
 HELD = 1 << 20
+#: Rows that a task hands on at once, and distances to centroids that it holds at once.
+DEALT, DISTANCES = 8192, 1 << 22
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,10 +168,15 @@ class Index:
         self.graph = CentroidGraph(self.centroids)
         #: Blocks that each list is dealt to, from the sample's postings.
         posted = np.zeros(len(self.centroids))
-        for at in range(0, len(sample), 1024):
-            posted += np.bincount(self.post(sample[at : at + 1024])[1], minlength=len(posted))
+        step = self.step()
+        for at in range(0, len(sample), step):
+            posted += np.bincount(self.post(sample[at : at + step])[1], minlength=len(posted))
         self.blocks = np.maximum(1, np.ceil(posted * (rows / len(sample)) / POSTINGS)).astype(np.int64)
 
+    def step(self) -> int:
+        """Rows whose distances to all centroids are held at once."""
+        return max(1, min(1024, DISTANCES // len(self.centroids)))
+
     def post(self, vectors: pd.Series | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of every posting."""
         d = _squared(_lifted(vectors if isinstance(vectors, np.ndarray) else _matrix(vectors, self.wide), self.scale, self.reach, False), self.centroids)
@@ -185,15 +192,19 @@ class Index:
         return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
 
 
-def _dealt(dealer: Callable[[pd.Series], tuple[np.ndarray, np.ndarray]], blocks: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _dealt(dealer: Callable[[pd.Series], tuple[np.ndarray, np.ndarray]], blocks: np.ndarray, step: int = 1024) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows with their lists and blocks, at most ``DEALT`` at once however many lists a row goes to."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 1024):
-                part = pdf.iloc[at : at + 1024]
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at : at + step]
                 rows, lists = dealer(part["v"])
-                out = part.iloc[rows].assign(list=lists)
-                out["block"] = out["key"].to_numpy(np.int64) % blocks[lists]
-                yield out[["list", "block", "key", "id", "v"]]
+                for cut in range(0, len(rows), DEALT):
+                    some = lists[cut : cut + DEALT]
+                    out = part.iloc[rows[cut : cut + DEALT]].assign(list=some)
+                    out["block"] = out["key"].to_numpy(np.int64) % blocks[some]
+                    yield out[["list", "block", "key", "id", "v"]]
 
     return run
 
@@ -300,7 +311,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     part = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, want / n) * (1 << 30))).select("v").toPandas()
     index = Index(_matrix((part if len(part) else rows.select("v").limit(1).toPandas())["v"], wide), n, scale, reach)
     schema = f"list int, block long, key long, id long, v {rows.schema['v'].dataType.simpleString()}"
-    postings = rows.select("key", "id", "v").mapInPandas(_dealt(index.post, index.blocks), schema)
+    postings = rows.select("key", "id", "v").mapInPandas(_dealt(index.post, index.blocks, index.step()), schema)
     asked = materialize(rows.filter("_q").groupBy("id").agg(F.max("v").alias("v")).withColumn("key", F.col("id")).select("key", "id", "v"), "postings-asked")
     query_blocks = np.full(len(index.centroids), max(1, -(-asked.count() // QUERY_BLOCK)))
     # few queries lie in few partitions, while their search is the work
