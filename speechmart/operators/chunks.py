@@ -12,8 +12,9 @@ from speechmart.operators.ranking import numbered_runs, running_total
 
 def chunk_words(chunks: DataFrame, stem: str = "audio_stem", rounded: bool = True) -> DataFrame:
     """Words spread evenly over their chunk: stem, chunk_idx, pos, word, start, end."""
-    w = words(F.lower("text"))
-    each = chunks.select(stem, "chunk_idx", F.posexplode(w).alias("pos", "word"), "start", "end", F.size(w).alias("n"))
+    # counted below the explode; beside it, the whole text would be split again for every word
+    split = chunks.select(stem, "chunk_idx", "start", "end", words(F.lower("text")).alias("_ws")).withColumn("n", F.size("_ws"))
+    each = split.select(stem, "chunk_idx", F.posexplode("_ws").alias("pos", "word"), "start", "end", "n")
     step = (F.col("end") - F.col("start")) / F.col("n")
     start, end = F.col("start") + F.col("pos") * step, F.col("start") + (F.col("pos") + 1) * step
     if rounded:
@@ -108,6 +109,18 @@ def fixed_chunks(files: DataFrame, size: float = 30.0, overlap: float = 0.0, lea
     return out.filter((F.col("end") - F.col("start") >= least) & (F.col("end") > F.col("start")))
 
 
+def words_of_chunks(words_df: DataFrame, chunks: DataFrame, stem: str = "audio_stem", cell: float = 30.0) -> DataFrame:
+    """Words (stem, start, ...) with every chunk (stem, chunk_idx, chunk_start, chunk_end) in whose time they begin.
+
+    Chunks are spread over the time cells they touch and a word looks up its own cell, so a word meets the
+    few chunks of its time and a file of any length is neither one key nor a product of its words and chunks.
+    """
+    cells = F.sequence(F.floor(F.col("chunk_start") / cell), F.floor(F.col("chunk_end") / cell))
+    spread = chunks.withColumn("_cell", F.explode(cells))
+    met = words_df.withColumn("_cell", F.floor(F.col("start") / cell)).join(spread, [stem, "_cell"]).drop("_cell")
+    return met.filter((F.col("start") >= F.col("chunk_start")) & (F.col("start") < F.col("chunk_end")))
+
+
 def resolve_overlap(chunk_words: DataFrame, stem: str = "audio_stem") -> DataFrame:
     """Words (stem, chunk_idx, chunk_start, start, end, ...) of overlapping chunks.
 
