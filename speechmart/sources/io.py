@@ -9,6 +9,7 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,13 +80,14 @@ def docx_paragraphs(content: bytes) -> list[str]:
 def docx_rows(files: DataFrame) -> DataFrame:
     """audio_stem, para_idx, text of every paragraph that is not blank, of files (audio_stem, content)."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for stem, content in zip(pdf["audio_stem"], pdf["content"], strict=True):
-                rows = [(stem, k, p.strip()) for k, p in enumerate(docx_paragraphs(content)) if p.strip()]
-                yield pd.DataFrame(rows, columns=["audio_stem", "para_idx", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stem, content in zip(batch.column(0), batch.column(1), strict=True):  # one file's bytes at a time
+                found = [(k, p.strip()) for k, p in enumerate(docx_paragraphs(content.as_py())) if p.strip()]
+                values = [pa.array([stem.as_py()] * len(found), pa.string()), pa.array([k for k, _ in found], pa.int32()), pa.array([p for _, p in found], pa.string())]
+                yield pa.RecordBatch.from_arrays(values, names=["audio_stem", "para_idx", "text"])
 
-    return files.select("audio_stem", "content").mapInPandas(run, "audio_stem string, para_idx int, text string")
+    return files.select("audio_stem", "content").mapInArrow(run, "audio_stem string, para_idx int, text string")
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
