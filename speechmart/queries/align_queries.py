@@ -9,6 +9,7 @@ from speechmart.functions import text as T
 from speechmart.operators import anchors, chunks, ctc, dtw, ranking, scoring, segments, sequences, vad
 from speechmart.queries.adapters import CHUNKS_SQL, EQUIVALENTS, EVENTS_SQL, KEYWORDS, OTHER_KEYWORDS, SPELLING, read, spelled_clips, spelling_model, timed_words, with_next_turn
 from speechmart.queries.adapters import chunks as chunk_table
+from speechmart.sources.shared import materialize
 
 QUERIES, SQL = {}, {}
 
@@ -161,9 +162,10 @@ def _anchored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    index = sequences.posting_blocks(_transcript(spark, d), KEYWORDS, "session")
+    # both are read by several steps; unwritten, every step would split and look through all texts again
+    index = materialize(sequences.posting_blocks(_transcript(spark, d), KEYWORDS, "session"), "postings")
     hints = sequences.position_hints(_files(spark, d)).select("audio_stem", "session", "hint_start", "hint_end")
-    return sequences.band_candidates(_anchored(spark, d).join(hints, "audio_stem"), index, "session")
+    return sequences.band_candidates(materialize(_anchored(spark, d).join(hints, "audio_stem"), "anchored"), index, "session")
 
 
 _R2 = _hits_sql("r", "<> 'mms'", [w for w in OTHER_KEYWORDS if w in KEYWORDS], "whisper_en").replace("CAST(list_position(['that', 'with'], word)", f"CAST(list_position({_list(OTHER_KEYWORDS)}, word)")
