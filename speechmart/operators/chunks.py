@@ -22,15 +22,24 @@ def chunk_words(chunks: DataFrame, stem: str = "audio_stem", rounded: bool = Tru
     return each.select(stem, "chunk_idx", "pos", "word", start.alias("start"), end.alias("end"))
 
 
-def transcript_words(paragraphs: DataFrame, source: str, order: str, text: str = "text") -> DataFrame:
+def transcript_words(paragraphs: DataFrame, source: str, order: str, text: str = "text", first: DataFrame | None = None) -> DataFrame:
     """source, word_idx (0-based over all paragraphs of a source), word.
 
+    ``first`` (source, n) tells how many words of a source are wanted, if not all; paragraphs that begin
+    behind them, and those of sources it lacks, are left out before they are split.
+
     Only the paragraphs' word counts are summed along a source, range by range, so a long source is not
     one task's work.
     """
     ws = words(F.trim(text))
     placed = running_total(paragraphs.select(source, order, text), [source], [order], F.size(ws), "base")
-    return placed.select(source, "base", F.posexplode(ws).alias("p", "word")).select(source, (F.col("base") + F.col("p")).alias("word_idx"), "word")
+    if first is not None:
+        wanted = first.select(F.col(f"`{source}`").alias("_source"), F.col("n").alias("_n"))
+        placed = placed.join(wanted, F.col(f"`{source}`") == F.col("_source")).filter(F.col("base") < F.col("_n"))
+        each = placed.select(source, "base", "_n", F.posexplode(ws).alias("p", "word")).filter(F.col("base") + F.col("p") < F.col("_n"))
+    else:
+        each = placed.select(source, "base", F.posexplode(ws).alias("p", "word"))
+    return each.select(source, (F.col("base") + F.col("p")).alias("word_idx"), "word")
 
 
 def long_paragraphs(paragraphs: DataFrame, text: str = "text", more_than: int = 10) -> DataFrame:

@@ -131,7 +131,20 @@ def assign_budget(regions: DataFrame, transcript: DataFrame, wps: Column, source
     ``regions`` names the transcript of each region in ``source``; ``transcript`` has source, word_idx and
     word. Every region brings the words of its own range, so no transcript is ever held whole.
     """
-    b = budget_words(regions, wps, least, key)
+    return budget_text(budget_words(regions, wps, least, key), transcript, source, least)
+
+
+def words_asked(budget: DataFrame, source: str) -> DataFrame:
+    """source, n: how many of a transcript's first words its regions (of ``budget_words``) ask for."""
+    return budget.groupBy(source).agg(F.max(F.col("first_word") + F.col("n_words")).alias("n"))
+
+
+def budget_text(budget: DataFrame, transcript: DataFrame, source: str, least: int = 3) -> DataFrame:
+    """Regions of ``budget_words`` with the ``text`` of their words; those left with fewer than ``least`` are dropped.
+
+    Words behind the last one asked for meet no region, so a transcript may end there (``words_asked``).
+    """
+    b = budget
     asked = b.withColumn("word_idx", F.explode(F.sequence(F.col("first_word"), F.col("first_word") + F.col("n_words") - 1)))
     kept = [c for c in b.columns]
     own = asked.join(transcript.select(source, "word_idx", "word"), [source, "word_idx"])

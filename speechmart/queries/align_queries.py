@@ -107,10 +107,10 @@ def anchor_merge_greedy(spark, d):
     return _merged(spark, d).select("audio_stem", "anchor_idx", "word", F.round("time", 6).alias("time"), "source", "confidence")
 
 
-def _transcript(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of one source as one transcript."""
+def _transcript(spark: SparkSession, d: str, first: DataFrame | None = None) -> DataFrame:
+    """Documents of one source as one transcript, or as many of its ``first`` words."""
     docs = read(spark, d, "documents").select(F.col("source").alias("session"), "doc_id", "text")
-    return chunks.transcript_words(docs, "session", "doc_id")
+    return chunks.transcript_words(docs, "session", "doc_id", first=first)
 
 
 _TW = """tw0 AS (SELECT source AS session, doc_id, list_filter(regexp_split_to_array(text, '[\\s\\x{00A0}\\x{0085}\\x0B]+'), lambda x: x <> '') AS ws FROM documents),
@@ -523,5 +523,6 @@ def budget_texts(spark, d):
     """Events as speech regions, each with the next words of its session's transcript."""
     w = timed_words(spark, d).select("audio_path", "start", (F.col("start") + F.round(2 + F.col("start") % 7, 6)).alias("end"))
     w = w.withColumn("session", F.concat(F.lit("src"), (F.col("audio_path") % 20).cast("string")))
-    t = segments.assign_budget(w, _transcript(spark, d), F.lit(2.5), "session")
+    b = segments.budget_words(w, F.lit(2.5))
+    t = segments.budget_text(b, _transcript(spark, d, segments.words_asked(b, "session")), "session")
     return t.select("audio_path", "start", F.size(T.words(F.col("text"))).cast("long").alias("words"), F.md5("text").alias("text_md5"))
