@@ -20,14 +20,36 @@ def characters(texts: DataFrame, text: Column, key: str) -> DataFrame:
     return texts.select(key, F.posexplode(F.filter(F.split(text, ""), lambda c: c != "")).alias("pos", "ch"))
 
 
+def distinct_characters(texts: DataFrame, text: Column, key: str) -> DataFrame:
+    """key, ch, pos, n of every character that a text has: where it stands first, and how often it occurs."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows, codes, first, counts = [], [], [], []
+                for k, t in enumerate(part.column(1)):
+                    if t.is_valid:
+                        c, f, n = np.unique(np.frombuffer(t.as_py().encode("utf-32-le"), "<u4"), return_index=True, return_counts=True)
+                        rows += [k] * len(c)
+                        codes += map(chr, c.tolist())
+                        first += f.tolist()
+                        counts += n.tolist()
+                values = [pa.array(codes, pa.string()), pa.array(first, pa.int32()), pa.array(counts, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), *values], names=[key, "ch", "pos", "n"])
+
+    return texts.select(key, text.alias("_text")).mapInArrow(run, f"`{key}` {kind}, ch string, pos int, n long")
+
+
 def ctc_vocabulary(texts: DataFrame, system: str = "system6", text: str = "text", key: str = "doc_id") -> DataFrame:
     """token, id: reserved ones, then characters by frequency, then valid ones that do not occur.
 
-    Equal counts go by first appearance in (key, position) order. Counts are combined before the
-    shuffle, so one row per character arrives.
+    Equal counts go by first appearance in (key, position) order. A text is counted as a whole, and counts
+    are combined before the shuffle, so no character is a row of its own.
     """
-    chars = characters(texts, normalize(F.col(text), system), key)
-    seen = chars.groupBy("ch").agg(F.count("*").alias("n"), F.min(F.struct(key, "pos")).alias("first"))
+    chars = distinct_characters(texts, normalize(F.col(text), system), key)
+    seen = chars.groupBy("ch").agg(F.sum("n").alias("n"), F.min(F.struct(key, "pos")).alias("first"))
     spark = texts.sparkSession
     valid = spark.createDataFrame([(c, k) for k, c in enumerate(sorted(vocabulary(system)))], "ch string, code int")
     ranked = valid.join(seen, "ch", "left")
