@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from speechmart.functions.text import scoring_prompt, word_similarity
 from speechmart.operators.ranking import positions
+from speechmart.sources.shared import materialize
+
+#: Letters that may be left out of a word or piece for it to meet another.
+WRONG = 2
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float, slack: float = 0.0) -> DataFrame:
@@ -91,33 +95,58 @@ def _cuts(length: Column, pieces: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), pieces - 1), one)
 
 
+def _without(rows: DataFrame, text: str, letters: Column) -> DataFrame:
+    """The rows once for every distinct form of ``text`` with at most so many (up to ``WRONG``) letters left out."""
+
+    def fewer(x: Column) -> Column:
+        places = F.when(F.length(x) > 0, F.sequence(F.lit(1), F.length(x))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda p: F.concat(F.substring(x, F.lit(1), p - 1), F.substring(x, p + 1, F.length(x))))
+
+    rows = rows.withColumn("_forms", F.array(text))
+    for n in range(WRONG):
+        more = F.array_distinct(F.concat("_forms", F.flatten(F.transform("_forms", fewer))))
+        rows = rows.withColumn("_forms", F.when(letters > n, more).otherwise(F.col("_forms")))
+    return rows.withColumn(text, F.explode("_forms")).drop("_forms")
+
+
 def similar_words(words: DataFrame, word: str, least: float = 0.8) -> DataFrame:
     """All ordered pairs (a, b, similarity) of distinct words whose ``word_similarity`` reaches ``least``.
 
     No pair is lost: words that a sound change makes equal meet in their changed form, for each of the
-    three changes. All others may differ in d = (1 - least) of the longer one's letters at most, so of
-    d + 1 pieces of the shorter one some piece stands unchanged in the longer one, no more than d places
-    off; pieces with their place and both lengths are the equal keys. ``least`` is above 0.5. Words are
+    three changes. All others may differ in d = (1 - least) of the longer one's letters at most. Two words
+    that differ in d letters are equal without some d of them or fewer, so up to ``WRONG`` they meet in all
+    their forms with so many letters left out. Beyond that the shorter one is cut into pieces, of which
+    some piece differs in ``WRONG`` letters at most from a part of the longer one that begins no more than
+    d places off; these meet in the same way. ``least`` is above 0.5. Words are
     compared trimmed and in lower case; null and blank words have no pairs.
     """
     share = 1 - least + 1e-9
     w = words.select(F.trim(F.lower(F.col(word))).alias("w")).filter("w <> ''").distinct()
+    w = materialize(w.repartition("w"), "words")  # read once for every way in which words may meet
     folds = [F.regexp_replace("w", x, y) for x, y in (("k", "t"), ("ng", "n"), ("r", "l"))]
     folded = w.select("w", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), f.alias("f")) for k, f in enumerate(folds)])).alias("key"))
-    n, longer = F.length("w"), F.col("longer")
-    short = w.select("w", F.explode(F.sequence(n, F.floor(n / (1 - share)).cast("int"))).alias("longer")).withColumn("d", F.floor(longer * share).cast("int"))
-    short = short.filter(F.col("d") >= longer - n).select("w", n.alias("shorter"), "longer", F.explode(_cuts(n, F.col("d") + 1)).alias("c"))
-    short = short.select("w", F.struct("shorter", "longer", F.col("c.i").alias("i"), F.substring("w", F.col("c.at") + 1, F.col("c.n")).alias("piece")).alias("key"))
-    long_ = w.withColumn("d", F.floor(n * share).cast("int")).select("w", n.alias("longer"), "d", F.explode(F.sequence(n - F.col("d"), n)).alias("shorter"))
-    long_ = long_.filter("shorter > 0").select("w", "longer", "shorter", "d", F.explode(_cuts(F.col("shorter"), F.col("d") + 1)).alias("c"))
-    long_ = long_.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("c.at") - F.col("d")), F.least(F.col("c.at") + F.col("d"), longer - F.col("c.n")))).alias("at"))
-    long_ = long_.select("w", F.struct("shorter", "longer", F.col("c.i").alias("i"), F.substring("w", F.col("at") + 1, F.col("c.n")).alias("piece")).alias("key"))
+    n, longer, d = F.length("w"), F.col("longer"), F.floor(F.col("longer") * share).cast("int")
+    short = w.select("w", n.alias("shorter"), F.explode(F.sequence(n, F.floor(n / (1 - share)).cast("int"))).alias("longer")).withColumn("d", d).filter("d > 0 and longer - shorter <= d")
+    long_ = w.withColumn("longer", n).withColumn("d", d).filter("d > 0")
+    # few letters: the whole words meet
+    near = [F.col("d") <= WRONG, F.col("d") > WRONG]
+    whole = [x.filter(near[0]).select("w", "d", F.col("w").alias("piece")).distinct() for x in (short, long_)]
+    whole = [_without(x, "piece", F.col("d")).select("w", F.struct("d", "piece").alias("key")) for x in whole]
+    # many letters: one of the pieces meets a part of the longer word
+    pieces, wrong = F.floor(F.col("d") / (WRONG + 1)).cast("int") + 1, F.floor(F.col("d") / (F.floor(F.col("d") / (WRONG + 1)) + 1)).cast("int")
+    few = [short.filter(near[1]), long_.filter(near[1]).withColumn("shorter", F.explode(F.sequence(F.greatest(F.lit(1), longer - F.col("d")), longer)))]
+    few = [x.select("*", wrong.alias("wrong"), F.explode(_cuts(F.col("shorter"), pieces)).alias("c")).select("*", "c.i", "c.at", "c.n").drop("c") for x in few]
+    few[0] = few[0].withColumn("piece", F.substring("w", F.col("at") + 1, F.col("n")))
+    few[1] = few[1].withColumn("begin", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("d")), F.least(F.col("at") + F.col("d"), longer))))
+    few[1] = few[1].withColumn("size", F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - F.col("wrong")), F.col("n") + F.col("wrong"))))
+    few[1] = few[1].filter(F.col("begin") + F.col("size") <= longer).withColumn("piece", F.substring("w", F.col("begin") + 1, F.col("size")))
+    few = [_without(x, "piece", F.col("wrong")).select("w", F.struct("shorter", "longer", "i", "piece").alias("key")).distinct() for x in few]
 
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
         pairs = x.select("key", F.col("w").alias("x")).join(y.select("key", F.col("w").alias("y")), "key").filter("x <> y")
         return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
-    pairs = met(folded, folded).unionAll(met(short, long_)).distinct()
+    pairs = met(folded, folded).unionAll(met(*whole)).unionAll(met(*few)).distinct()
     both = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("p")).select("p.a", "p.b")
     return both.withColumn("similarity", F.round(word_similarity(F.col("a"), F.col("b")), 6)).filter(F.col("similarity") >= least)
 
