@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechmart.functions.text import acoustic_text, words
+from speechmart.operators.ranking import spread
 
 #: Cells whose back pointers are held at once; longer tables are cut in time.
 TABLE_CELLS = 1 << 22
+#: States of a clip that are held at once where clips are solved side by side, and the frames of those clips.
+WINDOW, FRAMES_AT_ONCE = 64, 1 << 17
 
 
 def _advance(alpha: np.ndarray, line: np.ndarray, ids: np.ndarray, jump: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,12 +85,101 @@ def viterbi_states(emissions: np.ndarray, ids: np.ndarray, cells: int = TABLE_CE
     return out
 
 
+def windowed_states(clips: list[tuple[np.ndarray, np.ndarray]], window: int = WINDOW) -> list[np.ndarray | None]:
+    """As ``viterbi_states`` for many clips (emissions, ids) side by side, or None where the path is not proven.
+
+    A clip's states are held in a window that moves on with its best one. A path that leaves the window is
+    at some frame in a state that is let go, where it scores no more than that state and the greatest
+    log-probability of every later frame. If all those bounds lie below the path found, no best path has
+    left the window, and the path is the one of the whole table, ties included.
+    """
+    order = sorted(range(len(clips)), key=lambda k: -len(clips[k][0]))
+    count, kinds = len(order), max(clips[k][0].shape[1] for k in order)
+    frames, states = np.array([len(clips[k][0]) for k in order]), np.array([len(clips[k][1]) for k in order])
+    base = np.cumsum(frames) - frames
+    lines = np.full((int(frames.sum()), kinds + 1), -np.inf)
+    later = np.zeros(len(lines))
+    wide = int(states.max()) + window + 4
+    ids, jump = np.full((count, wide), kinds), np.full((count, wide), -np.inf)
+    for n, k in enumerate(order):
+        emissions, own = clips[k]
+        part = slice(base[n], base[n] + frames[n])
+        lines[part, : emissions.shape[1]] = emissions
+        best = emissions.max(axis=1)
+        later[part] = np.cumsum(best[::-1])[::-1] - best
+        ids[n, : len(own)] = own
+        jump[n, 3 : len(own) : 2][own[3::2] != own[1:-2:2]] = 0.0
+    flat, flat_ids, flat_jump = lines.reshape(-1), ids.reshape(-1), jump.reshape(-1)
+    columns, middle, rows = np.arange(window + 2), window // 2, np.arange(count)
+    held = np.full((count, window + 4), -np.inf)  # the window between two states on both sides
+    held[:, 2:4] = flat[base[:, None] * (kinds + 1) + ids[:, :2]]
+    first, lost = np.zeros(count, np.int64), np.full(count, -np.inf)
+    steps, firsts = [np.zeros((count, window), np.int8)], [first.copy()]
+    for t in range(1, int(frames[0])):
+        k = int(np.searchsorted(-frames, -t, "left"))
+        at = (rows[:k] * wide + first[:k])[:, None] + columns
+        stay, one, two = held[:k, 2:], held[:k, 1:-1], held[:k, :-2] + flat_jump[at]
+        by_one = one > stay
+        best = np.where(by_one, one, stay)
+        by_two = two > best
+        best = np.where(by_two, two, best) + flat[((base[:k] + t) * (kinds + 1))[:, None] + flat_ids[at]]
+        dead = states[:k] - 2 - 2 * (frames[:k] - 1 - t) - first[:k]
+        if (dead > 0).any():
+            best[columns < dead[:, None]] = -np.inf
+        shift = np.clip(best.argmax(axis=1) - middle, 0, 2)
+        gone = np.where(shift == 0, np.maximum(best[:, window], best[:, window + 1]), np.where(shift == 1, np.maximum(best[:, 0], best[:, window + 1]), np.maximum(best[:, 0], best[:, 1])))
+        lost[:k] = np.maximum(lost[:k], gone + later[base[:k] + t])
+        kept = shift[:, None] + columns[:window]
+        held[:k, 2:-2] = np.take_along_axis(best, kept, axis=1)
+        first[:k] += shift
+        steps.append(np.take_along_axis(np.where(by_two, 2, by_one).astype(np.int8), kept, axis=1))
+        firsts.append(first[:k].copy())
+    padded = np.concatenate([held[:, 2:-2], np.full((count, 1), -np.inf)], axis=1)
+    score = lambda s: padded[rows, np.where((s >= first) & (s < first + window), s - first, window)]
+    last, before = score(states - 1), np.where(states > 1, score(states - 2), -np.inf)
+    state = np.where((states > 1) & ~(last > before), states - 2, states - 1)
+    found = np.maximum(last, before)
+    proven = np.isfinite(found) & (lost < found - 1e-6 - 1e-9 * np.abs(found))
+    state = np.clip(state, first, first + window - 1)  # those out of the window are not proven
+    path = np.zeros(len(lines), np.int64)
+    for t in range(int(frames[0]) - 1, -1, -1):
+        k = len(firsts[t])
+        path[base[:k] + t] = state[:k]
+        if t:
+            state[:k] -= steps[t][rows[:k], np.clip(state[:k] - firsts[t], 0, window - 1)]
+    out: list[np.ndarray | None] = [None] * count
+    for n, k in enumerate(order):
+        if proven[n]:
+            out[k] = path[base[n] : base[n] + frames[n]]
+    return out
+
+
+def _interleaved(labels: list[int], blank: int) -> np.ndarray:
+    ids = np.full(2 * len(labels) + 1, blank)
+    ids[1::2] = labels
+    return ids
+
+
+def forced_clips(clips: list[tuple[np.ndarray, list[int]]], blank: int = 0) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """``forced_frames`` of many clips (emissions, labels): side by side in narrow windows, and whole where that proves nothing."""
+    ids = [_interleaved(labels, blank) for _, labels in clips]
+    paths: list[np.ndarray | None] = [None] * len(clips)
+    for window in (WINDOW, 4 * WINDOW):
+        open_ = [k for k, (lines, _) in enumerate(clips) if paths[k] is None and len(lines)]
+        if open_:
+            for k, path in zip(open_, windowed_states([(clips[k][0], ids[k]) for k in open_], window), strict=True):
+                paths[k] = path
+    out = []
+    for (lines, labels), own, path in zip(clips, ids, paths, strict=True):
+        out.append(forced_frames(lines, labels, blank) if path is None else (own[path], lines[np.arange(len(lines)), own[path]]))
+    return out
+
+
 def forced_frames(emissions: np.ndarray, labels: list[int], blank: int = 0) -> tuple[np.ndarray, np.ndarray] | None:
     """The label of every frame and its log-probability, for log-probabilities (frames, labels); None if the labels do not fit."""
     if not len(emissions):
         return None
-    ids = np.full(2 * len(labels) + 1, blank)
-    ids[1::2] = labels
+    ids = _interleaved(labels, blank)
     path = viterbi_states(emissions, ids)
     if path is None:
         return None
@@ -136,6 +228,63 @@ def forced_align(
     return need.mapInPandas(run, f"`{key}` {kind}, frame int, label int, score double")
 
 
+def align_words(
+    clips: DataFrame,
+    make_emitter: Callable[[], Callable[[list[np.ndarray]], list[np.ndarray]]],
+    separator_id: int,
+    key: str = "audio_path",
+    samples: str = "samples",
+    labels: str = "labels",
+    text: str = "text",
+    rate: float = 50.0,
+    blank: int = 0,
+    least_labels: int = 3,
+    at_once: int = 8,
+) -> DataFrame:
+    """``forced_words`` of ``forced_align`` without a row for every frame: key, word_idx, word, start, end, score.
+
+    Frames stay in the task that aligns them. Clips are aligned side by side, ``FRAMES_AT_ONCE`` frames
+    together, or one by one if they are longer.
+    """
+    kind = clips.schema[key].dataType.simpleString()
+
+    def spans(k: object, named: list[str], found: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+        label, score = found
+        kept = np.flatnonzero(label != separator_id)
+        part = np.cumsum(label == separator_id)[kept]
+        a = np.flatnonzero(np.diff(part, prepend=-1)) if len(kept) else kept
+        b = np.append(a[1:], len(kept))[: len(a)]
+        n = min(len(a), len(named))
+        mean = np.add.reduceat(score[kept], a) / (b - a) if len(a) else np.zeros(0)
+        return pd.DataFrame({key: k, "word_idx": np.arange(n), "word": named[:n], "start": kept[a[:n]] / rate, "end": (kept[b[:n] - 1] + 1) / rate, "score": mean[:n]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        emit = make_emitter()
+
+        def solved(held: list[tuple]) -> Iterator[pd.DataFrame]:
+            found = forced_clips([(lines, known) for _, _, known, lines in held], blank)
+            out = [spans(k, named, f) for (k, named, _, _), f in zip(held, found, strict=True) if f is not None]
+            if out:
+                yield pd.concat(out)
+
+        held, frames = [], 0
+        for pdf in batches:
+            for at in range(0, len(pdf), at_once):
+                part = pdf.iloc[at : at + at_once]
+                for k, named, known, lines in zip(part[key], part["_named"], part[labels], emit([np.asarray(x, np.float32) for x in part[samples]]), strict=True):
+                    held.append((k, list(named), list(known), np.asarray(lines, np.float64)))
+                    frames += len(lines)
+                    if frames >= FRAMES_AT_ONCE:
+                        yield from solved(held)
+                        held, frames = [], 0
+        if held:
+            yield from solved(held)
+
+    need = clips.filter(F.col(samples).isNotNull() & (F.size(labels) >= least_labels) & F.col(text).isNotNull())
+    need = spread(need.select(key, samples, labels, words(F.lower(text)).alias("_named")), key)
+    return need.mapInPandas(run, f"`{key}` {kind}, word_idx int, word string, start double, end double, score double")
+
+
 def forced_words(frames: DataFrame, clips: DataFrame, separator_id: int, key: str = "audio_path", text: str = "text", rate: float = 50.0) -> DataFrame:
     """key, word_idx, word, start, end, score: aligned frames grouped at separators, with the words of the clips' texts."""
     spans = aligned_words(frames.select(key, "frame", F.col("label").cast("string").alias("token"), "score"), key, str(separator_id), rate)

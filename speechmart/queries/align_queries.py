@@ -466,7 +466,7 @@ def alignment_pipeline(spark, d):
 def forced_alignment(spark, d):
     """Words of all turns laid on the frames of a stand-in model."""
     clips = spelled_clips(spark, d)
-    words = ctc.forced_words(ctc.forced_align(clips, spelling_model, "clip"), clips, SPELLING["|"], "clip")
+    words = ctc.align_words(clips, spelling_model, SPELLING["|"], "clip")
     return words.withColumns({c: F.round(c, 6) for c in ("start", "end", "score")})
 
 
