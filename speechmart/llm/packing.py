@@ -18,15 +18,16 @@ an empty table gives an empty result; columns other than the two named are not r
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import re
 import zlib
-from array import array
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,78 +37,150 @@ from .common import materialize, pick, slices
 
 CAPACITY = 1024
 #: Bytes that a process may spend on remembered words, and what one takes besides its letters and ids.
-CACHE_ROOM, WORD_COST = 48_000_000, 150
-#: Marks that the pattern never joins to letters before them.
-_MARKS = ".,!?;:*#$%&|"
-#: Stands for the first word, which has no space before it and is encoded apart; words hold no space.
-_FIRST = " "
-_SPACED = re.compile(r"\s \s")
+CACHE_ROOM, WORD_COST = 24_000_000, 32
+#: Letters of texts that are encoded together, and words that are laid out at once.
+TOGETHER, LAID = 4_000_000, 1 << 18
+#: Two marks of white space in a row, between which the pattern may join or split.
+_SPACES = re.compile(r"\s\s")
+#: Letters with marks behind them, to which the pattern never joins those.
+_MARKED = "^(?P<head>\n?[A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ӿ]+)(?P<tail>[.,!?;:*#$%&|]+)$"
+
+
+class Ids:
+    """Runs of ids, one after the other."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.flat, self.size = flat, size
+
+    @classmethod
+    def of(cls, runs: list[list[int]]) -> Ids:
+        return cls(np.fromiter(itertools.chain.from_iterable(runs), "<u4"), np.fromiter(map(len, runs), np.int64, len(runs)))
+
+    @classmethod
+    def joined(cls, parts: list[Ids]) -> Ids:
+        return cls(np.concatenate([p.flat for p in parts]), np.concatenate([p.size for p in parts]))
+
+    def take(self, codes: np.ndarray) -> Ids:
+        """The runs of these numbers."""
+        size, at = self.size[codes], np.cumsum(self.size) - self.size
+        out, done = np.empty(size.sum(), "<u4"), 0
+        for k in range(0, len(codes), LAID):
+            n = size[k : k + LAID]
+            laid = self.flat[np.repeat(at[codes[k : k + LAID]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            out[done : done + len(laid)] = laid
+            done += len(laid)
+        return Ids(out, size)
 
 
 class WordCachedTokenizer:
     """Ids of whole texts by the ``tokenizers`` library, with repeated words remembered.
 
-    The byte-level pattern never joins two words at a single space, so " word" is encoded on its own;
-    texts with longer runs of white space around a space, or with one of the vocabulary's added tokens
-    in them, are given to the library whole.
+    The byte-level pattern never joins two words at a single space or line's end, so " word" and "\\nword"
+    are encoded on their own; texts with more white space in a row or at an end, or with one of the
+    vocabulary's added tokens in them, are given to the library whole. The words of many texts are
+    numbered together, and each distinct one is looked up once. A word that follows a line's end begins
+    with it; a space before a word is left out.
     """
 
     def __init__(self, vocabulary: str, cache_room: int = CACHE_ROOM) -> None:
         self.library = Tokenizer.from_str(vocabulary)
         #: Strings that the library gives one id of their own, wherever they stand in a text.
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {_FIRST: b""}
-        self.tails: dict[str, bytes] = {}
+        pieces = self.library.get_vocab(with_added_tokens=True)
+        #: Whether an id begins with a space (Ġ), and the id of a line's end (Ċ).
+        self.spaced = np.zeros(max(pieces.values()) + 1, bool)
+        self.spaced[[n for piece, n in pieces.items() if piece.startswith("Ġ")]] = True
+        self.line = pieces["Ċ"]
+        self.words, self.ids = pa.array([], pa.large_string()), Ids.of([])
         self.room = cache_room
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_words(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words after a space; letters and the marks behind them are encoded on their own."""
-        known, out = self.words, {}
-        cut: list[tuple[str, str, str]] = []
-        ask: dict[str, str] = {}
-        for w in words:
-            head = w.rstrip(_MARKS)
-            if head is not w and head.isalpha():
-                tail = w[len(head) :]
-                cut.append((w, head, tail))
-                if tail not in self.tails:
-                    if len(self.tails) > 10_000:
-                        self.tails.clear()
-                    self.tails[tail] = self._encode([tail])[0]
-                if head in known:
-                    continue
-                w = head
-            ask[w] = " " + w
-        got = dict(zip(ask, self._encode(list(ask.values())), strict=True)) if ask else {}
-        for w, head, tail in cut:
-            out[w] = (known.get(head) or got[head]) + (self.tails.get(tail) or self._encode([tail])[0])
-        got.update(out)
-        return got
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> Ids:
+        """Ids of words in one call: each is found again by the id that begins with its space or line's end."""
+        after = np.array([w[0] == "\n" for w in words], bool)
+        spaced = np.array(self._encode(["".join([" " + w for w in words if w[0] != "\n"])])[0], "<u4")
+        lined = np.array(self._encode(["".join([w for w in words if w[0] == "\n"])])[0], "<u4")
+        begins = [np.flatnonzero(self.spaced[spaced]), np.flatnonzero(lined == self.line)]
+        sizes = [np.diff(begins[0], append=len(spaced)), np.diff(begins[1], append=len(lined))]
+        codes = np.empty(len(words), np.int64)
+        codes[~after] = np.arange(len(sizes[0]))
+        codes[after] = len(sizes[0]) + np.arange(len(sizes[1]))
+        return Ids(np.concatenate([spaced, lined]), np.concatenate(sizes)).take(codes)
+
+    def _look_up(self, words: pa.Array) -> tuple[Ids, np.ndarray]:
+        """Runs of ids, and for each of these distinct words the number of its own."""
+        codes = _indices(words, self.words)
+        missing = np.flatnonzero(codes < 0)
+        if not len(missing):
+            return self.ids, codes
+        whole = words.take(pa.array(missing))
+        cut = pc.extract_regex(whole, _MARKED)
+        heads = pc.coalesce(pc.struct_field(cut, "head"), whole).dictionary_encode()
+        tails = pc.fill_null(pc.struct_field(cut, "tail"), "").dictionary_encode()
+        head_codes = _indices(heads.dictionary, self.words)
+        new = np.flatnonzero(head_codes < 0)
+        head_codes[new] = len(self.words) + np.arange(len(new))
+        asked = heads.dictionary.take(pa.array(new))
+        got = self._encode_words(asked.to_pylist())
+        marks = Ids.of(self._encode(tails.dictionary.to_pylist()))
+        known = Ids.joined([self.ids, got, marks])
+        marks_from = len(self.words) + len(new)
+        pairs = np.column_stack([head_codes[heads.indices.to_numpy()], marks_from + tails.indices.to_numpy()])
+        both = known.take(pairs.ravel())
+        codes[missing] = len(known.size) + np.arange(len(missing))
+        self._remember(asked, got)
+        return Ids.joined([known, Ids(both.flat, both.size.reshape(-1, 2).sum(axis=1))]), codes
+
+    def _remember(self, words: pa.Array, ids: Ids) -> None:
+        """New words stay while there is room for them."""
+        cost = np.cumsum(WORD_COST + pc.binary_length(words).to_numpy() + 4 * ids.size)
+        n = int(np.searchsorted(cost, self.room, "right"))
+        if n:
+            self.room -= int(cost[n - 1])
+            self.words = pa.concat_arrays([self.words, words[:n]])
+            self.ids = Ids.joined([self.ids, Ids(ids.flat[: ids.size[:n].sum()], ids.size[:n])])
+
+    def _encode_group(self, texts: list[str]) -> Iterator[bytes]:
+        odd = [not t or t[0].isspace() or t[-1].isspace() or bool(_SPACES.search(t)) or any(a in t for a in self.added) for t in texts]
+        plain = pa.array(["" if o else t for o, t in zip(odd, texts, strict=True)], pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        # nothing stands before the first word
+        firsts = self._encode(pc.list_element(split, 0).to_pylist())
+        for n in np.flatnonzero(odd).tolist():
+            firsts[n] = self._encode([texts[n]])[0]
+        rest = pc.list_slice(split, 1)
+        counts = rest.value_lengths().to_numpy()
+        words = rest.flatten().dictionary_encode()
+        ids, codes = self._look_up(words.dictionary)
+        places = np.insert(codes[words.indices.to_numpy()], np.cumsum(counts) - counts, len(ids.size) + np.arange(len(texts)))
+        laid = Ids.joined([ids, Ids.of(firsts)]).take(places)
+        start = 0
+        for end in np.cumsum(laid.size)[np.cumsum(counts + 1) - 1].tolist():
+            yield laid.flat[start:end].tobytes()
+            start = end
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of every text, in order."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._encode_group(group)
+                group, size = [], 0
+        if group:
+            yield from self._encode_group(group)
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        words = text.split(" ")
-        if "" in words or _SPACED.search(text) or any(a in text for a in self.added):
-            return self._encode([text])[0]
-        known, first = self.words, words[0]
-        words[0] = _FIRST
-        missing = set(words).difference(known)
-        start = self._encode([first])[0]
-        added = self._encode_words(missing) if missing else {}
-        known.update(added)
-        out = start + b"".join(map(known.__getitem__, words))
-        if added:
-            # a text's new words stay if there is room for all of them
-            size = sum(WORD_COST + len(w) + len(ids) for w, ids in added.items())
-            if size <= self.room:
-                self.room -= size
-            else:
-                for w in added:
-                    del known[w]
-        return out
+        return next(self.encode_all([text]))
+
+
+def _indices(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Places of words in another array; -1 where they are not in it."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy().astype(np.int64)
 
 
 _TOKENIZERS: dict[int, WordCachedTokenizer] = {}
@@ -263,8 +336,8 @@ def pack_documents(
         step = capacity * 4
         for batch in slices(batches):
             out: dict[str, list] = {n: [] for n in names[2:]}
-            for text in batch.column(1).to_pylist():
-                ids = (coder.encode(text) if text else b"") + end
+            for ids in coder.encode_all(text or "" for text in batch.column(1).to_pylist()):
+                ids += end
                 full = len(ids) // step
                 rest = len(ids) // 4 - full * capacity
                 out["doc_tokens"].append(len(ids) // 4)
