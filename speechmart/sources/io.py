@@ -19,8 +19,10 @@ from speechmart.operators.ranking import positions
 from speechmart.sources.audio import decode_wav, resample, wav_bytes
 
 CHUNK = "text string, start double, end double, source string"
+NESTED = "text string, language string, segments array<struct<start:double,end:double,text:string>>"
 CORRECTION = "original_mms string, corrected_text string, start double, end double, quality int, whisper string, source string, auto_accepted boolean"
 CORRECTIONS = f"segments map<string, struct<{CORRECTION.replace(' ', ':').replace(',:', ',')}>>, vocabulary map<string, struct<word:string,meaning:string,pos:string,added:string>>, metadata struct<created:string,last_modified:string,audio_file:string>"
+SAMPLE = "reference_text struct<system4:string,system6:string>"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -35,19 +37,34 @@ def read_rows(spark: SparkSession, path: str, schema: str, stem: Column | None =
     return df.withColumn("audio_stem", stem_of(F.col("_metadata.file_path")) if stem is None else stem)
 
 
+def rows_in(files: DataFrame, schema: str, key: str = "audio_stem") -> DataFrame:
+    """``read_rows`` of a table of files (``key``, value): many transcripts need no file and folder each."""
+    parsed = F.from_json("value", f"array<struct<{schema}>>")
+    broken = F.array(F.lit(None).cast(f"struct<{schema}>"))  # as read from a file, a broken document is a row of nulls
+    return files.filter(F.col("value").rlike(r"\S")).select(key, F.inline(F.coalesce(parsed, broken)))
+
+
 def read_chunks(spark: SparkSession, path: str, stem: Column | None = None) -> DataFrame:
+    """``placed_chunks`` of JSON arrays, one file per stem."""
+    return placed_chunks(read_rows(spark, path, CHUNK, stem))
+
+
+def placed_chunks(rows: DataFrame) -> DataFrame:
     """Transcript chunks with chunk_idx by start; a missing end is ten seconds on."""
-    rows = read_rows(spark, path, CHUNK, stem).withColumn("end", F.coalesce("end", F.col("start") + 10))
+    rows = rows.withColumn("end", F.coalesce("end", F.col("start") + 10))
     columns = ["start", "end", "text", "source"]
     placed = positions(rows.select("audio_stem", *columns), ["audio_stem"], columns, "chunk_idx")
     return placed.select("audio_stem", F.col("chunk_idx").cast("int").alias("chunk_idx"), *columns)
 
 
 def read_nested(spark: SparkSession, path: str, stem: Column | None = None) -> DataFrame:
+    """``nested_rows`` of JSON objects, one file per stem."""
+    return nested_rows(read_rows(spark, path, NESTED, stem))
+
+
+def nested_rows(transcripts: DataFrame) -> DataFrame:
     """Objects with text, language and segments: one row per segment."""
-    schema = "text string, language string, segments array<struct<start:double,end:double,text:string>>"
-    df = read_rows(spark, path, schema, stem)
-    return df.select("audio_stem", "language", F.posexplode("segments").alias("chunk_idx", "s")).select("audio_stem", "language", "chunk_idx", "s.*")
+    return transcripts.select("audio_stem", "language", F.posexplode("segments").alias("chunk_idx", "s")).select("audio_stem", "language", "chunk_idx", "s.*")
 
 
 def latest_bundle(bundles: DataFrame, name: str = "audio_stem") -> DataFrame:
@@ -205,7 +222,12 @@ def benchmark_samples(spark: SparkSession, metadata_path: str, reference_path: s
     Both paths hold a folder per sample, named ``key=...``.
     """
     plain = spark.read.text(reference_path, wholetext=True).select(key, F.btrim("value", F.lit(WHITE)).alias("plain"))
-    meta = spark.read.schema("reference_text struct<system4:string,system6:string>").option("multiLine", True).json(metadata_path)
+    meta = spark.read.schema(SAMPLE).option("multiLine", True).json(metadata_path)
+    return sample_texts(plain, meta, key)
+
+
+def sample_texts(plain: DataFrame, meta: DataFrame, key: str) -> DataFrame:
+    """key, system4, system6 of plain texts (key, plain) and metadata (key, reference_text)."""
     both = plain.join(meta, key, "full")
     four = F.coalesce("reference_text.system4", "plain")
     return both.select(key, four.alias("system4"), F.coalesce("reference_text.system6", to_plain(four)).alias("system6"))
