@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,20 +131,44 @@ def matched_sequences(candidates: DataFrame, stem: str = "audio_stem", least: in
     """The longest increasing sequence of every file's candidates: stem, pos, word, time, word_idx, confidence.
 
     Candidates are in time order, strict in the word index only, so an anchor with several candidates
-    may be chained more than once; ``distinct_anchors`` takes each anchor once. One file is one group.
+    may be chained more than once; ``distinct_anchors`` takes each anchor once. A task passes its files by one
+    after the other and holds the candidates of one.
     """
     kind = candidates.schema[stem].dataType.simpleString()
-
-    def longest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time", "anchor_idx", "place"], kind="stable")
-        if distinct_anchors:
-            pdf = pdf.sort_values(["time", "anchor_idx", "word_idx"], ascending=[True, True, False], kind="stable")
-        at = increasing(pdf["word_idx"].tolist())
-        got = pdf.iloc[at if len(at) >= least else []]
-        return pd.DataFrame({stem: got[stem], "pos": range(len(got)), "word": got["word"], "time": got["time"], "word_idx": got["word_idx"], "confidence": got["confidence"]})
-
-    need = candidates.select(stem, "anchor_idx", "place", "word", "time", "word_idx", "confidence")
-    return need.groupBy(stem).applyInPandas(longest, f"`{stem}` {kind}, pos int, word string, time double, word_idx long, confidence double")
+    need = [stem, "word", "time", "word_idx", "confidence"]
+    out = [stem, "pos", *need[1:]]
+    # no time and no number as a time come last, as equals
+    time = F.when(~F.isnan("time"), F.col("time")).asc_nulls_last()
+    last = F.col("word_idx").desc() if distinct_anchors else F.col("place")
+    placed = candidates.repartition(F.col(f"`{stem}`")).sortWithinPartitions(F.col(f"`{stem}`"), time, "anchor_idx", last)
+
+    def longest(rows: list[tuple]) -> list[tuple]:
+        at = increasing([r[3] for r in rows])
+        return [(rows[i][0], pos, *rows[i][1:]) for pos, i in enumerate(at)] if len(at) >= least else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, rows, done, types = None, [], [], None
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=out)
+
+        for batch in batches:
+            field = batch.schema.field
+            types = [field(0).type, pa.int32(), *[field(n).type for n in range(1, len(need))]]
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[0] != file:
+                    done += longest(rows)
+                    file, rows = row[0], []
+                    if len(done) >= 10_000:
+                        yield made()
+                        done = []
+                rows.append(row)
+        done += longest(rows)
+        if done:
+            yield made()
+
+    columns = [F.col(f"`{stem}`"), "word", F.col("time").cast("double").alias("time"), F.col("word_idx").cast("long").alias("word_idx"), F.col("confidence").cast("double").alias("confidence")]
+    return placed.select(*columns).mapInArrow(run, f"`{stem}` {kind}, pos int, word string, time double, word_idx long, confidence double")
 
 
 def sequence_metrics(anchors: DataFrame, key: str = "audio_stem") -> DataFrame:
