@@ -11,7 +11,7 @@ precision.
 A query searches the centroids through a graph in memory (each centroid with its ``NEIGHBOURS`` nearest
 and the reverse edges) from fixed entries, and probes the lists whose centroids are at most
 ``PROBE_RATIO`` times as far as the nearest one. Query blocks and posting blocks of a list meet in a
-join; each meeting scores all its pairs, and a task sends on the best ``k`` a query of all its meetings.
+merge join; each meeting scores all its pairs, and a task sends on the best ``k`` a query of all its meetings.
 Rows found in several lists count once.
 
 Largest inner products become smallest distances by one more dimension: a row x has there the root of
@@ -19,7 +19,8 @@ Largest inner products become smallest distances by one more dimension: a row x
 products of the original vectors in double precision, summed in one fixed order, so equal vectors have
 equal scores.
 
-Bounds: the sample has about ``SAMPLE_ROWS`` rows and at most ``SAMPLE_BYTES``, the centroids at most
+Bounds: the driver holds the sample (a few copies of it while it fits) and ``DISTANCES`` distances at once;
+the sample has about ``SAMPLE_ROWS`` rows and at most ``SAMPLE_BYTES``, the centroids at most
 ``CENTROIDS`` and ``CENTROID_BYTES``; beyond about ``CENTROIDS * LIST`` rows lists grow and are held in more
 blocks. Every row is indexed and recall is measured against brute force in the tests.
 
@@ -44,7 +45,7 @@ from .common import materialize, pick
 LIST, POSTINGS, QUERY_BLOCK = 256, 1024, 1024
 REPLICAS, REPLICA_RATIO, PROBE_RATIO = 3, 1.15, 1.13
 NEIGHBOURS, ENTRIES, BEAM = 16, 8, 24
-SAMPLE_ROWS, SAMPLE_BYTES = 100_000, 64 << 20
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_QUERIES = 100_000, 64 << 20, 10_000
 CENTROIDS, CENTROID_BYTES = 16_384, 16 << 20
 ROUNDS, FULLNESS = 4, 0.05
 PACKED = ["list", "keys", "ids", "data", "wide"]
@@ -54,6 +55,11 @@ HELD = 1 << 20
 DEALT, DISTANCES = 8192, 1 << 22
 
 
+def _step(centroids: np.ndarray, most: int = 1024) -> int:
+    """Rows whose distances to all centroids are held at once."""
+    return max(1, min(most, DISTANCES // len(centroids)))
+
+
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances between all rows of ``a`` and of ``b``."""
     return np.maximum((a * a).sum(axis=1)[:, None] - 2.0 * (a @ b.T) + (b * b).sum(axis=1), 0.0)
@@ -79,13 +85,13 @@ def fit_centroids(points: np.ndarray, parts: int, seed: int = 0) -> np.ndarray:
     """Centroids of lists of nearly equal size."""
     parts = max(1, min(parts, len(points)))
     centroids = np.array(_halves(points, parts, np.random.default_rng(seed)))
-    sizes = np.full(parts, len(points) / parts)
+    sizes, step = np.full(parts, len(points) / parts), _step(centroids, 4096)
     for _ in range(ROUNDS):
         extra = FULLNESS * (sizes / sizes.mean() - 1.0)
         nearest = np.empty(len(points), int)
-        for at in range(0, len(points), 4096):
-            d = _squared(points[at : at + 4096], centroids)
-            nearest[at : at + 4096] = np.argmin(d + extra * d.mean(), axis=1)
+        for at in range(0, len(points), step):
+            d = _squared(points[at : at + step], centroids)
+            nearest[at : at + step] = np.argmin(d + extra * d.mean(), axis=1)
         sums, sizes = np.zeros_like(centroids), np.bincount(nearest, minlength=parts).astype(float)
         np.add.at(sums, nearest, points)
         centroids = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1.0)[:, None], centroids)
@@ -100,8 +106,9 @@ class CentroidGraph:
         n = len(centroids)
         width = min(NEIGHBOURS, n - 1)
         edges: list[set[int]] = [set() for _ in range(n)]
-        for at in range(0, n, 1024):
-            d = _squared(centroids[at : at + 1024], centroids)
+        step = _step(centroids)
+        for at in range(0, n, step):
+            d = _squared(centroids[at : at + step], centroids)
             d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
             for i, near in enumerate(np.argpartition(d, width - 1, axis=1)[:, :width] if width else []):
                 for j in near.tolist():
@@ -174,8 +181,8 @@ class Index:
         self.blocks = np.maximum(1, np.ceil(posted * (rows / len(sample)) / POSTINGS)).astype(np.int64)
 
     def step(self) -> int:
-        """Rows whose distances to all centroids are held at once."""
-        return max(1, min(1024, DISTANCES // len(self.centroids)))
+        """Rows posted at once."""
+        return _step(self.centroids)
 
     def post(self, vectors: pd.Series | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of every posting."""
@@ -186,6 +193,14 @@ class Index:
         rows, at = np.nonzero(near <= near.min(axis=1, keepdims=True) * REPLICA_RATIO**2)
         return rows, lists[rows, at]
 
+    def query_blocks(self, sample: np.ndarray, queries: int) -> np.ndarray:
+        """Blocks that each list deals its queries to, from a sample of them."""
+        probed = np.zeros(len(self.centroids))
+        for at in range(0, len(sample), self.step()):
+            d = _squared(_lifted(sample[at : at + self.step()], self.scale, self.reach, True), self.centroids)
+            probed += (d <= d.min(axis=1, keepdims=True) * PROBE_RATIO**2).sum(axis=0)
+        return np.maximum(1, np.ceil(probed * (queries / max(1, len(sample))) / QUERY_BLOCK)).astype(np.int64)
+
     def probe(self, vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         """(query, list) of every probed list."""
         found = [self.graph.within(q, PROBE_RATIO) for q in _lifted(_matrix(vectors, self.wide), self.scale, self.reach, True)]
@@ -235,6 +250,13 @@ def _packed(dealt: DataFrame, size: int, kind: str) -> DataFrame:
     return along.mapInPandas(run, "list int, keys binary, ids binary, data binary, wide int")
 
 
+def _sample(rows: DataFrame, want: int, n: int, wide: int) -> np.ndarray:
+    """About ``want`` of ``n`` vectors: a share by hash of keys that no two rows share."""
+    part = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, want / n) * (1 << 30))).select("v").toArrow()
+    part = part if part.num_rows else rows.select("v").limit(1).toArrow()
+    return np.concatenate([_matrix(c.to_pandas(), wide) for c in part["v"].chunks])
+
+
 class Best:
     """The ``k`` best rows of each query among all that a task has met so far; a row found in two lists counts once."""
 
@@ -276,6 +298,12 @@ class Best:
         self.held = int(stay.sum())
         return pd.DataFrame({"query_id": q[stay], "vec_id": i[stay], "key": key[stay], "score": score[stay]})
 
+    def in_parts(self) -> Iterator[pd.DataFrame]:
+        """What is best so far, at most ``DEALT`` rows at once."""
+        out = self.reduce()
+        for at in range(0, len(out), DEALT):
+            yield out.iloc[at : at + DEALT]
+
     def full(self) -> bool:
         """Whether even the best take more than half of the room."""
         if self.held <= self.room:
@@ -307,13 +335,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     reach = rows.agg(F.max(F.aggregate(as_double, F.lit(0.0), lambda s, x: s + (x / scale) * (x / scale)))).first()[0]
     want = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * wide)))
-    # a share by hash of keys that no two rows share, so about the wanted number
-    part = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, want / n) * (1 << 30))).select("v").toPandas()
-    index = Index(_matrix((part if len(part) else rows.select("v").limit(1).toPandas())["v"], wide), n, scale, reach)
+    index = Index(_sample(rows, want, n, wide), n, scale, reach)
     schema = f"list int, block long, key long, id long, v {rows.schema['v'].dataType.simpleString()}"
     postings = rows.select("key", "id", "v").mapInPandas(_dealt(index.post, index.blocks, index.step()), schema)
     asked = materialize(rows.filter("_q").groupBy("id").agg(F.max("v").alias("v")).withColumn("key", F.col("id")).select("key", "id", "v"), "postings-asked")
-    query_blocks = np.full(len(index.centroids), max(1, -(-asked.count() // QUERY_BLOCK)))
+    queries = asked.count()
+    if not queries:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    query_blocks = index.query_blocks(_sample(asked, min(want, SAMPLE_QUERIES), queries, wide), queries)
     # few queries lie in few partitions, while their search is the work
     probes = asked.repartition(spark.sparkContext.defaultParallelism * 4, "id").mapInPandas(_dealt(index.probe, query_blocks), schema)
     cells = _packed(postings, POSTINGS, kind)
@@ -329,11 +358,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                 c[:, : row.wide] = np.frombuffer(row.data, kind).reshape(len(ids), row.wide)
                 best.meet(q_ids, q, ids, keys, c)
                 if best.full():
-                    yield best.reduce()
+                    yield from best.in_parts()
                     best.clear()
-        yield best.reduce()
+        yield from best.in_parts()
 
-    found = cells.join(queries, "list").mapInPandas(meet, "query_id long, vec_id long, key long, score double")
+    # Spark takes the packed queries to be as small as the asked rows, and would gather them in the driver to broadcast them
+    found = cells.join(queries.hint("merge"), "list").mapInPandas(meet, "query_id long, vec_id long, key long, score double")
     along = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "key")
     # a row stands in REPLICAS lists at most, so this many hold the best k; Spark applies it before the shuffle too
     few = found.withColumn("_r", F.row_number().over(along)).filter(F.col("_r") <= k * REPLICAS).drop("_r").dropDuplicates(["query_id", "key"])
