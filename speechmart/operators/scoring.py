@@ -143,7 +143,8 @@ def similar_words(words: DataFrame, word: str, least: float = 0.8) -> DataFrame:
     few = [_without(x, "piece", F.col("wrong")).select("w", F.struct("shorter", "longer", "i", "piece").alias("key")).distinct() for x in few]
 
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
-        pairs = x.select("key", F.col("w").alias("x")).join(y.select("key", F.col("w").alias("y")), "key").filter("x <> y")
+        # Spark takes the forms to be as small as the words, and would gather them in the driver to broadcast them
+        pairs = x.select("key", F.col("w").alias("x")).join(y.select("key", F.col("w").alias("y")).hint("merge"), "key").filter("x <> y")
         return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
     pairs = met(folded, folded).unionAll(met(*whole)).unionAll(met(*few)).distinct()
